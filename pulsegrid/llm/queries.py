@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, packing
+from . import exact_dedup, language_id, line_dedup, packing, secret_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_corpus(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [F.size(F.filter("base", secret_scan.of_kind(kind))).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")]
+    every = F.array_sort(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), secret_scan.joined(every).alias("spans"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,6 +42,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_packing": op4_packing,
+    "op7_secret_scan": op7_secret_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_language_id": op10_language_id,
 }
