@@ -252,8 +252,10 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame,
     tops = shared.groupBy("node").agg(F.max(F.struct("_n", "signature")).alias("_top"), F.first("n").alias("n"))
     groups = stage(dealt(tops.select("node", "n", F.col("_top.signature").alias("top")), group_size, group_shingles), "groups")
     placed = stage(shared.select("node", "signature").join(groups, "node"), "placed")
-    blocks = stage(placed.select("signature", F.col("gid").alias("other")).distinct(), "blocks")
-    queries = stage(placed.join(blocks, "signature").where("other < gid").select("node", F.col("other").alias("gid")).distinct(), "queries")
+    blocks = stage(placed.groupBy("signature").agg(F.collect_set("gid").alias("others")), "blocks")
+    asked = placed.join(blocks, "signature").select("node", F.filter("others", lambda g: g < F.col("gid")).alias("others")).where(F.size("others") > 0)
+    asked = asked.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    queries = stage(asked.select("node", F.explode("others").alias("gid")), "queries")
     salts = stage(queries.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / queries_per_task).cast("int").alias("salts")), "salts")
     wanted = groups.select("node").join(nodes.select("node", "k1", "k2"), "node")
     sets = stage(chosen_sets(docs, id_col, text_col, wanted, rule), "sets")
@@ -268,7 +270,7 @@ def jaccard_components(
     id_col: str = "doc_id",
     text_col: str = "text",
     rule: Rule = Rule(),
-    group_size: int = 64,
+    group_size: int = 256,
     group_shingles: int = 65_536,
     queries_per_task: int = 2_048,
 ) -> DataFrame:
