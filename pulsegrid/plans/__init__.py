@@ -1 +1,5 @@
-"""See the modules."""
+"""Queries: operators bound to tables, with DuckDB equivalents."""
+
+from . import aggregates
+
+MODULES = (aggregates,)
