@@ -1,5 +1,5 @@
 """Queries: operators bound to tables, with DuckDB equivalents."""
 
-from . import aggregates
+from . import aggregates, relational
 
-MODULES = (aggregates,)
+MODULES = (aggregates, relational)

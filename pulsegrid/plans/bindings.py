@@ -111,7 +111,7 @@ def work(d: type) -> str:
 
 def device(d: type) -> str:
     return f"""SELECT c_custkey AS id, 'a' || (c_custkey % 97) AS agent_id, 'u' || (c_custkey % 150) AS user_code, CASE WHEN c_nationkey % 6 = 0 THEN 'DISABLED' ELSE 'ACTIVE' END AS status,
-               CASE WHEN c_custkey % 8 <> 0 THEN {d.plus("second", "TIMESTAMP '2024-01-31 12:00:00'", "0 - c_custkey % 900")} END AS last_seen FROM customer"""
+               CASE WHEN c_custkey % 8 <> 0 THEN {d.plus("second", ("TIMESTAMP_NTZ" if d is Spark else "TIMESTAMP") + " '2024-01-31 12:00:00'", "0 - c_custkey % 900")} END AS last_seen FROM customer"""
 
 
 def employee(d: type) -> str:
@@ -169,6 +169,7 @@ def with_tables(sql: str) -> str:
     used = [n for n in TABLES if re.search(rf"\b{n}\b", sql)]
     heads = [f"{n} AS ({TABLES[n](Duck)})" for n in used]
     body = sql.strip()
-    if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join([*heads, body[5:]])
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ",\n".join([*heads, body[len(start) :]])
     return ("WITH " + ",\n".join(heads) + "\n" if heads else "") + body
