@@ -1,5 +1,5 @@
 """Queries: operators bound to tables, with DuckDB equivalents."""
 
-from . import aggregates, relational
+from . import aggregates, behaviour, relational
 
-MODULES = (aggregates, relational)
+MODULES = (aggregates, relational, behaviour)
