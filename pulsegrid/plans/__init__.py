@@ -1,5 +1,5 @@
 """Queries: operators bound to tables, with DuckDB equivalents."""
 
-from . import aggregates, behaviour, relational
+from . import aggregates, behaviour, relational, scoring
 
-MODULES = (aggregates, relational, behaviour)
+MODULES = (aggregates, relational, behaviour, scoring)
