@@ -184,18 +184,29 @@ def train(texts: pa.Array, labels: np.ndarray, buckets: int = 1 << 18, dim: int
     return ToxicityModel(weights, float(bias[1] - bias[0]), width)
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", max_rows: int = 9_000, max_toxic: int = 2_500) -> ToxicityModel | None:
-    """Train on the whole texts of about ``max_rows`` labelled rows at most, chosen by a hash of the text.
-
-    The sample is the only thing that reaches the driver; up to ``max_toxic`` of its rows are toxic.
-    """
-    known = labelled.where(F.col(label_col).isin(0, 1)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"))
+def sampled(labels: DataFrame, id_col: str, label_col: str, max_rows: int, max_toxic: int) -> DataFrame | None:
+    """About ``max_rows`` labels at most, up to ``max_toxic`` of them toxic, chosen by a hash of the id; None unless both kinds are there."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return None
     share = F.when(F.col("label") == 1, min(1.0, max_toxic / sizes[1])).otherwise(min(1.0, (max_rows - max_toxic) / sizes[0]))
-    sample = known.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share * (1 << 30)).orderBy(F.xxhash64("text")).toArrow()
-    return train(sample.column("text").combine_chunks(), sample.column("label").to_numpy())
+    return known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 9_000, max_toxic: int = 2_500) -> ToxicityModel | None:
+    """Train on the whole texts of a bounded sample of labelled rows.
+
+    The sampled labels, about ``max_rows`` ids at most, are broadcast, so the texts of ``docs`` don't
+    move; the sample's texts are the only ones that reach the driver.
+    """
+    chosen = sampled(labels, id_col, label_col, max_rows, max_toxic)
+    if chosen is None:
+        return None
+    sample = docs.join(F.broadcast(chosen), id_col).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label")
+    sample = sample.orderBy(F.xxhash64("text")).toArrow()
+    found = sample.column("label").to_numpy()
+    return train(sample.column("text").combine_chunks(), found) if len(set(found)) == 2 else None
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
@@ -214,6 +225,6 @@ def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text")
 
 def score_corpus(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Learn from the labelled rows outside the held-out fold (crc32 of the id as text, modulo 5, is 0); score every row."""
-    learned = F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
-    marks = labels.where(learned & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias(label_col))
-    return score(docs.select(id_col, text_col), fit(docs.select(id_col, text_col).where(learned).join(marks, id_col), text_col, label_col), text_col)
+    learned = labels.where(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0)
+    texts = docs.select(id_col, text_col)
+    return score(texts, fit(texts, learned, id_col, text_col, label_col), text_col)
