@@ -1,44 +1,52 @@
 """The corpus pipeline: five operators, each on all that its predecessor kept.
 
-Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again. All but the
-last return the columns of ``documents``. A removed row is found by its id and the digest of its text,
+Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again before the next
+one begins, so each stage first deletes what the stages before it staged (never what ``docs`` reads).
+All but the last return the columns of ``documents``. A removed row is found by its id and the digest of its text,
 so rows that repeat an id are each judged; rows with a null id are only removed by what their own
 text says.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import decontaminate, jaccard_join, language_id, line_dedup, packing
-from pulsegrid.llm.staging import stage
+from pulsegrid.llm.staging import release, stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-DIGEST = F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def digest() -> Column:
+    """Tells the texts of rows with one id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def without(docs: DataFrame, removed: DataFrame) -> DataFrame:
     """``docs`` less the rows whose id and digest are in ``removed`` (columns doc_id, digest)."""
     gone = removed.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_gone")).distinct()
-    return docs.withColumn("_digest", DIGEST).join(gone, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_gone") == F.col("_digest")), "left_anti").select(COLUMNS)
+    return docs.withColumn("_digest", digest()).join(gone, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_gone") == F.col("_digest")), "left_anti").select(COLUMNS)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID: documents without a letter, or without a language that makes up half of them, go."""
+    release(spark, docs)
     model = language_id.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    found = language_id.identify(docs.select("doc_id", "text", DIGEST.alias("digest")), model)
+    found = language_id.identify(docs.select("doc_id", "text", digest().alias("digest")), model)
     return without(docs, stage(found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < 0.5)).select("doc_id", "digest"), "rejected"))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: texts lose the lines that three documents or more hold; n_chars follows the text."""
+    release(spark, docs)
     found = line_dedup.dedup_lines(docs)
     return found.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each group the document with the least id stays."""
+    release(spark, docs)
     rule = jaccard_join.Rule(words=5, num=80, den=100)
     found = jaccard_join.jaccard_components(docs, rule=rule)
     gone = stage(found.where("component_id < doc_id").select(F.col("doc_id").alias("_id")).distinct(), "similar")
@@ -47,13 +55,15 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents with a twentieth of their words in test passages go."""
-    marked = docs.select("doc_id", "text", DIGEST.alias("digest"))
+    release(spark, docs)
+    marked = docs.select("doc_id", "text", digest().alias("digest"))
     found = decontaminate.decontaminate(marked, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id", "digest"])
     return without(docs, stage(found.where("contaminated").select("doc_id", "digest"), "contaminated"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: every piece of every document in its length bucket and batch."""
+    release(spark, docs)
     return packing.pack(docs)
 
 

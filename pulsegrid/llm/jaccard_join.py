@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .components import components
 from .staging import stage
@@ -241,16 +242,17 @@ def matched(rows: DataFrame, rule: Rule) -> DataFrame:
     return ordered.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def similar_links(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, rule: Rule, group_size: int, group_shingles: int, queries_per_task: int) -> DataFrame:
-    """Enough links (u, v) between nodes to connect all that are similar; nodes: node, k1, k2, n, signatures."""
-    from pyspark.sql.window import Window as W
-
+def similar_links(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes: DataFrame, rule: Rule, group_size: int, group_shingles: int, queries_per_task: int) -> DataFrame:
+    """Enough links (u, v) between nodes to connect all that are similar; rows: described(), nodes: node, k1, k2, n."""
+    own = nodes.select("node", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
+    same = (F.col("_id") == F.col("node")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
     by = W.partitionBy("signature")
-    every = nodes.select("node", "n", F.explode("signatures").alias("signature"))
-    every = every.select("node", "n", "signature", F.min("node").over(by).alias("_a"), F.max("node").over(by).alias("_b"), F.count(F.lit(1)).over(by).alias("_n"))
-    shared = stage(every.where("_a < _b").select("node", "n", "signature", "_n"), "shared")
-    tops = shared.groupBy("node").agg(F.max(F.struct("_n", "signature")).alias("_top"), F.first("n").alias("n"))
-    groups = stage(dealt(tops.select("node", "n", F.col("_top.signature").alias("top")), group_size, group_shingles), "groups")
+    every = rows.join(own, same, "left_semi").select(F.col("_id").alias("node"), F.explode("signatures").alias("signature"))
+    every = every.select("node", "signature", F.min("node").over(by).alias("_a"), F.max("node").over(by).alias("_b"), F.count(F.lit(1)).over(by).alias("_n"))
+    shared = stage(every.where("_a < _b").select("node", "signature", "_n"), "shared")
+    tops = shared.groupBy("node").agg(F.max(F.struct("_n", "signature")).alias("_top")).join(nodes.select("node", "n"), "node")
+    tops = tops.select("node", "n", F.col("_top.signature").alias("top")).dropDuplicates(["node"])
+    groups = stage(dealt(tops, group_size, group_shingles), "groups")
     placed = stage(shared.select("node", "signature").join(groups, "node"), "placed")
     blocks = stage(placed.groupBy("signature").agg(F.collect_set("gid").alias("others")), "blocks")
     asked = placed.join(blocks, "signature").select("node", F.filter("others", lambda g: g < F.col("gid")).alias("others")).where(F.size("others") > 0)
@@ -277,8 +279,8 @@ def jaccard_components(
     """One row per document: id, n_shingles and component_id, the least id it reaches by links."""
     rows = stage(described(docs, id_col, text_col, rule), "described")
     known = rows.where("_id is not null and k1 is not null")
-    nodes = stage(known.groupBy("k1", "k2").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signatures").alias("signatures")), "nodes")
-    links = stage(similar_links(docs, id_col, text_col, nodes, rule, group_size, group_shingles, queries_per_task), "links")
+    nodes = stage(known.groupBy("k1", "k2").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n")), "nodes")
+    links = stage(similar_links(docs, id_col, text_col, rows, nodes, rule, group_size, group_shingles, queries_per_task), "links")
     roots = components(links)
     labels = stage(nodes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id")), "labels")
     found = rows.drop("signatures").join(labels, ["k1", "k2"], "left")
