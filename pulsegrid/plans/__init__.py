@@ -1,5 +1,5 @@
 """Queries: operators bound to tables, with DuckDB equivalents."""
 
-from . import aggregates, behaviour, relational, scoring
+from . import aggregates, behaviour, relational, scoring, streams
 
-MODULES = (aggregates, relational, behaviour, scoring)
+MODULES = (aggregates, relational, behaviour, scoring, streams)

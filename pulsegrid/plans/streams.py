@@ -1,0 +1,187 @@
+"""STR, SNK and MAT: streaming operators in batch form, and one that runs as a stream."""
+
+from __future__ import annotations
+
+import re
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pulsegrid.operators import filters
+from pulsegrid.streaming import sinks, states
+
+from .bindings import Lake
+from .registry import Registry
+
+query = Registry()
+SNAP = "snap AS (SELECT 'u' || user_id AS session, ts AS captured_at, event_id AS seq, event_type AS status, CAST(floor(value) AS BIGINT) AS tokens, user_id % 5 + event_id % 3 AS messages FROM events)"
+LAGGED = "lagged AS (SELECT *, lag(status) OVER w AS ps, lag(tokens) OVER w AS pt, lag(messages) OVER w AS pm, lag(captured_at) OVER w AS pc FROM snap WINDOW w AS (PARTITION BY session ORDER BY captured_at, seq))"
+DELTAS = f"""WITH {SNAP}, {LAGGED} SELECT session, captured_at AS event_time, 'SESSION_OPEN' AS event_type, status, 0 AS tokens_delta, 0 AS messages_delta FROM lagged WHERE ps IS NULL
+    UNION ALL SELECT session, captured_at, 'STATUS_CHANGE', status, 0, 0 FROM lagged WHERE status <> ps UNION ALL SELECT session, captured_at, 'TOKEN_DELTA', status, tokens - coalesce(pt, 0), 0 FROM lagged WHERE tokens - coalesce(pt, 0) > 0
+    UNION ALL SELECT session, captured_at, 'MESSAGE_DELTA', status, 0, messages - coalesce(pm, 0) FROM lagged WHERE messages - coalesce(pm, 0) > 0"""
+
+
+def snapshots(events: DataFrame) -> DataFrame:
+    return events.select(F.concat(F.lit("u"), "user_id").alias("session"), F.col("ts").alias("captured_at"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.floor("value").cast("long").alias("tokens"), (F.col("user_id") % 5 + F.col("event_id") % 3).alias("messages"))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or "/tmp/checkpoints").rstrip("/")
+
+
+@query("str_1", DELTAS)
+def str_1(t: Lake) -> DataFrame:
+    return states.snapshot_events_batch(snapshots(t.source("events")))
+
+
+@query("str_1_stream", DELTAS)
+def str_1_stream(t: Lake) -> DataFrame:
+    """The same, run as a stream with state to its end."""
+    spark, folder = t.spark, f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/stream-{uuid4().hex}"
+    schema = t.source("events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events*.parquet")
+    out = states.snapshot_events(snapshots(stream))
+    job = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{folder}/out")
+
+
+@query("str_2", "SELECT id, 'TOKEN_DELTA' AS event_type, greatest(tokens_delta, 0) AS amount FROM event UNION ALL SELECT id, 'MESSAGE_DELTA', greatest(messages_delta, 0) FROM event")
+def str_2(t: Lake) -> DataFrame:
+    both = F.array(F.struct(F.lit("TOKEN_DELTA").alias("event_type"), F.greatest("tokens_delta", F.lit(0)).alias("amount")), F.struct(F.lit("MESSAGE_DELTA").alias("event_type"), F.greatest("messages_delta", F.lit(0)).alias("amount")))
+    return t.event.select("id", F.inline(both))
+
+
+@query("str_3", "SELECT m.id, m.input_tokens + m.output_tokens AS tokens_delta FROM message m WHERE NOT EXISTS (SELECT 1 FROM event e WHERE e.session_id = m.session_id AND e.event_type = 'TOKEN_DELTA')")
+def str_3(t: Lake) -> DataFrame:
+    timed = t.event.where("event_type = 'TOKEN_DELTA'").select("session_id")
+    return t.message.join(timed, "session_id", "left_anti").select("id", F.expr("input_tokens + output_tokens").alias("tokens_delta"))
+
+
+@query("str_4", "SELECT session_id, tool_name, min(id) AS id FROM event WHERE tool_name IS NOT NULL GROUP BY 1, 2")
+def str_4(t: Lake) -> DataFrame:
+    return t.event.where("tool_name is not null").groupBy("session_id", "tool_name").agg(F.min("id").alias("id"))
+
+
+@query("str_5", "SELECT id, coalesce(CASE WHEN id % 3 <> 0 THEN last_activity END, started_at) AS event_time FROM session")
+def str_5(t: Lake) -> DataFrame:
+    return t.session.select("id", F.coalesce(F.when(F.col("id") % 3 != 0, F.col("last_activity")), F.col("started_at")).alias("event_time"))
+
+
+@query("str_6", "SELECT id, CASE WHEN invalid_reason = 'merged_subagent' THEN invalid_reason WHEN status = 'idle' AND user_messages > 0 AND assistant_messages = 0 AND output_tokens < 500 THEN 'idle_no_reply' END AS reason FROM session")
+def str_6(t: Lake) -> DataFrame:
+    lifeless = (F.col("status") == "idle") & (F.col("user_messages") > 0) & (F.col("assistant_messages") == 0) & (F.col("output_tokens") < 500)
+    return t.session.select("id", F.when(F.col("invalid_reason") == "merged_subagent", F.col("invalid_reason")).when(lifeless, "idle_no_reply").alias("reason"))
+
+
+@query("str_7", "SELECT s.id FROM session s WHERE EXISTS (SELECT 1 FROM device d WHERE d.agent_id = s.agent_id AND d.id % 7 = 0)")
+def str_7(t: Lake) -> DataFrame:
+    return t.session.join(t.device.where("id % 7 = 0").select("agent_id"), "agent_id", "left_semi").select("id")
+
+
+@query("str_8", "WITH m AS (SELECT session_id, count(*) AS n FROM message WHERE lower(trim(role)) IN ('user', 'assistant') GROUP BY 1) SELECT id, CASE WHEN abs(total_messages - coalesce(n, 0)) <= 3 THEN total_messages ELSE coalesce(n, 0) END AS messages FROM session LEFT JOIN m ON session_id = id")
+def str_8(t: Lake) -> DataFrame:
+    counts = t.message.where(filters.role().isin("user", "assistant")).groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    n = F.coalesce("n", F.lit(0))
+    return t.session.select("id", "total_messages").join(counts, "id", "left").select("id", F.when(F.abs(F.col("total_messages") - n) <= 3, F.col("total_messages")).otherwise(n).alias("messages"))
+
+
+@query("str_9", "SELECT DISTINCT CAST(event_time AS DATE) AS day, user_code FROM event WHERE id % 50 = 1")
+def str_9(t: Lake) -> DataFrame:
+    """The (day, user) pairs that a batch of late rows makes stale."""
+    return t.event.where("id % 50 = 1").select(F.to_date("event_time").alias("day"), "user_code").distinct()
+
+
+@query("str_11", "SELECT id, 'idle' AS status FROM session WHERE status <> 'idle' AND last_activity < TIMESTAMP '1998-01-01' - INTERVAL 300 SECOND ORDER BY id LIMIT 500")
+def str_11(t: Lake) -> DataFrame:
+    cut = F.lit("1998-01-01").cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(300))
+    return t.session.where((F.col("status") != "idle") & (F.col("last_activity") < cut)).orderBy("id").limit(500).select("id", F.lit("idle").alias("status"))
+
+
+@query("str_12", """WITH x AS (SELECT id, CASE id % 4 WHEN 0 THEN 'thinking' WHEN 1 THEN 'waiting_for_user' WHEN 2 THEN 'executing_tool' ELSE 'other' END AS b, CASE id % 3 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Agent' END AS tool, id % 70 AS since, CASE WHEN id % 5 = 0 THEN id % 60 END AS ta, CASE WHEN id % 11 = 0 THEN id % 50 END AS sa FROM session),
+    y AS (SELECT *, CASE tool WHEN 'Bash' THEN 'running' WHEN 'Agent' THEN 'spawning' ELSE 'idle' END AS ts FROM x)
+    SELECT id, CASE WHEN sa < 30 THEN 'compacting' WHEN ta < 30 THEN ts WHEN b = 'waiting_for_user' THEN CASE WHEN since < 30 THEN 'waiting' ELSE 'idle' END WHEN b = 'executing_tool' AND ts = 'spawning' AND since < 1200 THEN 'spawning'
+      WHEN b = 'thinking' AND since <= 30 THEN 'thinking' WHEN since > 30 THEN 'idle' WHEN b = 'executing_tool' THEN ts ELSE 'idle' END AS state FROM y""")
+def str_12(t: Lake) -> DataFrame:
+    n = F.col("id")
+    bubble = F.when(n % 4 == 0, "thinking").when(n % 4 == 1, "waiting_for_user").when(n % 4 == 2, "executing_tool").otherwise("other")
+    tool = F.when(n % 3 == 0, "Bash").when(n % 3 == 1, "Agent")
+    return t.session.select("id", states.activity_state(bubble, tool, n % 70, F.when(n % 5 == 0, n % 60), F.when(n % 11 == 0, n % 50)).alias("state"))
+
+
+@query("str_13", """WITH p AS (SELECT agent_id, date_trunc('second', start_time) AS ping, id FROM work), g AS (SELECT *, CASE WHEN ping > lag(ping) OVER (PARTITION BY agent_id ORDER BY ping, id) + INTERVAL 180 SECOND THEN 1 ELSE 0 END AS fresh FROM p),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY agent_id ORDER BY ping, id ROWS UNBOUNDED PRECEDING) AS span FROM g) SELECT agent_id, min(ping) AS started, max(ping) AS last_ping, count(*) AS pings FROM s GROUP BY agent_id, span""")
+def str_13(t: Lake) -> DataFrame:
+    found = states.work_sessions(t.work, "agent_id", "start_time")
+    return found.select("agent_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("last_ping").cast("timestamp_ntz").alias("last_ping"), "pings")
+
+
+@query("str_16", f"WITH {SNAP}, {LAGGED} SELECT seq FROM lagged WHERE ps IS NULL OR NOT (ps = status AND pt = tokens AND pm = messages AND captured_at < pc + INTERVAL 15 MINUTE)")
+def str_16(t: Lake) -> DataFrame:
+    return states.changed_only(snapshots(t.source("events"))).select("seq")
+
+
+@query("str_17", "SELECT agent_id, nonce, min(id) AS id FROM (SELECT id, agent_id, id % 400 AS nonce FROM work) GROUP BY 1, 2")
+def str_17(t: Lake) -> DataFrame:
+    """Replays: the first use of each nonce."""
+    return t.work.select("id", "agent_id", (F.col("id") % 400).alias("nonce")).groupBy("agent_id", "nonce").agg(F.min("id").alias("id"))
+
+
+@query("str_18")
+def str_18(t: Lake) -> DataFrame:
+    return states.throttled(t.activity, "user_code", "signal_time", 3600)
+
+
+@query("str_19", """WITH w AS (SELECT id AS session_id, 'SESSION_OPEN' AS event_type, 0 AS amount FROM session UNION ALL SELECT id, 'TOKEN_DELTA', input_tokens + output_tokens FROM session WHERE input_tokens + output_tokens > 0 UNION ALL SELECT id, 'MESSAGE_DELTA', total_messages FROM session WHERE total_messages > 0)
+    SELECT * FROM w WHERE NOT EXISTS (SELECT 1 FROM event e WHERE e.session_id = w.session_id AND e.event_type = w.event_type)""")
+def str_19(t: Lake) -> DataFrame:
+    return states.missing_baseline(t.session, t.event)
+
+
+@query("str_windows", "SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS started, count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1, 2")
+def str_windows(t: Lake) -> DataFrame:
+    hours = t.source("events").groupBy("event_type", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.floor("value")).alias("total"))
+    return hours.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("started"), "n", "total")
+
+
+@query("snk_1", "SELECT user_code, max(version) AS version, arg_max(id, version * 100000000 + id) AS id FROM session GROUP BY 1")
+def snk_1(t: Lake) -> DataFrame:
+    old, new = t.session.where("id % 2 = 0"), t.session.where("id % 2 = 1")
+    slim = lambda df: df.select("user_code", "version", "id", (F.col("version") * 100_000_000 + F.col("id")).alias("_v"))
+    return sinks.merged(slim(old), slim(new), ["user_code"], "_v").select("user_code", "version", "id")
+
+
+@query("snk_2", "SELECT DISTINCT session_id, tool_name FROM event WHERE id % 2 = 1 AND (session_id, tool_name) NOT IN (SELECT session_id, tool_name FROM event WHERE id % 2 = 0 AND tool_name IS NOT NULL) AND tool_name IS NOT NULL")
+def snk_2(t: Lake) -> DataFrame:
+    calls = t.event.where("tool_name is not null").select("id", "session_id", "tool_name")
+    return sinks.not_stored(calls.where("id % 2 = 1"), calls.where("id % 2 = 0"), ["session_id", "tool_name"]).select("session_id", "tool_name")
+
+
+@query("snk_5", "SELECT path, id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY has_patch DESC, commit_id DESC, id) AS n FROM commit_file) WHERE n = 1")
+def snk_5(t: Lake) -> DataFrame:
+    return sinks.keep_latest(t.commit_file, ["path"], F.desc("has_patch"), F.desc("commit_id"), F.col("id")).select("path", "id")
+
+
+@query("mat_6", """WITH n AS (SELECT CAST(event_time AS DATE) AS work_date, max(event_time) AS newest FROM event GROUP BY 1), b AS (SELECT CAST(message_time AS DATE) AS work_date, max(message_time) AS built FROM message GROUP BY 1)
+    SELECT coalesce(n.work_date, b.work_date) AS work_date FROM n FULL JOIN b ON n.work_date = b.work_date WHERE newest IS NULL OR built IS NULL OR newest > built""")
+def mat_6(t: Lake) -> DataFrame:
+    summary = t.message.select(F.to_date("message_time").alias("work_date"), F.col("message_time").alias("updated_time"))
+    return sinks.stale_days(t.event, summary)
+
+
+@query("mat_7", "SELECT id, CASE WHEN message_time >= TIMESTAMP '1998-01-01' THEN content_text END AS content_text FROM message")
+def mat_7(t: Lake) -> DataFrame:
+    return sinks.without_content(t.message, "message_time", "1998-01-01", ["content_text"]).select("id", "content_text")
+
+
+@query("mat_10", "SELECT id FROM event WHERE user_code <> 'u7'")
+def mat_10(t: Lake) -> DataFrame:
+    gone = t.session.where("user_code = 'u7'").select("user_code").distinct()
+    return t.event.join(gone, "user_code", "left_anti").select("id")
+
+
+QUERIES, ORACLES = query.queries, query.oracles
