@@ -3,14 +3,14 @@
 Base rules find assigned values, access keys and hex runs. The method adds tokens that a character
 Markov model of random strings explains better than one of ordinary identifiers: the mean
 log-likelihood ratio of their character pairs is over a threshold. Both models are trained from
-labelled samples: values that the base rules found are random strings, the other long tokens of the
-same texts are ordinary ones.
+labelled samples: values that the base rules found and base64 of digests are random strings, the
+other long tokens of the same texts are ordinary ones.
 
 Spark gives matched strings, not positions. A text split at a pattern gives what lies between the
 matches, so the running lengths of pieces and matches are the code-point positions.
 
-Cases: a null text is empty and has no spans; rows that repeat are scanned alike; without labelled
-values nothing is added; ids are not read, extra columns are kept; an empty table gives an empty
+Cases: a null text is empty and has no spans; rows that repeat are scanned alike; without ordinary
+tokens nothing is added; ids are not read, extra columns are kept; an empty table gives an empty
 result.
 """
 
@@ -71,10 +71,11 @@ def pairs(token: Column) -> Column:
     return F.zip_with(F.slice(codes, F.lit(1), n), F.slice(codes, F.lit(2), n), lambda a, b: a * CLASSES + b)
 
 
-def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 20_000, smoothing: float = 0.5) -> list[float] | None:
+def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 20_000, drawn: int = 4_000, smoothing: float = 0.5, backoff: float = 5.0) -> list[float] | None:
     """Log-likelihood ratio (random over ordinary) of each pair of character classes.
 
-    Trained on the whole texts of about ``max_docs`` documents at most, chosen by a hash of the text.
+    Trained on the whole texts of about ``max_docs`` documents at most, chosen by a hash of the text, and
+    on ``drawn`` strings of 43 random characters.
     The driver receives at most two counts for each of the 69 x 69 pairs.
     """
     n = docs.count()
@@ -87,16 +88,21 @@ def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 20_000, smoothi
         rest = F.regexp_replace(rest, pattern, " ")
     sample = known.select(F.transform(found, lambda s: s["value"]).alias("random"), F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0)).alias("ordinary"))
     tokens = sample.select(F.explode(F.create_map(F.lit("random"), "random", F.lit("ordinary"), "ordinary")).alias("label", "tokens")).select("label", F.explode("tokens").alias("token"))
+    digest = F.base64(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)))
+    tokens = tokens.union(docs.sparkSession.range(drawn).select(F.lit("random"), F.substring(digest, 1, 43)))
     counts = tokens.select("label", F.explode(pairs(F.col("token"))).alias("pair")).groupBy("label", "pair").count().collect()
-    table = {"random": [smoothing] * CLASSES**2, "ordinary": [smoothing] * CLASSES**2}
+    table = {label: [0.0] * CLASSES**2 for label in ("random", "ordinary")}
     for row in counts:
-        table[row["label"]][row["pair"]] += row["count"]
-    if not any(row["label"] == "random" for row in counts):
+        table[row["label"]][row["pair"]] += row["count"] - 1  # what was seen once may be the secret itself
+    if not any(table["ordinary"]):
         return None
     logs = {}
     for label, values in table.items():
-        sums = [sum(values[a * CLASSES : (a + 1) * CLASSES]) for a in range(CLASSES)]
-        logs[label] = [math.log(v / sums[i // CLASSES]) for i, v in enumerate(values)]
+        after = [sum(values[b::CLASSES]) for b in range(CLASSES)]
+        single = [(n + smoothing) / (sum(after) + smoothing * CLASSES) for n in after]
+        before = [sum(values[a * CLASSES : (a + 1) * CLASSES]) for a in range(CLASSES)]
+        # a character that rarely came before falls back to how often the next one comes at all
+        logs[label] = [math.log((v + backoff * single[i % CLASSES]) / (before[i // CLASSES] + backoff)) for i, v in enumerate(values)]
     return [r - o for r, o in zip(logs["random"], logs["ordinary"])]
 
 
