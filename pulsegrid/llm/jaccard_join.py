@@ -81,21 +81,24 @@ def size_class(n: int) -> tuple[int, int]:
 def signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
     """Hashes of the segments of a set, in its own size class and in the next if a partner can be there.
 
-    In a class with ``d`` as the greatest possible difference there are d + 1 + spare segments, so at
-    least spare + 1 of them agree. Empty segments are left out unless there are more than spare.
+    In a class with ``d`` as the greatest possible difference there are d + 1 + spare segments. Each
+    filled segment of a set in which a partner differs takes a differing element, so a set with more
+    filled segments than it can differ from any partner in the class agrees on a filled one. Empty
+    segments tell little and are left out for such sets; a pair of others has them on both sides.
     """
     out, n, total = [], len(s), np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s), out=total[1:])
     high = s >> np.uint64(32)
-    for c, top in sorted({size_class(n), size_class(n * rule.den // rule.num)}):
+    most = n * rule.den // rule.num  # the size of the largest partner
+    for c, top in sorted({size_class(n), size_class(most)}):
         d = 2 * top * (rule.den - rule.num) // (rule.den + rule.num)
         if d:
-            spare = d // 16
-            m = d + 1 + spare
+            m = d + 2 + d // 8
             cuts = np.searchsorted(high, (np.arange(m + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(m))
             part = mix(total[cuts[1:]] - total[cuts[:-1]] + np.uint64(c << 32) + np.arange(m, dtype=np.uint64))
             full = cuts[1:] > cuts[:-1]
-            out.append(part[full] if m - full.sum() <= spare else part)
+            differing = (n + min(top, most)) * (rule.den - rule.num) // (rule.den + rule.num)
+            out.append(part[full] if full.sum() > differing else part)
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -273,7 +276,7 @@ def jaccard_components(
     text_col: str = "text",
     rule: Rule = Rule(),
     group_size: int = 256,
-    group_shingles: int = 65_536,
+    group_shingles: int = 262_144,
     queries_per_task: int = 2_048,
 ) -> DataFrame:
     """One row per document: id, n_shingles and component_id, the least id it reaches by links."""

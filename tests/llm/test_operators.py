@@ -181,6 +181,19 @@ def test_jaccard_components(docs, texts, empty, rule):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+@pytest.mark.parametrize("rule", [jaccard_join.Rule(), jaccard_join.Rule(5, 80, 100)])
+def test_similar_sets_share_a_signature(rule):
+    rng = np.random.default_rng(3)
+    for _ in range(4_000):
+        n = int(rng.integers(1, 140))
+        pool = rng.integers(0, 2**64, 3 * n, dtype=np.uint64)
+        lost = int(rng.integers(0, n // 5 + 1))
+        a, b = np.unique(pool[:n]), np.unique(pool[lost : n + int(rng.integers(0, n // 5 + 1))])
+        inter = len(np.intersect1d(a, b))
+        if len(b) and rule.similar(inter, len(a), len(b)) and not np.array_equal(a, b):
+            assert np.intersect1d(jaccard_join.signatures(a, rule), jaccard_join.signatures(b, rule)).size
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(rng.randint(200, 260), rng.randint(200, 260)) for _ in range(40)] + [(5, 5), (7, 6), (None, 3)]
