@@ -9,6 +9,8 @@
    each member. A query set that shares a segment with a group is compared with the union first; only
    if that overlap can reach the threshold is the group opened and each member counted.
 4. Links that join a new pair of parts within a group are kept, and the components of all links found.
+5. A set asks the first of its groups, and after that only those that hold a member it is not yet
+   connected with.
 
 No pair list of a group of copies is made: queries meet groups, not members, one after the other in
 a task's stream, and a group with very many queries is copied to several tasks.
@@ -78,15 +80,15 @@ def size_class(n: int) -> tuple[int, int]:
     return c, top
 
 
-def signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
-    """Hashes of the segments of a set, in its own size class and in the next if a partner can be there.
+def signatures(s: np.ndarray, rule: Rule) -> tuple[np.ndarray, int]:
+    """Hashes of the segments of a set, in its own size class and in the next if a partner can be there; how many it shares with any partner at least.
 
     In a class with ``d`` as the greatest possible difference there are d + 1 + spare segments. Each
     filled segment of a set in which a partner differs takes a differing element, so a set with more
     filled segments than it can differ from any partner in the class agrees on a filled one. Empty
     segments tell little and are left out for such sets; a pair of others has them on both sides.
     """
-    out, n, total = [], len(s), np.zeros(len(s) + 1, np.uint64)
+    out, needs, n, total = [], [], len(s), np.zeros(len(s) + 1, np.uint64)
     np.cumsum(mix(s), out=total[1:])
     high = s >> np.uint64(32)
     most = n * rule.den // rule.num  # the size of the largest partner
@@ -99,34 +101,35 @@ def signatures(s: np.ndarray, rule: Rule) -> np.ndarray:
             full = cuts[1:] > cuts[:-1]
             differing = (n + min(top, most)) * (rule.den - rule.num) // (rule.den + rule.num)
             out.append(part[full] if full.sum() > differing else part)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+            needs.append(max(1, int(full.sum()) - differing))
+    return (np.concatenate(out), min(needs)) if out else (np.zeros(0, np.uint64), 1)
 
 
 def described(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
-    """(_id, n_shingles, k1, k2, signatures): k1 and k2 are 128 bits for the whole set, null without one."""
+    """(_id, n_shingles, need, k1, k2, signatures): k1 and k2 are 128 bits for the whole set, null without one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            sizes, keys, known, parts = np.zeros(n, np.int64), np.zeros((2, n), np.uint64), np.zeros(n, bool), [np.zeros(0, np.uint64)] * n
+            sizes, needs, keys, known, parts = np.zeros(n, np.int64), np.ones(n, np.int32), np.zeros((2, n), np.uint64), np.zeros(n, bool), [np.zeros(0, np.uint64)] * n
             for chunk in chunks(batch.column("_text")):
                 for i, s in shingle_sets(chunk, rule):
                     at = chunk.first + i
                     sizes[at], known[at] = len(s), True
                     keys[0, at], keys[1, at] = mix(s).sum(dtype=np.uint64), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-                    parts[at] = signatures(s, rule)
+                    parts[at], needs[at] = signatures(s, rule)
             offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes), *[pa.array(k.view(np.int64), mask=~known) for k in keys], lists], names=["_id", "n_shingles", "k1", "k2", "signatures"])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(sizes), pa.array(needs), *[pa.array(k.view(np.int64), mask=~known) for k in keys], lists], names=["_id", "n_shingles", "need", "k1", "k2", "signatures"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_shingles bigint, k1 bigint, k2 bigint, signatures array<bigint>")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id {kind}, n_shingles bigint, need int, k1 bigint, k2 bigint, signatures array<bigint>")
 
 
 def chosen_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, rule: Rule) -> DataFrame:
-    """(node, members): the sets of ``nodes``, read from the texts again.
+    """(node, k1, k2, members): the sets of ``nodes`` and few others, read from the texts again.
 
-    A bitmap of 2 ** MAP_BITS bits spares most other documents the work; the join that follows decides.
+    A bitmap of 2 ** MAP_BITS bits spares most other documents the work; the caller's join decides.
     """
     bit = F.shiftrightunsigned(F.xxhash64("node"), 64 - MAP_BITS)
     rows = nodes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("mask")).toPandas()
@@ -148,9 +151,7 @@ def chosen_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, r
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.shiftrightunsigned(F.xxhash64(id_col), 64 - MAP_BITS).alias("_bit"), F.col(text_col).alias("_text"))
-    found = source.mapInArrow(run, f"_id {kind}, k1 bigint, k2 bigint, members binary")
-    same = (found["_id"] == nodes["node"]) & (found["k1"] == nodes["k1"]) & (found["k2"] == nodes["k2"])
-    return found.join(nodes.select("node", "k1", "k2"), same).select("node", "members").dropDuplicates(["node"])
+    return source.mapInArrow(run, f"_id {kind}, k1 bigint, k2 bigint, members binary").withColumnRenamed("_id", "node")
 
 
 def dealt(nodes: DataFrame, group_size: int, group_shingles: int) -> DataFrame:
@@ -210,10 +211,10 @@ class Group:
 
 
 def matched(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Links (u, v) from rows (gid, salt, kind, node, members), members of a group before its queries."""
+    """Links (u, v) from rows (gid, salt, kind, node, k1, members), members of a group before its queries; repeated rows count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, key, filling = Group(rule), None, False
+        group, key, filling, last = Group(rule), None, False, None
 
         def closed() -> list[tuple]:
             if not filling:
@@ -223,7 +224,9 @@ def matched(rows: DataFrame, rule: Rule) -> DataFrame:
 
         for batch in batches:
             links = []
-            for gid, salt, kind, node, members in zip(*[batch.column(c).to_pylist() for c in ("gid", "salt", "kind", "node")], batch.column("members")):
+            for gid, salt, kind, node, k1, members in zip(*[batch.column(c).to_pylist() for c in ("gid", "salt", "kind", "node", "k1")], batch.column("members")):
+                if last == (last := (gid, salt, kind, node, k1)):
+                    continue
                 if (gid, salt) != key:
                     links += closed()
                     group, key, filling = Group(rule), (gid, salt), True
@@ -241,12 +244,23 @@ def matched(rows: DataFrame, rule: Rule) -> DataFrame:
 
     kind = rows.schema["node"].dataType.simpleString()
     out_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
-    ordered = rows.repartition("gid", "salt").sortWithinPartitions("gid", "salt", "kind")
+    ordered = rows.repartition("gid", "salt").sortWithinPartitions("gid", "salt", "kind", "node", "k1")
     return ordered.mapInArrow(run, f"u {kind}, v {kind}")
 
 
-def similar_links(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes: DataFrame, rule: Rule, group_size: int, group_shingles: int, queries_per_task: int) -> DataFrame:
-    """Enough links (u, v) between nodes to connect all that are similar; rows: described(), nodes: node, k1, k2, n."""
+def opened(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, groups: DataFrame, queries: DataFrame, rule: Rule, queries_per_task: int) -> DataFrame:
+    """Links (u, v) within the groups (node, gid) and of queries (node, gid) with them."""
+    salts = stage(queries.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / queries_per_task).cast("int").alias("salts")), "salts")
+    sizes = groups.groupBy("gid").agg(F.count(F.lit(1)).alias("size")).join(salts, "gid", "left").where("size > 1 or salts is not null")
+    members = groups.join(sizes, "gid").select("node", "gid", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), F.lit(0).alias("kind"))
+    asked = queries.join(salts, "gid").select("node", "gid", F.pmod(F.hash("node"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"))
+    places = stage(members.unionByName(asked).join(nodes.select("node", "k1", "k2"), "node"), "places")
+    sets = chosen_sets(docs, id_col, text_col, places, rule)
+    return matched(places.join(sets, ["node", "k1", "k2"]), rule)
+
+
+def similar_parts(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes: DataFrame, rule: Rule, group_size: int, group_shingles: int, queries_per_task: int) -> DataFrame:
+    """(node, root) for every node with a link; rows: described(), nodes: node, k1, k2, n, need."""
     own = nodes.select("node", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
     same = (F.col("_id") == F.col("node")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
     by = W.partitionBy("signature")
@@ -259,15 +273,21 @@ def similar_links(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame,
     placed = stage(shared.select("node", "signature").join(groups, "node"), "placed")
     blocks = stage(placed.groupBy("signature").agg(F.collect_set("gid").alias("others")), "blocks")
     asked = placed.join(blocks, "signature").select("node", F.filter("others", lambda g: g < F.col("gid")).alias("others")).where(F.size("others") > 0)
-    asked = asked.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
-    queries = stage(asked.select("node", F.explode("others").alias("gid")), "queries")
-    salts = stage(queries.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / queries_per_task).cast("int").alias("salts")), "salts")
-    wanted = groups.select("node").join(nodes.select("node", "k1", "k2"), "node")
-    sets = stage(chosen_sets(docs, id_col, text_col, wanted, rule), "sets")
-    n_salts = F.coalesce("salts", F.lit(1))
-    members = groups.join(salts, "gid", "left").select("node", "gid", F.explode(F.sequence(F.lit(0), n_salts - 1)).alias("salt"), F.lit(0).alias("kind"))
-    asked = queries.join(salts, "gid").select("node", "gid", F.pmod(F.hash("node"), F.col("salts")).alias("salt"), F.lit(1).alias("kind"))
-    return matched(members.unionByName(asked).join(sets, "node"), rule)
+    asked = asked.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("others"))).alias("met"))
+    enough = F.array_distinct(F.filter("met", lambda g, i: F.get("met", i + F.col("need") - 1) == g))
+    asked = asked.join(nodes.groupBy("node").agg(F.min("need").alias("need")), "node").select("node", enough.alias("others"))
+    asked = stage(asked.where(F.size("others") > 0), "asked")
+    first = asked.select("node", F.element_at("others", 1).alias("gid"))
+    parts = components(stage(opened(docs, id_col, text_col, nodes, groups, first, rule, queries_per_task), "links"))
+    rooted = stage(groups.join(parts, "node", "left").select("node", "gid", F.coalesce("root", "node").alias("root")), "rooted")
+    spans = stage(rooted.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")), "spans")
+    later = asked.where(F.size("others") > 1).select("node", F.explode(F.slice("others", F.lit(2), F.size("others"))).alias("gid"))
+    later = later.join(rooted.select("node", "root"), "node").join(spans, "gid").where("low < root or high > root").select("node", "gid").distinct()
+    later = stage(later, "later")
+    met = groups.join(later.select("gid").distinct(), "gid", "left_semi")
+    more = opened(docs, id_col, text_col, nodes, met, later, rule, queries_per_task)
+    joined = rooted.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    return components(stage(joined.unionByName(more), "links"))
 
 
 def jaccard_components(
@@ -282,10 +302,9 @@ def jaccard_components(
     """One row per document: id, n_shingles and component_id, the least id it reaches by links."""
     rows = stage(described(docs, id_col, text_col, rule), "described")
     known = rows.where("_id is not null and k1 is not null")
-    nodes = stage(known.groupBy("k1", "k2").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n")), "nodes")
-    links = stage(similar_links(docs, id_col, text_col, rows, nodes, rule, group_size, group_shingles, queries_per_task), "links")
-    roots = components(links)
+    nodes = stage(known.groupBy("k1", "k2").agg(F.min("_id").alias("node"), F.first("n_shingles").alias("n"), F.first("need").alias("need")), "nodes")
+    roots = similar_parts(docs, id_col, text_col, rows, nodes, rule, group_size, group_shingles, queries_per_task)
     labels = stage(nodes.select("k1", "k2", "node").join(roots, "node", "left").select("k1", "k2", F.coalesce("root", "node").alias("component_id")), "labels")
-    found = rows.drop("signatures").join(labels, ["k1", "k2"], "left")
+    found = rows.drop("signatures", "need").join(labels, ["k1", "k2"], "left")
     own = F.when(F.col("_id").isNotNull(), F.coalesce("component_id", "_id"))
     return found.select(F.col("_id").alias(id_col), "n_shingles", own.alias("component_id"))

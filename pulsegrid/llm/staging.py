@@ -23,10 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and read it back."""
+    """Write ``df`` as Parquet below the shared folder and read it back.
+
+    The shuffle files of the write are of no more use; Spark deletes them once the driver has
+    collected its garbage, which would else happen much later.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
     df.write.parquet(path)
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
