@@ -261,6 +261,34 @@ def test_substring_dedup(spark, docs, texts, empty):
     assert substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_windows_of_a_frequent_shingle_meet_by_what_is_around(spark):
+    rule = substring_dedup.Passages()
+    rows = []
+    for f in range(4):
+        for node in range(1, 301):
+            same = 7 if node in (70, 230) else node * 131 + f
+            around = sum((same * (i + 3) % 65_521 + 1) << (16 * i) for i in range(3))
+            rows.append((node, 900 + f, (f << 61) | (500 << 34) | (60 << 17) | 60, around))
+    windows = spark.createDataFrame(rows, "node long, key long, packed long, around long")
+    found = substring_dedup.paired(windows, rule).collect()
+    assert (70, 230) in {(r["a"], r["b"]) for r in found}
+    assert len(found) < 2_000
+    again = spark.createDataFrame([(r[0] + 1_000, *r[1:]) for r in rows if r[0] in (70, 230)] * 300, windows.schema)
+    assert [(r["a"], r["b"]) for r in substring_dedup.paired(again, rule).collect()] == [(1_070, 1_230)]
+
+
+def test_passage_twice_in_one_text(spark):
+    rng = random.Random(12)
+    passage = prose(rng, 80)
+    rows = {1: f"{prose(rng, 60)} {passage}", 2: f"{passage} {prose(rng, 70)} {passage} {prose(rng, 9)}", 3: f"{prose(rng, 30)} {passage} {prose(rng, 40)} {passage}"}
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    held = defaultdict(set)
+    for r in substring_dedup.repeated_passages(df).collect():
+        held[r["doc_id"]] |= set(range(r["start"], r["start"] + r["n_words"]))
+        held[r["other_id"]] |= set(range(r["other_start"], r["other_start"] + r["other_words"]))
+    assert held == {1: {*range(60, 140)}, 2: {*range(80), *range(150, 230)}, 3: {*range(30, 110), *range(150, 230)}}
+
+
 def test_compact_windows():
     rng = np.random.default_rng(4)
     h = np.concatenate([[0], rng.permutation(np.arange(1, 80)), [0], rng.permutation(np.arange(1, 50)), [0]]).astype(np.uint64)
