@@ -289,6 +289,20 @@ def test_passage_twice_in_one_text(spark):
     assert held == {1: {*range(60, 140)}, 2: {*range(80), *range(150, 230)}, 3: {*range(30, 110), *range(150, 230)}}
 
 
+def test_passages_just_similar_enough(spark):
+    rng = random.Random(21)
+    rows = []
+    for i in range(168):
+        passage = prose(rng, 50)
+        edited = passage.split()
+        edited[4 + i % 42] = "edited"  # 41 of 51 shingles are common
+        rows += [(2 * i, f"{prose(rng, 40)} {passage} {prose(rng, 40)}"), (2 * i + 1, f"{prose(rng, 30)} {' '.join(edited)} {prose(rng, 50)}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.repeated_passages(df).collect()
+    assert {tuple(sorted((r["doc_id"], r["other_id"]))) for r in found} == {(2 * i, 2 * i + 1) for i in range(168)}
+    assert all(r["similarity"] >= 0.8 and r["n_words"] >= 50 and r["other_words"] >= 50 for r in found)
+
+
 def test_compact_windows():
     rng = np.random.default_rng(4)
     h = np.concatenate([[0], rng.permutation(np.arange(1, 80)), [0], rng.permutation(np.arange(1, 50)), [0]]).astype(np.uint64)
