@@ -1,7 +1,7 @@
 """Visible text of web pages, laid out as a reader would see it.
 
 Tags open and close elements on a stack: start tags imply the end of open paragraphs, list items, rows
-and cells, and cells imply a row. Visibility rules drop what a browser does not show. What is left is
+and cells, cells imply a row, and what can not stand in a head ends it. Visibility rules drop what a browser does not show. What is left is
 laid out: blocks on lines of their own with a blank line around paragraphs and headings, list items
 with markers and indents, and table cells in aligned columns.
 
@@ -38,6 +38,8 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select"])),
     "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
 } | dict.fromkeys(["thead", "tbody", "tfoot"], (frozenset(["thead", "tbody", "tfoot", "tr", "caption", "colgroup"]), frozenset(["table"])))
+#: What a head can hold; any other start tag or text ends it.
+IN_HEAD = frozenset("title meta link base basefont bgsound script style template noscript noframes head html".split())
 P_SCOPE = frozenset("button td th table caption li ul ol dl dd".split())
 CELL_SCOPE = frozenset(["td", "th", "caption"])
 TABLE_TAGS = frozenset("table thead tbody tfoot tr td th caption".split())
@@ -146,6 +148,8 @@ class Page:
         self.out, self.tables, self.counters = Lines(), [], []
 
     def start(self, tag: str, given: str) -> None:
+        if tag not in IN_HEAD and self.open and self.open[-1][0] == "head":
+            self.pop()
         if tag in ENDS_P:
             self.end_one("p", P_SCOPE)
         if tag in IMPLIED:
@@ -258,6 +262,8 @@ class Page:
             self.out.indent, self.out.marker = kept[0], ""
 
     def text(self, raw: str) -> None:
+        if self.open and self.open[-1][0] == "head" and raw.strip():
+            self.pop()
         if self.hidden or self.open and self.open[-1][0] == "details":
             return
         if self.pre:

@@ -392,6 +392,13 @@ def test_html_text(spark):
     assert html_text.extract(df.where("false")).count() == 0
 
 
+def test_head_without_end():
+    head = "<html><head><meta charset=utf-8><title>T</title><style>p {}</style><script>var x = 1</script>\n"
+    for rest in ("<body><p>text", "<p>text", "text", "<div>text</div></body></html>", "</head><body>text"):
+        assert html_text.render(head + rest) == "text", rest
+    assert html_text.render("<head><title>T</title><noscript><p>unseen</p></noscript><template><p>unseen</template><body>text") == "text"
+
+
 def test_pipeline(spark, tmp_path, texts):
     import corpus_pipeline
 
