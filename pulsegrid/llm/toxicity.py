@@ -119,10 +119,11 @@ def telling(df: np.ndarray, n: np.ndarray, z: float, least: int) -> np.ndarray:
     return np.flatnonzero((np.abs(df[1] / n[1] - df[0] / n[0]) > z * error) & (df.max(axis=0) >= least))
 
 
-def train(texts: pa.Array, labels: np.ndarray, buckets: int = 1 << 18, dim: int = 8, width: int = 128, z: float = 5.0, least: int = 5, rounds: int = 12, steps: int = 25, rate: float = 0.2, decay: float = 1e-4, seed: int = 7) -> ToxicityModel:
+def train(texts: pa.Array, labels: np.ndarray, buckets: int = 1 << 18, dim: int = 8, width: int = 128, z: float = 5.0, least: int = 5, rounds: int = 12, steps: int = 25, rate: float = 0.2, decay: float = 1e-4, seed: int = 7, shares: tuple[float, float] = (1.0, 1.0)) -> ToxicityModel:
     """Fit the embeddings of telling n-grams and the softmax together, by Adam.
 
-    Each document stands for the window that scores highest so far; the windows are chosen anew
+    Without telling n-grams the bias alone is fitted, the log odds of the labels. ``shares`` are the parts
+    of clean and toxic labels that were sampled; their log ratio is taken from the bias after. Each document stands for the window that scores highest so far; the windows are chosen anew
     ``rounds`` times, with ``steps`` steps between. Other n-grams have no embedding and only count in
     the mean.
     """
@@ -181,17 +182,19 @@ def train(texts: pa.Array, labels: np.ndarray, buckets: int = 1 << 18, dim: int
                 param -= rate * (m / (1 - 0.9**clock)) / (np.sqrt(v / (1 - 0.99**clock)) + 1e-8)
     weights = np.zeros(buckets, np.float32)
     weights[chosen] = scale * (emb @ (out[:, 1] - out[:, 0]))
-    return ToxicityModel(weights, float(bias[1] - bias[0]), width)
+    fitted = bias[1] - bias[0] if len(chosen) else np.log(n[1] / n[0])
+    return ToxicityModel(weights, float(fitted - np.log(shares[1] / shares[0])), width)
 
 
-def sampled(labels: DataFrame, id_col: str, label_col: str, max_rows: int, max_toxic: int) -> DataFrame | None:
-    """About ``max_rows`` labels at most, up to ``max_toxic`` of them toxic, chosen by a hash of the id; None unless both kinds are there."""
+def sampled(labels: DataFrame, id_col: str, label_col: str, max_rows: int, max_toxic: int) -> tuple[DataFrame, tuple[float, float]] | None:
+    """About ``max_rows`` labels at most, up to ``max_toxic`` of them toxic, chosen by a hash of the id, and the shares of clean and toxic ones; None unless both kinds are there."""
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return None
-    share = F.when(F.col("label") == 1, min(1.0, max_toxic / sizes[1])).otherwise(min(1.0, (max_rows - max_toxic) / sizes[0]))
-    return known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30))
+    shares = min(1.0, (max_rows - max_toxic) / sizes[0]), min(1.0, max_toxic / sizes[1])
+    share = F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])
+    return known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30)), shares
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 9_000, max_toxic: int = 2_500) -> ToxicityModel | None:
@@ -203,10 +206,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = sampled(labels, id_col, label_col, max_rows, max_toxic)
     if chosen is None:
         return None
+    chosen, shares = chosen
     sample = docs.join(F.broadcast(chosen), id_col).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label")
     sample = sample.orderBy(F.xxhash64("text")).toArrow()
     found = sample.column("label").to_numpy()
-    return train(sample.column("text").combine_chunks(), found) if len(set(found)) == 2 else None
+    return train(sample.column("text").combine_chunks(), found, shares=shares) if len(set(found)) == 2 else None
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:

@@ -363,6 +363,21 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score_corpus(empty, none).count() == 0
 
 
+def test_toxicity_bias(spark):
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    texts, labels = [prose(rng, 30) for _ in range(40)], np.array([1] * 4 + [0] * 36)
+    few = toxicity.train(pa.array(texts), labels)  # no n-gram tells the labels apart
+    assert not few.weights.any() and abs(few.bias - np.log(4 / 36)) < 1e-6
+    texts = [t + " scumbag" * int(i % 3 == 0) for i, t in enumerate(prose(rng, 30) for _ in range(300))]
+    labels = np.array([int(i % 3 == 0) for i in range(300)])
+    whole, part = (toxicity.train(pa.array(texts), labels, shares=s) for s in ((1.0, 1.0), (0.25, 1.0)))
+    assert whole.weights.any() and abs(whole.bias - part.bias - np.log(4)) < 1e-6
+    known = spark.range(1_000).selectExpr("id as doc_id", "cast(id % 10 = 0 as int) as toxic")
+    assert toxicity.sampled(known, "doc_id", "toxic", 500, 50)[1] == (0.5, 0.5)
+
+
 PAGES = [
     ("<p>One <b>two</b><p>three<br>four", "One two\n\nthree\nfour"),
     ("<ul><li>a<li>b<ul><li>c</ul></ul>after", "- a\n- b\n  - c\n\nafter"),
