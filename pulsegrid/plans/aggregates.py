@@ -100,6 +100,7 @@ TM = {"tokens": TOKENS, "messages": MESSAGES}
 USER_ROWS = {"user_messages": f"sum(CASE WHEN {ROLE} = 'user' THEN 1 ELSE 0 END)", "assistant_messages": f"sum(CASE WHEN {ROLE} = 'assistant' THEN 1 ELSE 0 END)", "slash_count": f"sum(CASE WHEN {ROLE} = 'user' THEN coalesce(slash_command_count, 0) + coalesce(slash_skill_count, 0) ELSE 0 END)"}
 SUMS = {"user_messages": "sum(user_messages)", "assistant_messages": "sum(assistant_messages)"}
 IO = {"input_tokens": "sum(input_tokens)", "output_tokens": "sum(output_tokens)"}
+MESSAGE_IO = {"input_tokens": "coalesce(sum(input_tokens), 0)", "output_tokens": "coalesce(sum(output_tokens), 0)", "n": "count(*)"}
 OVERVIEW = {k: f"coalesce(sum(CASE WHEN {COUNTED} THEN {c} END), 0)" for k, c in (("input_tokens", "input_tokens_delta"), ("output_tokens", "output_tokens_delta"), ("messages", "messages_delta"))} | {
     "sessions": f"count(DISTINCT CASE WHEN {COUNTED} THEN session_id END)", "users": f"count(DISTINCT CASE WHEN {COUNTED} THEN user_code END)",
     "projects": f"count(DISTINCT CASE WHEN {COUNTED} THEN s_project_name END)", "tool_calls": f"sum(CASE WHEN {TOOL} THEN 1 ELSE 0 END)"}
@@ -145,6 +146,10 @@ SINGLE: dict[str, Query] = {
     "agg_m7": me({"n": "count(*)"}, {"role": ROLE}, f"user_code = '{USER}'", "message_time"),
     "agg_m8": ms(USER_ROWS, {"day": "cast(message_time AS date)"}, f"user_code = '{USER}'"),
     "agg_m9": ms({"commands": "coalesce(sum(slash_command_count), 0)", "skills": "coalesce(sum(slash_skill_count), 0)"}, {"user_code": "user_code"}, SESSIONS, None),
+    "agg_e20_all": ev(TM, {"session_id": "session_id"}, time=None),
+    "agg_m3_all": me(MESSAGE_IO, {"session_id": "session_id"}, time="message_time"),
+    "agg_m4_all": me(MESSAGE_IO, {"session_id": "session_id"}, f"{ROLE} IN ('user', 'assistant', 'subagent')", "message_time"),
+    "agg_m9_all": ms({"commands": "coalesce(sum(slash_command_count), 0)", "skills": "coalesce(sum(slash_skill_count), 0)"}, {"session_id": "session_id", "user_code": "user_code"}, time=None),
     "agg_m12": me({}, {"session_id": "session_id"}, "position('skill.md' IN lower(content_text)) > 0"),
     "agg_m13": of("commit_file", {"files": "count(*)", "with_patch": "sum(CASE WHEN has_patch THEN 1 ELSE 0 END)"}, {"commit_id": "commit_id"}),
     "agg_s2": se(IO, {"project_name": "project_name"}, "project_name IS NOT NULL"),

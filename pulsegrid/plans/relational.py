@@ -184,6 +184,12 @@ def flt_30(t: Lake) -> DataFrame:
     return t.message.where((F.col("session_id") % 100 == 7) & filters.role().isin("user", "assistant") & filters.between("message_time", START, END)).select("id", "seq")
 
 
+@query("flt_30_all", f"SELECT id, session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(conversation_order, 2147483647) DESC, message_time DESC, seq DESC, id) AS place FROM message WHERE lower(trim(role)) IN ('user', 'assistant') AND {half_open('message_time')}")
+def flt_30_all(t: Lake) -> DataFrame:
+    """The messages of every session in the window, in order."""
+    return in_order(t.message.where(filters.role().isin("user", "assistant") & filters.between("message_time", START, END)))
+
+
 @query("flt_32", "SELECT f.id, f.path FROM commit_file f JOIN commits c ON f.commit_id = c.id WHERE c.commit_hash = 'hash12' OR c.commit_hash = 'hash30'")
 def flt_32(t: Lake) -> DataFrame:
     chosen = t.commits.where(F.col("commit_hash").isin("hash12", "hash30")).select(F.col("id").alias("commit_id"))
@@ -210,6 +216,17 @@ def srt_3(t: Lake) -> DataFrame:
     return chosen.select("id", "seq", F.row_number().over(W.orderBy(F.coalesce("conversation_order", F.lit(2147483647)).desc(), F.desc("message_time"), F.desc("seq"), "id")).cast("long").alias("place"))
 
 
+def in_order(messages: DataFrame) -> DataFrame:
+    newest = W.partitionBy("session_id").orderBy(F.coalesce("conversation_order", F.lit(2147483647)).desc(), F.desc("message_time"), F.desc("seq"), "id")
+    return messages.select("id", "session_id", "seq", F.row_number().over(newest).cast("long").alias("place"))
+
+
+@query("srt_3_all", "SELECT id, session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(conversation_order, 2147483647) DESC, message_time DESC, seq DESC, id) AS place FROM message")
+def srt_3_all(t: Lake) -> DataFrame:
+    """The message order of every session."""
+    return in_order(t.message)
+
+
 @query("srt_4", "SELECT id, last_seen FROM device ORDER BY last_seen ASC NULLS FIRST, id LIMIT 30")
 def srt_4(t: Lake) -> DataFrame:
     return t.device.orderBy(F.asc_nulls_first("last_seen"), "id").limit(30).select("id", "last_seen")
