@@ -41,6 +41,7 @@ WORD = np.ones(256, bool)
 WORD[[32, *range(9, 14)]] = False
 
 MAP_BITS = 23
+ROWS = 1_024  # bit rows that are counted at once
 STEP = 1.5  # size classes grow by this factor
 
 
@@ -137,9 +138,9 @@ def chosen_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, r
     packed[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column("_bit").to_numpy()]))
+            bit = batch.column("_bit").to_numpy()
+            batch = batch.filter(pa.array((packed[bit >> 6] >> (bit & 63)) & 1 == 1))
             for chunk in chunks(batch.column("_text")):
                 at, sets, keys = [], [], []
                 for i, s in shingle_sets(chunk, rule):
@@ -185,8 +186,9 @@ class Group:
     def close(self) -> None:
         self.sizes = np.array([len(s) for s in self.sets])
         self.union, where = np.unique(np.concatenate(self.sets), return_inverse=True)
-        self.bits = np.zeros((len(self.union), len(self.sets)), np.uint8)
-        self.bits[where, np.repeat(np.arange(len(self.sets)), self.sizes)] = 1
+        member = np.repeat(np.arange(len(self.sets)), self.sizes)
+        self.bits = np.zeros((len(self.union), (len(self.sets) + 7) // 8), np.uint8)  # eight members a byte
+        np.bitwise_or.at(self.bits, (where, member >> 3), (1 << (member & 7)).astype(np.uint8))
 
     def part(self, node):
         while (up := self.parts.get(node, node)) != node:
@@ -200,7 +202,10 @@ class Group:
         at = at[self.union[at] == s]
         if self.rule.den * len(at) < self.rule.num * len(s):  # no member can share enough
             return []
-        inter = self.bits[at, :upto].sum(axis=0, dtype=np.int64)
+        inter = np.zeros(8 * self.bits.shape[1], np.int64)
+        for k in range(0, len(at), ROWS):
+            inter += np.unpackbits(self.bits[at[k : k + ROWS]], axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        inter = inter[:upto]
         out = []
         for i in np.flatnonzero(self.rule.similar(inter, len(s), self.sizes[:upto])):
             a, b = self.part(self.nodes[i]), self.part(node)

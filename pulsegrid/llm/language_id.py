@@ -32,21 +32,30 @@ FOLDED[65:91] = np.arange(97, 123)
 FOLDED[128:] = np.arange(128, 256)
 
 
-def bucket_counts(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def bucket_counts(data: np.ndarray, offsets: np.ndarray, buckets: int, block: int = 1 << 18) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, bucket, count) of the trigrams of each document, in order of document and bucket."""
     n_docs = len(offsets) - 1
     folded = FOLDED[data]
     blank = folded == 32
     keep = np.ones(len(folded), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
-    docs = np.repeat(np.arange(n_docs), np.diff(offsets))[keep]
-    x = folded[keep].astype(np.uint32)
+    shift = np.uint32(32 - (buckets.bit_length() - 1))
+
+    def codes(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.uint32)
+        return (((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435769) >> shift).astype(np.int64)
+
+    if n_docs == 1:  # a long text is counted block by block
+        x, total = folded[keep], np.zeros(buckets, np.int64)
+        for at in range(0, max(0, len(x) - 2), block):
+            total += np.bincount(codes(x[at : at + block + 2]), minlength=buckets)
+        found = np.flatnonzero(total)
+        return np.zeros(len(found), np.int64), found, total[found]
+    docs, x = np.repeat(np.arange(n_docs), np.diff(offsets))[keep], folded[keep]
     if len(x) < 3:
         return (np.zeros(0, np.int64),) * 3
-    code = ((x[:-2] << np.uint32(16)) | (x[1:-1] << np.uint32(8)) | x[2:]) * np.uint32(2654435769)
-    code = (code >> np.uint32(32 - (buckets.bit_length() - 1))).astype(np.int64)
     same = docs[:-2] == docs[2:]
-    key, count = np.unique(docs[:-2][same] * buckets + code[same], return_counts=True)
+    key, count = np.unique(docs[:-2][same] * buckets + codes(x)[same], return_counts=True)
     return key // buckets, key % buckets, count
 
 
@@ -62,23 +71,23 @@ class LanguageModel:
     def mixture(self, p: np.ndarray, count: np.ndarray, start: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Proportions and log-likelihood of documents whose entries begin at ``start``; zeros of ``pi`` stay zero."""
         sizes = np.diff(np.append(start, len(count)))
-        total = np.add.reduceat(count, start)[:, None]
+        total, joint = np.add.reduceat(count, start)[:, None], np.empty_like(p)
         for _ in range(self.rounds):
-            joint = p * np.repeat(pi, sizes, axis=0)
+            np.multiply(p, np.repeat(pi.astype(p.dtype), sizes, axis=0), out=joint)
             joint *= (count / joint.sum(axis=1))[:, None]
-            pi = np.add.reduceat(joint, start, axis=0) / total
-        joint = (p * np.repeat(pi, sizes, axis=0)).sum(axis=1)
-        return pi, np.add.reduceat(count * np.log(joint), start)
+            pi = np.add.reduceat(joint, start, axis=0, dtype=np.float64) / total
+        np.multiply(p, np.repeat(pi.astype(p.dtype), sizes, axis=0), out=joint)
+        return pi, np.add.reduceat(count * np.log(joint.sum(axis=1, dtype=np.float64)), start)
 
     def identify(self, doc: np.ndarray, bucket: np.ndarray, count: np.ndarray, n_docs: int) -> np.ndarray:
         """Proportions of the languages (documents x languages) under the chosen set; 0 without entries."""
         out = np.zeros((n_docs, len(self.languages)))
         if not len(doc):
             return out
-        p, count = self.probs[bucket].astype(np.float64), count.astype(np.float64)
+        p, count = self.probs[bucket], count.astype(np.float64)
         known, start = np.unique(doc, return_index=True)
         n, sizes = len(self.languages), np.diff(np.append(start, len(doc)))
-        alone = np.add.reduceat(np.log(p) * count[:, None], start, axis=0)
+        alone = np.add.reduceat(np.log(p) * count[:, None], start, axis=0, dtype=np.float64)
         best = np.zeros((len(known), n))
         best[np.arange(len(known)), alone.argmax(axis=1)] = 1
         score = alone.max(axis=1) - self.penalty
@@ -128,7 +137,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", ma
     for j, name in enumerate(languages):
         own = table[table["label"] == name]
         probs[own["bucket"].to_numpy(), j] += own["n"].to_numpy()
-    return LanguageModel(languages, probs / probs.sum(axis=0), penalty)
+    return LanguageModel(languages, (probs / probs.sum(axis=0)).astype(np.float32), penalty)
 
 
 def has_letter(text: str) -> bool:

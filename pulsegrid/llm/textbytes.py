@@ -1,7 +1,9 @@
 """Whole texts as arrays of UTF-8 bytes: words and n-grams of many documents at once.
 
-For use inside ``mapInArrow``. A chunk is a run of whole documents of an Arrow batch; memory is
-bounded by ``max_bytes`` or the longest single document.
+For use inside ``mapInArrow``. A chunk is a run of whole documents of an Arrow batch. A very long
+document is a chunk of its own: it takes some bytes for each of its characters and some numbers for each
+of its words; the 8-byte numbers for each character are made for ``BLOCK`` characters at a time, or for
+the longest single word.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BASE, INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+BLOCK = 1 << 17
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -30,15 +33,25 @@ class Chunk:
     offsets: np.ndarray
 
 
-def chunks(texts: pa.Array, max_bytes: int = 1 << 21) -> Iterator[Chunk]:
+def utf8(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of the texts, and where each begins (one more entry); nothing is copied unless null entries have bytes."""
+    n = len(texts)
+    wide = texts.type == pa.large_string()
+    _, offs, data = texts.buffers()
+    if offs is None:
+        return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
+    offsets = np.frombuffer(offs, np.int64 if wide else np.int32)[texts.offset : texts.offset + n + 1].astype(np.int64)
+    if texts.null_count and (np.diff(offsets)[texts.is_null().to_numpy(zero_copy_only=False)] > 0).any():
+        return utf8(pc.fill_null(texts, ""))
+    return (np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
+
+
+def chunks(texts: pa.Array, max_bytes: int = 1 << 18) -> Iterator[Chunk]:
     """Runs of whole documents of about ``max_bytes``; a null text is an empty one."""
-    texts = pc.fill_null(texts, "").cast(pa.large_string())
     n = len(texts)
     if not n:
         return
-    _, offs, data = texts.buffers()
-    offsets = np.frombuffer(offs, np.int64)[texts.offset : texts.offset + n + 1]
-    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    data, offsets = utf8(texts)
     first = 0
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + max_bytes, "right")) - 1)
@@ -55,15 +68,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-@lru_cache(2)
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
+@lru_cache(2)
+def _table(base: int) -> np.ndarray:
+    return _powers(base, BLOCK + 1)
+
+
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(21, (n + 1).bit_length()))
+    """The powers 0..n of ``base``; only the table for a block is kept."""
+    return _table(base)[: n + 1] if n <= BLOCK else _powers(base, n + 1)
 
 
 def words(chunk: Chunk, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,13 +101,20 @@ def words(chunk: Chunk, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, from one running polynomial over all bytes."""
-    n = len(data)
-    if not n:
-        return np.zeros(len(starts), np.uint64)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, n)[:n], out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(INVERSE, n)[starts])
+    """A 64-bit hash of the bytes of each span, from a running polynomial; spans are in order and do not overlap.
+
+    Blocks are cut between spans, and the powers count from the block's begin.
+    """
+    out, i, n = np.zeros(len(starts), np.uint64), 0, len(starts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        low, high = int(starts[i]), int(ends[j - 1])
+        total = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * powers(BASE, high - low)[:-1], out=total[1:])
+        at = starts[i:j] - low
+        out[i:j] = (total[ends[i:j] - low] - total[at]) * powers(INVERSE, high - low)[at]
+        i = j
+    return mix(out)
 
 
 def grams(hashes: np.ndarray, docs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -221,7 +221,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("_text")
-            parts = [model.scores(c.data, c.offsets) if model else np.zeros(c.last - c.first) for c in chunks(texts, 1 << 20)]
+            parts = [model.scores(c.data, c.offsets) if model else np.zeros(c.last - c.first) for c in chunks(texts)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())], names=[*others, "score"])
 
     return docs.select(*others, F.col(text_col).alias("_text")).mapInArrow(run, schema)
