@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Commit trailers of AI tools, in order; the first that matches decides (kind, tool, pattern).
+#: Commit trailers of AI tools (kind, pattern, tool); the first that is found anywhere in a body decides.
 TRAILERS = (
-    ("claude_coauthor", "claude", r"(?im)^co-authored-by:\s*claude\b"),
-    ("cursor_coauthor", "cursor", r"(?im)^co-authored-by:\s*cursor\b"),
-    ("codex_coauthor", "codex", r"(?im)^co-authored-by:\s*codex\b"),
-    ("generated_with", "claude", r"(?i)generated with \[?claude"),
+    ("claude_code", r"generated with \[?claude code\]?", "claude"),
+    ("claude_code", r"claude-session:\s*\S+", "claude"),
+    ("claude_coauthor", r"co-authored-by:\s*claude", "claude"),
+    ("codex", r"co-authored-by:\s*(openai[- ])?codex", "codex"),
+    ("codex", r"generated with (openai )?codex", "codex"),
+    ("cursor", r"co-authored-by:\s*cursor", "cursor"),
+    ("cursor", r"generated with cursor", "cursor"),
+    ("copilot", r"co-authored-by:\s*(github[- ])?copilot", "copilot"),
+    ("aider", r"co-authored-by:\s*aider", "aider"),
+    ("gemini", r"co-authored-by:\s*gemini", "gemini"),
 )
 
 
@@ -58,13 +68,31 @@ def namespace(item: Column) -> Column:
     return F.when(found != "", found)
 
 
-def trailer(body: Column, what: str = "kind") -> Column:
-    """The kind or tool of the first trailer rule that matches a commit body; null if none."""
-    at = 0 if what == "kind" else 1
-    first, *rest = TRAILERS
-    out = F.when(F.coalesce(body, F.lit("")).rlike(first[2]), first[at])
-    for rule in rest:
-        out = out.when(F.coalesce(body, F.lit("")).rlike(rule[2]), rule[at])
+def trailer_rules(configured: str | None = None) -> tuple[tuple[str, str, str | None], ...]:
+    """The fixed rules, and after them those of a JSON array of {kind, pattern, target_type}; what is no rule is left out."""
+    try:
+        found = json.loads(configured or "[]")
+    except ValueError:
+        found = []
+    more = []
+    for rule in found if isinstance(found, list) else []:
+        kind, pattern, tool = (str(rule.get(k) or "").strip() for k in ("kind", "pattern", "target_type")) if isinstance(rule, dict) else ("", "", "")
+        try:
+            re.compile(pattern)
+        except re.error:
+            continue
+        if kind and pattern:
+            more.append((kind, pattern, tool or None))
+    return (*TRAILERS, *more)
+
+
+def trailer(body: Column, what: str = "kind", rules: Sequence[tuple[str, str, str | None]] = TRAILERS) -> Column:
+    """The kind or tool of the first trailer rule that is found in a commit body, in any case; null if none."""
+    at, known = (0 if what == "kind" else 2), F.coalesce(body, F.lit(""))
+    out = None
+    for rule in rules:
+        test = known.rlike(f"(?i){rule[1]}")
+        out = F.when(test, F.lit(rule[at])) if out is None else out.when(test, F.lit(rule[at]))
     return out
 
 

@@ -7,6 +7,8 @@ are judged commit by commit, so the result does not depend on how commits are ba
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -18,33 +20,52 @@ from .sequences import micros
 
 
 def candidates(commits: DataFrame, sessions: DataFrame, window: int = 30) -> DataFrame:
-    """Valid sessions of the commit's user that lie within ``window`` minutes of it."""
-    side = sessions.where("invalid_reason is null").select(F.col("id").alias("s_id"), F.col("user_code").alias("s_user"), F.col("target_type").alias("s_type"), F.col("model").alias("s_model"), text.norm_repo(F.col("repo_url")).alias("s_repo"), F.col("started_at").alias("s_start"), F.col("last_activity").alias("s_end"))
-    points = commits.select("id", "user_code", "commit_time", text.norm_repo(F.col("repo_url")).alias("repo"), text.trailer(F.col("message_body"), "kind").alias("trailer_kind"), text.trailer(F.col("message_body"), "tool").alias("tool"))
-    return band(points, side, {"user_code": "s_user"}, "commit_time", F.col("s_start") - minutes(window), F.col("s_end") + minutes(window))
+    """Valid sessions of the commit's user that lie within ``window`` minutes of it; commits have repo, trailer_kind and tool."""
+    side = sessions.where("invalid_reason is null").select(F.col("id").alias("s_id"), F.col("user_code").alias("s_user"), F.col("target_type").alias("s_type"), F.col("model").alias("s_model"), F.col("project_name").alias("s_project"), text.norm_repo(F.col("repo_url")).alias("s_repo"), F.col("started_at").alias("s_start"), F.col("last_activity").alias("s_end"))
+    return band(commits, side, {"user_code": "s_user"}, "commit_time", F.col("s_start") - minutes(window), F.col("s_end") + minutes(window))
 
 
-def attribute(commits: DataFrame, sessions: DataFrame, events: DataFrame, tools: dict[str, str] | None = None, window: int = 30) -> DataFrame:
-    """One row per commit: id, tier (B trailer, A same repository, NONE), trailer_kind, session_id, model, overlap_seconds.
+def based(commits: DataFrame, rules: Sequence[tuple] = text.TRAILERS) -> DataFrame:
+    """Commits that are no merge, with repo and what their trailer says."""
+    body = F.col("message_body")
+    return commits.where("is_merge = 0").select("id", "user_code", "commit_time", "lines_added", "lines_deleted", text.norm_repo(F.col("repo_url")).alias("repo"), text.trailer(body, "kind", rules).alias("trailer_kind"), text.trailer(body, "tool", rules).alias("rule_tool"))
 
-    ``tools`` maps the session's type to the tool that a trailer names (identity if not given).
-    """
-    kind = F.col("s_type")
-    if tools:
-        kind = F.coalesce(*[F.when(F.col("s_type") == k, v) for k, v in tools.items()], F.col("s_type"))
-    found = candidates(commits, sessions, window).withColumn("s_tool", kind)
+
+def placed(commits: DataFrame, sessions: DataFrame, events: DataFrame, tools: dict[str, str] | None = None, window: int = 30, rules: Sequence[tuple] = text.TRAILERS) -> DataFrame:
+    """Commits and the sessions that may have made them: signals, last_signal (of this commit's window), overlap and signal."""
+    kind = F.coalesce(*[F.when(F.col("s_type") == k, v) for k, v in (tools or {}).items()], F.col("s_type"))
+    found = candidates(based(commits, rules), sessions, window).withColumn("s_tool", kind)
     same_repo = F.coalesce(F.col("repo") == F.col("s_repo"), F.lit(False))
-    found = found.where(F.when(F.col("trailer_kind").isNotNull(), F.col("s_tool") == F.col("tool")).otherwise(same_repo)).withColumn("same_repo", same_repo)
-    pairs = found.select("id", "s_id", "commit_time", "s_start", "s_end", "s_model", "same_repo")
-    signals = events.select(F.col("session_id").alias("e_session"), F.col("event_time").alias("e_time"))
-    near = pairs.join(signals, (F.col("s_id") == F.col("e_session")) & (F.col("e_time") <= F.col("commit_time")) & (F.col("e_time") >= F.col("commit_time") - minutes(window)), "left")
-    last = near.groupBy("id", "s_id", "commit_time", "s_start", "s_end", "s_model", "same_repo").agg(F.max("e_time").alias("e_last"))
+    found = found.where(F.when(F.col("trailer_kind").isNotNull(), F.col("rule_tool").isNull() | (F.col("s_tool") == F.col("rule_tool"))).otherwise(same_repo)).withColumn("same_repo", same_repo)
+    keys = ["id", "s_id", "commit_time", "s_start", "s_end", "s_model", "s_project", "s_tool", "same_repo"]
+    marks = events.select(F.col("session_id").alias("e_session"), F.col("event_time").alias("e_time"))
+    near = found.select(*keys).join(marks, (F.col("s_id") == F.col("e_session")) & (F.col("e_time") <= F.col("commit_time")) & (F.col("e_time") >= F.col("commit_time") - minutes(window)), "left")
+    last = near.groupBy(*keys).agg(F.max("e_time").alias("last_signal"), F.count("e_time").alias("signals"))
     fallback = F.when(F.col("s_start") <= F.col("commit_time"), F.least("s_end", "commit_time"))
     overlap = F.floor((F.least(micros(F.col("s_end")), micros(F.col("commit_time") + minutes(window))) - F.greatest(micros(F.col("s_start")), micros(F.col("commit_time") - minutes(window)))) / 1_000_000)
-    ranked = last.withColumns({"signal": F.coalesce("e_last", fallback), "overlap": F.greatest(F.lit(0), overlap)})
+    return last.withColumns({"signal": F.coalesce("last_signal", fallback), "overlap": F.greatest(F.lit(0), overlap)})
+
+
+def signals(commits: DataFrame, sessions: DataFrame, events: DataFrame, tools: dict[str, str] | None = None) -> DataFrame:
+    """WIN-10: how many signals of a session count for a commit, and the last of them."""
+    return placed(commits, sessions, events, tools).select("id", F.col("s_id").alias("session_id"), "signals", "last_signal")
+
+
+def nearest(ranked: DataFrame) -> DataFrame:
+    """JN-11: of a commit's sessions the one in its repository, with the latest signal, the longest overlap, the least id."""
     best = W.partitionBy("id").orderBy(F.desc("same_repo"), F.desc_nulls_last("signal"), F.desc("overlap"), "s_id")
-    top = ranked.withColumn("n", F.row_number().over(best)).where("n = 1").select("id", F.col("s_id").alias("session_id"), "s_model", F.col("overlap").alias("overlap_seconds"))
-    base = commits.select("id", "user_code", "project_name", "commit_time", "lines_added", "lines_deleted", text.trailer(F.col("message_body"), "kind").alias("trailer_kind"), text.trailer(F.col("message_body"), "tool").alias("tool"))
+    top = ranked.withColumn("n", F.row_number().over(best)).where("n = 1")
+    return top.select("id", F.col("s_id").alias("session_id"), "s_model", "s_tool", F.col("s_project").alias("project_name"), "signal", F.col("overlap").alias("overlap_seconds"))
+
+
+def attribute(commits: DataFrame, sessions: DataFrame, events: DataFrame, tools: dict[str, str] | None = None, window: int = 30, rules: Sequence[tuple] = text.TRAILERS) -> DataFrame:
+    """One row per commit that is no merge: id, tier (B trailer, A same repository, NONE), trailer_kind, tool, session_id, project_name, model, overlap_seconds.
+
+    ``tools`` maps the session's type to the tool that a trailer names (identity if not given). A trailer's commit
+    takes a session of its tool (of any tool, if the rule names none), of its own repository if there is one. Model and project are the session's;
+    a trailer without a session has the model ``unknown``.
+    """
+    top = nearest(placed(commits, sessions, events, tools, window, rules))
     tier = F.when(F.col("trailer_kind").isNotNull(), "B").when(F.col("session_id").isNotNull(), "A").otherwise("NONE")
-    model = F.when(tier != "NONE", F.coalesce("s_model", F.lit("unknown")))
-    return base.join(top, "id", "left").select(*base.columns, tier.alias("tier"), "session_id", model.alias("model"), F.coalesce("overlap_seconds", F.lit(0)).alias("overlap_seconds"))
+    model = F.when(F.col("session_id").isNotNull(), F.col("s_model")).when(F.col("trailer_kind").isNotNull(), "unknown")
+    return based(commits, rules).join(top, "id", "left").select("id", "user_code", "commit_time", "lines_added", "lines_deleted", tier.alias("tier"), "trailer_kind", F.coalesce("rule_tool", "s_tool").alias("tool"), "session_id", "project_name", model.alias("model"), F.coalesce("overlap_seconds", F.lit(0)).alias("overlap_seconds"))

@@ -74,8 +74,31 @@ def offline(now: str, seconds: int = 300) -> Column:
 
 
 #: Openings of user texts that are echoes of local commands.
-COMMAND_ECHOES = ("<command-name>", "<command-message>", "<command-args>", "<local-command-stdout>", "<local-command-caveat>")
+COMMAND_ECHOES = ("<local-command-", "<command-name>", "<command-message>", "<command-args>", "Unknown command:")
 
 
 def local_command(column: str = "content_text") -> Column:
-    return reduce(lambda a, b: a | b, [F.ltrim(column).startswith(p) for p in COMMAND_ECHOES])
+    return F.coalesce(reduce(lambda a, b: a | b, [F.col(column).startswith(p) for p in COMMAND_ECHOES]), F.lit(False))
+
+
+def needs_audit(grown_by: int = 5) -> Column:
+    """FLT-16, over sessions left-joined with their audit (_a: its session): none yet, without a count, flagged, or grown since."""
+    return (F.col("total_messages") > 0) & (F.col("_a").isNull() | F.col("message_count").isNull() | F.col("disagreement") | (F.col("total_messages") - F.col("message_count") > grown_by))
+
+
+def email_due(now: str, threshold_hours: int = 1, gap_hours: int = 2, work_start: int = 9, work_end: int = 18) -> Column:
+    """FLT-23: offline for ``threshold_hours``, no mail within ``gap_hours``, an address at hand, and within working hours."""
+    moment = F.lit(now).cast("timestamp_ntz")
+    working = (F.hour(moment) >= work_start) & (F.hour(moment) < work_end)
+    old = F.col("last_seen").isNull() | (F.col("last_seen") <= moment - F.make_dt_interval(hours=F.lit(threshold_hours)))
+    quiet = F.col("last_email").isNull() | (F.col("last_email") <= moment - F.make_dt_interval(hours=F.lit(gap_hours)))
+    return working & (F.col("status") == "ACTIVE") & old & quiet & address().isNotNull()
+
+
+def address() -> Column:
+    """The user code if it looks like an address, else the one that git knows."""
+
+    def plausible(c: Column) -> Column:
+        return F.when(F.trim(c).contains("@") & ~F.trim(c).contains(" "), F.trim(c))
+
+    return F.coalesce(plausible(F.col("user_code")), plausible(F.col("git_email")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text
@@ -32,15 +32,39 @@ def first_seen(messages: DataFrame) -> DataFrame:
 
 
 def capability_daily(messages: DataFrame, calls: DataFrame) -> DataFrame:
-    """AGG-C7: per day and user, roll-up rows (sub_item '') and detail rows of skills, plugins and MCP servers.
+    """AGG-C7, MAT-2: per day and user, roll-up rows (sub_item '') and detail rows of skills, plugins and MCP servers.
 
     ``calls``: user_code, session_id, tool_name, event_time. A skill counts as itself; ``ns:skill`` also
     counts for the plugin ns, as roll-up and as detail. ``mcp__server__tool`` counts for server and tool.
+    Either table is read once; all rows that a hit or a call counts for are made where it is.
     """
-    item = text.skill_item(F.col("token"))
-    used = exploded(messages).where(F.col("kind").isin("skill", "nl_skill")).select(F.to_date("message_time").alias("work_date"), "user_code", "session_id", "kind", item.alias("item")).where("item is not null")
-    space = text.namespace(F.col("item"))
-    plugin = used.select("work_date", "user_code", "session_id", F.lit("plugin").alias("kind"), space.alias("item"), F.element_at(F.split("item", ":"), 2).alias("sub")).where("item is not null")
-    mcp = calls.where(F.lower("tool_name").startswith("mcp__")).select(F.to_date("event_time").alias("work_date"), "user_code", "session_id", F.lit("mcp").alias("kind"), text.mcp_server(F.col("tool_name")).alias("item"), text.mcp_tool(F.col("tool_name")).alias("sub")).where("item is not null")
-    rows = used.withColumn("sub_item", F.lit("")).unionByName(plugin.unionByName(mcp).withColumn("sub_item", F.explode(F.array(F.lit(""), F.col("sub")))).drop("sub"))
+    def entries(*rows: tuple) -> Column:
+        return F.inline(F.array(*[F.struct(*[c.alias(n) for c, n in zip(row, ("kind", "item", "sub_item"))]) for row in rows]))
+
+    item, none = text.skill_item(F.col("token")), F.lit("")
+    used = exploded(messages).where(F.col("kind").isin("skill", "nl_skill")).select(F.to_date("message_time").alias("work_date"), "user_code", "session_id", "kind", item.alias("skill")).where("skill is not null")
+    space, plugin = text.namespace(F.col("skill")), F.lit("plugin")
+    used = used.select("work_date", "user_code", "session_id", entries((F.col("kind"), F.col("skill"), none), (plugin, space, none), (plugin, space, F.get(F.split("skill", ":"), 1))))
+    mcp, server = F.lit("mcp"), text.mcp_server(F.col("tool_name"))
+    called = calls.where(F.lower("tool_name").startswith("mcp__")).select(F.to_date("event_time").alias("work_date"), "user_code", "session_id", entries((mcp, server, none), (mcp, server, text.mcp_tool(F.col("tool_name")))))
+    rows = used.unionByName(called).where("item is not null")
     return rows.groupBy("work_date", "user_code", "kind", "item", "sub_item").agg(F.count(F.lit(1)).alias("invoke_count"), F.count_distinct("session_id").alias("session_count"))
+
+
+def capability_ranking(daily: DataFrame, kinds: Sequence[str], limit: int = 20) -> DataFrame:
+    """FN-G8: items of the kinds by use: uses, users across kinds, sessions, explicit and natural-language uses, and their details as a list.
+
+    The most used come first, ties by name; ``children`` are (sub_item, uses, sessions), most used first.
+    """
+    own = daily.where(F.col("kind").isin(*kinds))
+    detail = F.col("sub_item") != ""
+    parts = own.groupBy("item", "sub_item").agg(F.sum("invoke_count").alias("uses"), F.sum("session_count").alias("sessions"), F.sum(F.when(F.col("kind") == "nl_skill", F.col("invoke_count")).otherwise(0)).alias("natural"))
+    users = own.where(~detail).groupBy("item").agg(F.count_distinct("user_code").alias("users"))
+    child = F.struct((-F.col("uses")).alias("order"), F.col("sub_item"), F.col("uses"), F.col("sessions"))
+    whole = parts.groupBy("item").agg(
+        *[F.sum(F.when(~detail, F.col(c))).alias(c) for c in ("uses", "sessions", "natural")],
+        F.array_sort(F.collect_list(F.when(detail, child))).alias("children"),
+    )
+    top = whole.join(users, "item").orderBy(F.desc("uses"), "item").limit(limit)
+    listed = F.transform("children", lambda c: F.concat_ws("|", c["sub_item"], c["uses"], c["sessions"]))
+    return top.select("item", "uses", "users", "sessions", (F.col("uses") - F.col("natural")).alias("explicit"), "natural", F.array_join(listed, ",").alias("children"))

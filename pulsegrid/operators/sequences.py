@@ -34,15 +34,22 @@ def active_seconds(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
     return intervals.groupBy(*keys, "day").agg(F.sum(F.floor((F.col("end") - F.col("start")) / 1_000_000)).alias("active_seconds"))
 
 
-def union_seconds(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """WIN-2: length of the union of the intervals, their ends cut to whole seconds first."""
-    whole = intervals.select(*keys, "day", F.floor(F.col("start") / 1_000_000).alias("s"), F.floor(F.col("end") / 1_000_000).alias("e"))
+def interval_seconds(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """WIN-1 and WIN-2 in one pass: active_seconds, the intervals' whole seconds summed, and union_seconds, the length of their
+    union with their ends cut to whole seconds first."""
+    length = F.floor((F.col("end") - F.col("start")) / 1_000_000)
+    whole = intervals.select(*keys, "day", F.floor(F.col("start") / 1_000_000).alias("s"), F.floor(F.col("end") / 1_000_000).alias("e"), length.alias("length"))
     by = W.partitionBy(*keys, "day").orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.when(F.col("s") > F.coalesce(F.col("reach"), F.lit(-1)), 1).otherwise(0)
     islands = whole.withColumn("reach", reach).withColumn("island", F.sum(fresh).over(by))
-    spans = islands.groupBy(*keys, "day", "island").agg((F.max("e") - F.min("s")).alias("n"))
-    return spans.groupBy(*keys, "day").agg(F.sum("n").alias("union_seconds"))
+    spans = islands.groupBy(*keys, "day", "island").agg((F.max("e") - F.min("s")).alias("n"), F.sum("length").alias("length"))
+    return spans.groupBy(*keys, "day").agg(F.sum("length").alias("active_seconds"), F.sum("n").alias("union_seconds"))
+
+
+def union_seconds(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """WIN-2: length of the union of the intervals."""
+    return interval_seconds(intervals, keys).drop("active_seconds")
 
 
 def state_seconds(events: DataFrame, keys: Sequence[str], state: str, at: str = "signal_time", status: str = "status", tie: str = "id") -> DataFrame:

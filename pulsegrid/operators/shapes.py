@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,18 @@ def clamp_days(days: int) -> int:
     return max(1, min(90, days))
 
 
+def last_day(start: str, end: str, most: int) -> str:
+    """The end of a window from ``start`` of at most ``most`` days; ends in the wrong order are swapped."""
+    first, last = sorted(map(date.fromisoformat, (start, end)))
+    return min(last, first + timedelta(days=most - 1)).isoformat()
+
+
+def iso_week(ts: Column) -> tuple[Column, Column]:
+    """Monday and Sunday of the week of a moment."""
+    monday = F.date_trunc("week", ts.cast("timestamp")).cast("date")
+    return monday, F.date_add(monday, 6)
+
+
 def day_axis(df: DataFrame, start: str, end: str, name: str = "day") -> DataFrame:
     """All days from start to end."""
     return df.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias(name))
@@ -42,9 +55,11 @@ def matrix(df: DataFrame, row: str, column: str, measure: str, rows: int = 20, c
     return df.join(axis(row, "row_index", rows), row).join(axis(column, "column_index", columns), column)
 
 
-def pivot_by(df: DataFrame, rows: Sequence[str], columns: Sequence[str], measures: dict[str, str]) -> DataFrame:
-    """FN-G4: groups of the chosen dimensions, with '' for a missing value."""
-    dims = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in [*rows, *columns]]
+def pivot_by(df: DataFrame, rows: Sequence[str], columns: Sequence[str], measures: dict[str, str], always: Sequence[str] = (), only: dict[str, object] | None = None) -> DataFrame:
+    """FN-G4: groups of the chosen dimensions and of those that are ``always`` there, with '' for a missing value; a filter without a value is none."""
+    for name, value in (only or {}).items():
+        df = df.where(F.col(name) == F.lit(value)) if value is not None else df
+    dims = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in [*rows, *columns, *always]]
     return df.groupBy(*dims).agg(*[F.expr(e).alias(k) for k, e in measures.items()])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pulsegrid.functions.text import clamp01, java_round
+from pulsegrid.shared import stage
 
 #: Weights of difficulty 1..5, and what a disagreement leaves of them.
 DIFFICULTY_WEIGHTS = (1.0, 2.0, 4.0, 8.0, 16.0)
@@ -23,20 +24,31 @@ def percentiles(df: DataFrame, keys: Sequence[str], measure: str, points: Sequen
 
 def rank_percentile(df: DataFrame, measure: str, name: str = "rank_pct") -> DataFrame:
     """ST-3: 100 times the share of values not above. Distinct values are ranked, rows only look up theirs."""
-    counts = df.groupBy(measure).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    upto = F.sum("_n").over(W.orderBy(measure))
-    ranks = counts.crossJoin(F.broadcast(total)).select(measure, (upto * 100.0 / F.col("_all")).alias(name))
-    return df.join(ranks, measure)
+    return df.join(value_ranks(df, measure, name), measure)
+
+
+def value_ranks(df: DataFrame, measure: str, name: str) -> DataFrame:
+    """(measure, name) for the distinct values.
+
+    Counts are dealt out by ranges of the value; each range is summed up on its own, after what all ranges before
+    it hold: a table with a row for each range, the only thing that is ordered as a whole.
+    """
+    counts = df.where(F.col(measure).isNotNull()).groupBy(measure).agg(F.count(F.lit(1)).alias("_n"))
+    counts = stage(counts.repartitionByRange(measure).withColumn("_range", F.spark_partition_id()), "value_counts")
+    ranges = counts.groupBy("_range").agg(F.sum("_n").alias("_sum"))
+    before = F.sum("_sum").over(W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    ranges = ranges.select("_range", F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_sum").over(W.partitionBy()).alias("_all"))
+    upto = F.sum("_n").over(W.partitionBy("_range").orderBy(measure)) + F.col("_before")
+    return counts.join(F.broadcast(ranges), "_range").select(measure, (upto * 100.0 / F.col("_all")).alias(name))
 
 
 def raw_score(capability: Column, output_pct: Column, completion: Column, revert: Column, commits: Column, challenge: Column, leverage: Column, dependent: Column) -> Column:
     """ST-4: weighted parts between 0 and 1, times 100; the revert term is neutral under three commits."""
-    calm = F.when((commits >= 3) & revert.isNotNull(), 1 - clamp01(revert)).otherwise(0.5)
     zero = F.lit(0.0)
-    stretch = clamp01((F.coalesce(challenge, zero) + F.coalesce(leverage, zero)) / 2)
-    parts = 0.35 * clamp01(capability / 5) + 0.25 * clamp01(output_pct) + 0.20 * (0.6 * clamp01(completion) + 0.4 * calm) + 0.15 * stretch + 0.05 * (1 - clamp01(F.coalesce(dependent, zero)))
-    return parts * 100
+    calm = F.when((commits >= 3) & revert.isNotNull(), clamp01(1 - revert)).otherwise(0.5)
+    quality = 0.6 * clamp01(F.coalesce(completion, zero)) + 0.4 * calm
+    independence = clamp01((F.coalesce(leverage, zero) - F.coalesce(dependent, zero) + 1) / 2)
+    return (0.35 * clamp01(capability / 5) + 0.25 * clamp01(output_pct) + 0.20 * quality + 0.15 * clamp01(challenge) + 0.05 * independence) * 100
 
 
 def shrunk(score: Column, mean: Column, n: Column, k: int = 10) -> Column:

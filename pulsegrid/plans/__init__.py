@@ -1,5 +1,5 @@
 """Queries: operators bound to tables, with DuckDB equivalents."""
 
-from . import aggregates, behaviour, relational, scoring, streams
+from . import aggregates, analysis, behaviour, relational, scoring, slices, streams
 
-MODULES = (aggregates, relational, behaviour, scoring, streams)
+MODULES = (aggregates, relational, slices, behaviour, scoring, analysis, streams)

@@ -16,7 +16,7 @@ from .bindings import Lake, with_tables
 START, END = "1996-01-01 00:00:00", "1998-01-01 00:00:00"
 ACTIVE = ("urgent", "high", "medium")
 USER, PROJECT = "u7", "proj7"
-SESSIONS = "session_id % 100 = 7"
+SESSIONS = "session_id IS NOT NULL"
 
 SESSION_COLUMNS = "id user_code target_type project_name model repo_url invalid_reason".split()
 

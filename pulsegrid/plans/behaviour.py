@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text
-from pulsegrid.operators import attribution, filters, hits, sequences
+from pulsegrid.operators import filters, hits, sequences
 
 from .bindings import Lake
 from .registry import Registry
-from .relational import NORM
 
 query = Registry()
 BY = ["user_code", "session_id"]
-TOOLS = {"urgent": "claude", "high": "cursor", "medium": "codex"}
 
 # ---- what several queries share, as SQL for DuckDB
 
@@ -90,24 +90,6 @@ def win_8(t: Lake) -> DataFrame:
     return sequences.skill_uses(t.message.select("session_id", "seq", "role", reads.alias("reads"), (F.lower(F.trim("role")) == "tool").alias("executes")))
 
 
-@query("win_9", f"""WITH c AS (SELECT *, {NORM.format('repo_url')} AS repo, CASE WHEN regexp_matches(coalesce(message_body, ''), '(?i)^co-authored-by:\\s*claude\\b') THEN 'claude' WHEN regexp_matches(coalesce(message_body, ''), '(?i)^co-authored-by:\\s*cursor\\b') THEN 'cursor' END AS tool FROM commits),
-    s AS (SELECT *, {NORM.format('repo_url')} AS s_repo, CASE target_type WHEN 'urgent' THEN 'claude' WHEN 'high' THEN 'cursor' WHEN 'medium' THEN 'codex' ELSE target_type END AS s_tool FROM session WHERE invalid_reason IS NULL),
-    p AS (SELECT c.id, s.id AS session_id, s.model, s.started_at, s.last_activity, c.commit_time, coalesce(c.repo = s.s_repo, false) AS same FROM c JOIN s ON c.user_code = s.user_code
-          AND s.started_at <= c.commit_time + INTERVAL 30 MINUTE AND s.last_activity >= c.commit_time - INTERVAL 30 MINUTE WHERE CASE WHEN c.tool IS NOT NULL THEN s.s_tool = c.tool ELSE coalesce(c.repo = s.s_repo, false) END),
-    g AS (SELECT p.id, p.session_id, p.model, p.same, p.started_at, p.last_activity, p.commit_time, max(e.event_time) AS sig FROM p LEFT JOIN event e ON e.session_id = p.session_id AND e.event_time <= p.commit_time AND e.event_time >= p.commit_time - INTERVAL 30 MINUTE GROUP BY ALL),
-    r AS (SELECT *, greatest(0, (least(epoch_us(last_activity), epoch_us(commit_time + INTERVAL 30 MINUTE)) - greatest(epoch_us(started_at), epoch_us(commit_time - INTERVAL 30 MINUTE))) // 1000000) AS overlap_seconds,
-          coalesce(sig, CASE WHEN started_at <= commit_time THEN least(last_activity, commit_time) END) AS signal FROM g),
-    b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY same DESC, signal DESC NULLS LAST, overlap_seconds DESC, session_id) AS n FROM r)
-    SELECT c.id, CASE WHEN c.tool IS NOT NULL THEN 'B' WHEN b.session_id IS NOT NULL THEN 'A' ELSE 'NONE' END AS tier, c.tool || '_coauthor' AS trailer_kind, b.session_id,
-           CASE WHEN c.tool IS NOT NULL OR b.session_id IS NOT NULL THEN coalesce(b.model, 'unknown') END AS model, coalesce(b.overlap_seconds, 0) AS overlap_seconds FROM c LEFT JOIN b ON b.id = c.id AND b.n = 1""")
-def win_9(t: Lake) -> DataFrame:
-    return attributed(t).select("id", "tier", "trailer_kind", "session_id", "model", "overlap_seconds")
-
-
-def attributed(t: Lake) -> DataFrame:
-    return attribution.attribute(t.commits, t.session, t.event, TOOLS)
-
-
 @query("win_11", """WITH r AS (SELECT agent_id, id, epoch_us(start_time) // 1000000 AS t, status = 'OPEN' AS busy FROM work), g AS (SELECT *, t - lag(t) OVER (PARTITION BY agent_id ORDER BY t, id) AS gap FROM r),
     s AS (SELECT *, sum(CASE WHEN gap > 180 THEN 1 ELSE 0 END) OVER (PARTITION BY agent_id ORDER BY t, id ROWS UNBOUNDED PRECEDING) AS span, CASE WHEN gap > 0 AND gap <= 180 THEN least(gap, 120) ELSE 0 END AS credit FROM g)
     SELECT agent_id, CAST(span AS BIGINT) AS span, min(t) AS start_s, max(t) AS end_s, CAST(sum(credit) AS BIGINT) AS duration_seconds, CAST(sum(CASE WHEN busy THEN credit ELSE 0 END) AS BIGINT) AS active_seconds FROM s GROUP BY 1, 2""")
@@ -211,22 +193,27 @@ DAILY = f"""{GAPS}, {ACTIVE}, {UNION}, {THINKING}, {RESPONSE}, {RETRIES},
 
 
 def daily_summary(signals: DataFrame) -> DataFrame:
-    """MAT-1: one row per user and day. Each metric is keyed alike, so the joins share one partitioning."""
+    """MAT-1: one row per user and day.
+
+    Signals are dealt out by user once for each metric, which serves all its windows and groups; the metrics are
+    then rows of one union, which meet in one aggregation instead of a chain of joins.
+    """
     by = ["user_code", "day"]
-    intervals = sequences.activity_intervals(signals, BY)
+    own = signals.repartition("user_code")
     sane = F.expr("case when tokens between 0 and 2000000000 then tokens else 0 end")
-    base = signals.groupBy("user_code", F.to_date("signal_time").alias("day")).agg(F.count_distinct("session_id").alias("sessions"), F.count_if(F.col("status") == "tool").alias("tool_calls"), F.least(F.sum(sane), F.lit(5_000_000_000)).alias("tokens"))
-    answered = sequences.first_response(signals, BY).where("first_response_ms > 0 and first_response_ms < 1800000").groupBy(by).agg(F.expr("sum(first_response_ms) div count(*)").alias("first_response_ms"))
+    days = own.withColumn("day", F.to_date("signal_time"))
+    base = days.groupBy(by).agg(F.count_distinct("session_id").alias("sessions"), F.count_if(F.col("status") == "tool").alias("tool_calls"), F.least(F.sum(sane), F.lit(5_000_000_000)).alias("tokens"))
+    answered = sequences.first_response(own, BY).where("first_response_ms > 0 and first_response_ms < 1800000")
     parts = [
-        sequences.active_seconds(intervals, ["user_code"]),
-        sequences.union_seconds(intervals, ["user_code"]),
-        sequences.state_seconds(signals, BY, "thinking").groupBy(by).agg(F.sum("thinking_seconds").alias("thinking_seconds")),
-        answered,
-        sequences.retries(signals, BY).groupBy(by).agg(F.sum("retries").alias("retries")),
+        base,
+        sequences.interval_seconds(sequences.activity_intervals(own, BY), ["user_code"]),
+        sequences.state_seconds(own, BY, "thinking").groupBy(by).agg(F.sum("thinking_seconds").alias("thinking_seconds")),
+        answered.groupBy(by).agg(F.expr("sum(first_response_ms) div count(*)").alias("first_response_ms")),
+        sequences.retries(own, BY).groupBy(by).agg(F.sum("retries").alias("retries")),
     ]
-    for part in parts:
-        base = base.join(part, by, "left")
-    return base.fillna(0).withColumnRenamed("day", "work_date")
+    names = [c for part in parts for c in part.columns if c not in by]
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return rows.groupBy(by).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).withColumnRenamed("day", "work_date")
 
 
 @query("mat_1", f"WITH {DAILY} SELECT * FROM daily")
@@ -276,29 +263,11 @@ def agg_p1(t: Lake) -> DataFrame:
     """The project fold of AGG-E9; the session count is the sum of the groups' counts."""
     sessions = filters.valid(t.session).where("project_name is not null").select(F.col("id").alias("session_id"), "project_name", "model", "repo_url")
     base = t.event.join(sessions, "session_id").groupBy("project_name", "model", "user_code").agg(F.sum("tokens_delta").alias("tokens"), F.count_distinct("session_id").alias("sessions"), F.max("event_time").alias("last_time"), F.max("repo_url").alias("repo_url"))
-    by_model = base.groupBy("project_name", "model").agg(F.sum("tokens").alias("t"), F.sum("sessions").alias("s"), F.collect_set("user_code").alias("u"), F.max("last_time").alias("l"), F.max("repo_url").alias("r"))
-    top = F.min(F.when(F.col("model").isNotNull(), F.struct((-F.col("t")).alias("t"), F.col("model").alias("m"))))
-    return by_model.groupBy("project_name").agg(F.sum("t").alias("tokens"), F.sum("s").alias("sessions"), F.size(F.array_distinct(F.flatten(F.collect_list("u")))).cast("long").alias("users"), F.max("l").alias("last_time"), F.max("r").alias("repo_url"), top["m"].alias("top_model"))
-
+    models = base.where("model is not null").groupBy("project_name", "model").agg(F.sum("tokens").alias("t"))
+    top = models.groupBy("project_name").agg(F.min(F.struct((-F.col("t")).alias("t"), F.col("model").alias("m")))["m"].alias("top_model"))
+    users = base.groupBy("project_name", "user_code").agg(F.sum("tokens").alias("tokens"), F.sum("sessions").alias("sessions"), F.max("last_time").alias("last_time"), F.max("repo_url").alias("repo_url"))
+    whole = users.groupBy("project_name").agg(F.sum("tokens").alias("tokens"), F.sum("sessions").alias("sessions"), F.count(F.lit(1)).alias("users"), F.max("last_time").alias("last_time"), F.max("repo_url").alias("repo_url"))
+    return whole.join(top, "project_name", "left")
 
-# ---- attribution tables
-
-ATTRIBUTION = f"attribution AS ({query.oracles['win_9'].replace('SELECT c.id, CASE', 'SELECT c.id, c.user_code, c.project_name, c.commit_time, c.lines_added, c.lines_deleted, c.tool, CASE')})"
-ATTRIBUTED_ROLLUPS = {
-    "agg_g1": ([], {"ai_lines": "coalesce(sum(case when tier <> 'NONE' then lines_added end), 0)", "all_lines": "coalesce(sum(lines_added), 0)"}),
-    "agg_g3": (["day", "tier"], {"n": "count(*)", "lines_added": "sum(lines_added)"}),
-    "agg_g4": (["user_code", "project_name", "tool", "model", "tier"], {"n": "count(*)", "lines_added": "sum(lines_added)", "lines_deleted": "sum(lines_deleted)"}),
-    "fn_g5": (["day"], {f"{n}_lines": f"coalesce(sum(case when tier = '{v}' then lines_added - lines_deleted end), 0)" for n, v in (("b", "B"), ("a", "A"), ("none", "NONE"))}),
-}
-
-
-def attributed_rollup(keys: list[str], measures: dict[str, str]):
-    return lambda t: attributed(t).withColumn("day", F.to_date("commit_time")).groupBy(*keys).agg(*[F.expr(f"cast({e} as bigint)").alias(k) for k, e in measures.items()])
-
-
-for name, (keys, measures) in ATTRIBUTED_ROLLUPS.items():
-    columns = ", ".join([*keys, *[f"CAST({e} AS BIGINT) AS {k}" for k, e in measures.items()]])
-    group = f" GROUP BY {', '.join(keys)}" if keys else ""
-    query(name, f"WITH {ATTRIBUTION} SELECT {columns} FROM (SELECT *, CAST(commit_time AS DATE) AS day FROM attribution){group}")(attributed_rollup(keys, measures))
 
 QUERIES, ORACLES = query.queries, query.oracles

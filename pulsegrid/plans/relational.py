@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from pulsegrid.functions import text
 from pulsegrid.operators import filters, joins
+from pulsegrid.shared import stage
 
 from .aggregates import ACTIVE, END, START
 from .bindings import Lake
@@ -107,7 +108,7 @@ def flt_15(t: Lake) -> DataFrame:
     WHERE s.invalid_reason IS NULL AND s.total_messages > 0 AND (a.session_id IS NULL OR a.message_count IS NULL OR a.disagreement OR s.total_messages - a.message_count > 5)""")
 def flt_16(t: Lake) -> DataFrame:
     found = filters.valid(t.session).join(t.audit.withColumnRenamed("session_id", "_a"), F.col("_a") == F.col("id"), "left")
-    return found.where((F.col("total_messages") > 0) & (F.col("_a").isNull() | F.col("message_count").isNull() | F.col("disagreement") | (F.col("total_messages") - F.col("message_count") > 5))).select("id")
+    return found.where(filters.needs_audit()).select("id")
 
 
 @query("flt_17", """SELECT s.id, CASE WHEN a.session_id IS NULL THEN 'first' WHEN a.disagreement THEN 'flagged' WHEN s.total_messages > a.message_count + 5 THEN 'grown' ELSE 'skip' END AS decision
@@ -122,9 +123,13 @@ def flt_18(t: Lake) -> DataFrame:
     return t.event.where(F.col("event_time") >= F.lit(END).cast("timestamp_ntz")).limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
 
 
-@query("flt_19", "SELECT id FROM message WHERE NOT (lower(trim(role)) = 'user' AND starts_with(ltrim(content_text), '<command-name>'))")
+@query("flt_19", """WITH m AS (SELECT id, role, CASE id % 6 WHEN 0 THEN '<local-command-stderr>x' WHEN 1 THEN '<command-name>x' WHEN 2 THEN ' <command-args>' WHEN 3 THEN 'Unknown command: /x' ELSE content_text END AS content FROM message)
+    SELECT id FROM m WHERE NOT (lower(trim(role)) = 'user' AND regexp_matches(content, '^(<local-command-|<command-name>|<command-message>|<command-args>|Unknown command:)'))""")
 def flt_19(t: Lake) -> DataFrame:
-    return t.message.where(~((filters.role() == "user") & filters.local_command())).select("id")
+    """What is left without the echoes of local commands."""
+    n = F.col("id") % 6
+    content = F.when(n == 0, "<local-command-stderr>x").when(n == 1, "<command-name>x").when(n == 2, " <command-args>").when(n == 3, "Unknown command: /x").otherwise(F.col("content_text"))
+    return t.message.withColumn("content", content).where(~((filters.role() == "user") & filters.local_command("content"))).select("id")
 
 
 @query("flt_20", "SELECT id FROM commits WHERE author_email IN (SELECT 'dev' || c_custkey || '@x.org' FROM customer WHERE c_custkey < 20)")
@@ -143,10 +148,11 @@ def flt_22(t: Lake) -> DataFrame:
     return t.session.where("id > 500").orderBy("id").limit(50).select("id", "user_code")
 
 
-@query("flt_23", f"SELECT id FROM device WHERE status = 'ACTIVE' AND last_seen <= TIMESTAMP '{NOW}' - INTERVAL 300 SECOND AND last_seen > TIMESTAMP '{NOW}' - INTERVAL 800 SECOND AND id % 5 <> 0")
+@query("flt_23", f"""SELECT id, coalesce(CASE WHEN contains(trim(user_code), '@') AND NOT contains(trim(user_code), ' ') THEN trim(user_code) END, trim(git_email)) AS address FROM device WHERE hour(TIMESTAMP '{NOW}') BETWEEN 9 AND 17 AND status = 'ACTIVE' AND (last_seen IS NULL OR last_seen <= TIMESTAMP '{NOW}' - INTERVAL 1 HOUR)
+    AND (last_email IS NULL OR last_email <= TIMESTAMP '{NOW}' - INTERVAL 2 HOUR) AND ((contains(trim(user_code), '@') AND NOT contains(trim(user_code), ' ')) OR (contains(trim(git_email), '@') AND NOT contains(trim(git_email), ' ')))""")
 def flt_23(t: Lake) -> DataFrame:
-    since = F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(800))
-    return t.device.where(filters.offline(NOW) & (F.col("last_seen") > since) & (F.col("id") % 5 != 0)).select("id")
+    """Devices whose user is due for a mail, and where it goes."""
+    return t.device.where(filters.email_due(NOW)).select("id", filters.address().alias("address"))
 
 
 @query("flt_24", "SELECT id FROM commit_file WHERE path = 'src/f9' OR old_path = 'old/f9'")
@@ -169,6 +175,13 @@ def flt_27(t: Lake) -> DataFrame:
     return t.session.groupBy("agent_id").agg(F.max(F.struct("last_activity", "id")).alias("m")).select("agent_id", "m.id")
 
 
+@query("flt_27_events", "SELECT session_id, id FROM (SELECT session_id, id, row_number() OVER (PARTITION BY session_id ORDER BY id DESC) AS n FROM event) WHERE n <= 100")
+def flt_27_events(t: Lake) -> DataFrame:
+    """The newest hundred events of each session."""
+    newest = W.partitionBy("session_id").orderBy(F.desc("id"))
+    return t.event.select("session_id", "id", F.row_number().over(newest).alias("n")).where("n <= 100").select("session_id", "id")
+
+
 @query("flt_28", f"SELECT id FROM session WHERE ({half_open('started_at')} OR {half_open('last_activity')}) AND user_code = 'u7'")
 def flt_28(t: Lake) -> DataFrame:
     return t.session.where(filters.touches(START, END) & filters.optional("user_code", "u7")).select("id")
@@ -179,9 +192,9 @@ def flt_29(t: Lake) -> DataFrame:
     return t.event.where(F.col("tool_name").contains("mcp__")).select("id")
 
 
-@query("flt_30", f"SELECT id, seq FROM message WHERE session_id % 100 = 7 AND lower(trim(role)) IN ('user', 'assistant') AND {half_open('message_time')}")
+@query("flt_30", f"SELECT id, session_id, seq FROM message WHERE lower(trim(role)) IN ('user', 'assistant') AND {half_open('message_time')}")
 def flt_30(t: Lake) -> DataFrame:
-    return t.message.where((F.col("session_id") % 100 == 7) & filters.role().isin("user", "assistant") & filters.between("message_time", START, END)).select("id", "seq")
+    return t.message.where(filters.role().isin("user", "assistant") & filters.between("message_time", START, END)).select("id", "session_id", "seq")
 
 
 @query("flt_30_all", f"SELECT id, session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(conversation_order, 2147483647) DESC, message_time DESC, seq DESC, id) AS place FROM message WHERE lower(trim(role)) IN ('user', 'assistant') AND {half_open('message_time')}")
@@ -210,19 +223,17 @@ def prj_6(t: Lake) -> DataFrame:
     return counted.join(t.session.select(F.col("id").alias("session_id"), "target_type"), "session_id").select("user_code", "session_id", "slash_hits_json", "target_type")
 
 
-@query("srt_3", "SELECT id, seq, row_number() OVER (ORDER BY coalesce(conversation_order, 2147483647) DESC, message_time DESC, seq DESC, id) AS place FROM message WHERE session_id % 500 = 7")
-def srt_3(t: Lake) -> DataFrame:
-    chosen = t.message.where("session_id % 500 = 7")
-    return chosen.select("id", "seq", F.row_number().over(W.orderBy(F.coalesce("conversation_order", F.lit(2147483647)).desc(), F.desc("message_time"), F.desc("seq"), "id")).cast("long").alias("place"))
-
-
 def in_order(messages: DataFrame) -> DataFrame:
     newest = W.partitionBy("session_id").orderBy(F.coalesce("conversation_order", F.lit(2147483647)).desc(), F.desc("message_time"), F.desc("seq"), "id")
     return messages.select("id", "session_id", "seq", F.row_number().over(newest).cast("long").alias("place"))
 
 
-@query("srt_3_all", "SELECT id, session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(conversation_order, 2147483647) DESC, message_time DESC, seq DESC, id) AS place FROM message")
-def srt_3_all(t: Lake) -> DataFrame:
+ORDERED = "SELECT id, session_id, seq, row_number() OVER (PARTITION BY session_id ORDER BY coalesce(conversation_order, 2147483647) DESC, message_time DESC, seq DESC, id) AS place FROM message"
+
+
+@query("srt_3", ORDERED)
+@query("srt_3_all", ORDERED)
+def srt_3(t: Lake) -> DataFrame:
     """The message order of every session."""
     return in_order(t.message)
 
@@ -281,9 +292,14 @@ def set_4(t: Lake) -> DataFrame:
     return t.session.select("target_type").intersect(t.session.sparkSession.createDataFrame([("urgent",), ("high",), ("none",)], "target_type string"))
 
 
-@query("set_5", "SELECT DISTINCT session_id FROM event WHERE session_id NOT IN (SELECT session_id FROM message WHERE input_tokens > 20)")
+@query("set_5", """WITH seen AS (SELECT DISTINCT session_id FROM event), kept AS (SELECT DISTINCT session_id FROM message WHERE input_tokens > 20), child AS (SELECT id, id // 10 AS parent FROM session WHERE id >= 10)
+    SELECT session_id FROM seen WHERE session_id NOT IN (SELECT session_id FROM kept) UNION SELECT child.id FROM child WHERE parent IN (SELECT session_id FROM kept) AND id NOT IN (SELECT session_id FROM kept)""")
 def set_5(t: Lake) -> DataFrame:
-    return joins.missing(t.event.select("session_id").distinct(), t.message.where("input_tokens > 20").select("session_id"), ["session_id"])
+    """Suppressed sessions: those seen and not kept, and the declared children of kept ones that are not kept."""
+    kept = t.message.where("input_tokens > 20").select("session_id")
+    children = t.session.where("id >= 10").select(F.col("id").alias("session_id"), F.expr("id div 10").alias("parent"))
+    declared = children.join(kept.select(F.col("session_id").alias("parent")), "parent", "left_semi").select("session_id")
+    return joins.missing(t.event.select("session_id").union(declared).distinct(), kept, ["session_id"])
 
 
 @query("set_6", "SELECT 'session' AS name, count(*) AS n FROM session WHERE user_code = 'u7' UNION ALL SELECT 'event', count(*) FROM event WHERE user_code = 'u7' UNION ALL SELECT 'message', count(*) FROM message WHERE user_code = 'u7'")
@@ -439,18 +455,20 @@ def jn_23(t: Lake) -> DataFrame:
     return top.join(events, "id", "left").join(said, "id", "left")
 
 
-@query("jn_24", """WITH a AS (SELECT session_id, CAST(sum(input_tokens_delta + output_tokens_delta) AS BIGINT) AS parts FROM event GROUP BY 1), b AS (SELECT session_id, CAST(sum(tokens_delta) AS BIGINT) AS whole FROM event GROUP BY 1)
-    SELECT session_id, parts, whole FROM a JOIN b USING (session_id) WHERE whole - parts > 20""")
+@query("jn_24", """WITH summary AS (SELECT user_code, CAST(event_time AS DATE) AS work_date, CAST(sum(tokens_delta) AS BIGINT) AS stored FROM event WHERE event_type <> 'TOOL_CALL' GROUP BY 1, 2), again AS (SELECT user_code, CAST(event_time AS DATE) AS work_date, CAST(sum(tokens_delta) AS BIGINT) AS counted FROM event GROUP BY 1, 2)
+    SELECT user_code, work_date, stored, counted FROM summary JOIN again USING (user_code, work_date) WHERE stored <> counted""")
 def jn_24(t: Lake) -> DataFrame:
-    """Sums that should agree: both come from one pass."""
-    sums = t.event.groupBy("session_id").agg(F.sum(F.expr("input_tokens_delta + output_tokens_delta")).alias("parts"), F.sum("tokens_delta").alias("whole"))
-    return sums.where("whole - parts > 20")
+    """A summary table against the same days counted anew, where they differ."""
+    by = ["user_code", "work_date"]
+    daily = lambda df, name: df.groupBy("user_code", F.to_date("event_time").alias("work_date")).agg(F.sum("tokens_delta").alias(name))
+    summary = stage(daily(t.event.where("event_type <> 'TOOL_CALL'"), "stored"), "summary")
+    return summary.join(daily(t.event, "counted"), by).where("stored <> counted")
 
 
 @query("jn_25", """WITH RECURSIVE link AS (SELECT id AS child, id // 10 AS parent FROM session WHERE id >= 10), up AS (SELECT child, parent FROM link UNION ALL SELECT up.child, link.parent FROM up JOIN link ON up.parent = link.child)
     SELECT child, min(parent) AS root FROM up GROUP BY child""")
 def jn_25(t: Lake) -> DataFrame:
-    return joins.roots(t.session.where("id >= 10").select(F.col("id").alias("child"), F.expr("id div 10").alias("parent")), depth=16)
+    return joins.roots(t.session.where("id >= 10").select(F.col("id").alias("child"), F.expr("id div 10").alias("parent")))
 
 
 @query("jn_26", "SELECT s.id, CASE WHEN a.session_id IS NULL THEN 'NONE' ELSE 'DONE' END AS audit_status, s.version + CASE WHEN a.session_id IS NULL THEN 0 ELSE 1 END AS version FROM session s LEFT JOIN audit a ON a.session_id = s.id")

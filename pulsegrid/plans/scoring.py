@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pulsegrid.functions import text
-from pulsegrid.operators import filters, joins, shapes, stats
+from pulsegrid.operators import report, shapes, stats
 
 from .bindings import Lake
 from .registry import Registry
@@ -41,23 +41,11 @@ def fn_g3(t: Lake) -> DataFrame:
     return shapes.matrix(calls, "user_code", "tool_name", "n").select("row_index", "column_index", "n")
 
 
-@query("fn_g4", "SELECT coalesce(project_name, '') AS project_name, coalesce(model, '') AS model, count(*) AS n, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM session GROUP BY 1, 2")
-def fn_g4(t: Lake) -> DataFrame:
-    return shapes.pivot_by(t.session, ["project_name"], ["model"], {"n": "count(*)", "input_tokens": "sum(input_tokens)"})
-
-
 @query("fn_g7", "WITH m AS (SELECT model, CAST(sum(input_tokens) AS BIGINT) AS tokens FROM session WHERE model IS NOT NULL GROUP BY 1) SELECT model, tokens, floor(tokens * 1000.0 / (SELECT CASE WHEN sum(tokens) = 0 THEN 1 ELSE sum(tokens) END FROM m) + 0.5) / 10 AS share_pct FROM m")
 def fn_g7(t: Lake) -> DataFrame:
     return shapes.share_of_total(t.session.where("model is not null").groupBy("model").agg(F.sum("input_tokens").alias("tokens")), "tokens")
 
 
-@query("fn_g8", """WITH h AS (SELECT tool_name, user_code, count(*) AS n FROM event WHERE tool_name IS NOT NULL GROUP BY 1, 2)
-    SELECT CASE WHEN starts_with(tool_name, 'mcp__') THEN 'mcp' ELSE 'builtin' END AS kind, CAST(sum(n) AS BIGINT) AS calls, count(DISTINCT user_code) AS users FROM h GROUP BY 1""")
-def fn_g8(t: Lake) -> DataFrame:
-    kind = F.when(F.col("tool_name").startswith("mcp__"), "mcp").otherwise("builtin")
-    return t.event.where("tool_name is not null").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("calls"), F.count_distinct("user_code").alias("users"))
-
-
 @query("srt_8", """WITH c AS (SELECT content_text AS item, CASE WHEN contains(content_text, 'skill') THEN 'skill' ELSE 'command' END AS kind, count(*) AS n FROM message GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, item) AS place FROM c)
     SELECT CASE WHEN place <= 22 THEN item ELSE 'other:' || kind END AS item, kind, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1, 2""")
 def srt_8(t: Lake) -> DataFrame:
@@ -67,11 +55,11 @@ def srt_8(t: Lake) -> DataFrame:
 
 
 @query("srt_9", """WITH s AS (SELECT a.*, CASE WHEN outcome = 'completed' THEN row_number() OVER (PARTITION BY outcome ORDER BY difficulty DESC, session_id) END AS hard_done, row_number() OVER (ORDER BY capability DESC, session_id) AS able,
-      CASE WHEN outcome = 'abandoned' THEN row_number() OVER (PARTITION BY outcome ORDER BY difficulty DESC, session_id) END AS hard_left, row_number() OVER (ORDER BY difficulty DESC, session_id) AS hard FROM audit a WHERE session_id < 2000),
+      CASE WHEN outcome = 'abandoned' THEN row_number() OVER (PARTITION BY outcome ORDER BY difficulty DESC, session_id) END AS hard_left, row_number() OVER (ORDER BY difficulty DESC, session_id) AS hard FROM audit a),
     p AS (SELECT session_id, CASE WHEN hard_done <= 2 THEN hard_done WHEN able <= 2 THEN 10 + able WHEN hard_left <= 2 THEN 20 + hard_left ELSE 30 + hard END AS priority FROM s) SELECT session_id, row_number() OVER (ORDER BY priority, session_id) AS place FROM p ORDER BY 2 LIMIT 6""")
 def srt_9(t: Lake) -> DataFrame:
     """Highlights: two hardest completed, two most able, two hardest abandoned, then by difficulty; no session twice."""
-    pool = t.audit.where("session_id < 2000")
+    pool = t.audit
     best = [("hard_done", pool.where("outcome = 'completed'"), "difficulty", 0), ("able", pool, "capability", 10), ("hard_left", pool.where("outcome = 'abandoned'"), "difficulty", 20), ("hard", pool, "difficulty", 30)]
     parts = None
     for _, df, by, offset in best:
@@ -95,73 +83,19 @@ def st_3(t: Lake) -> DataFrame:
     return stats.rank_percentile(t.session.groupBy("user_code").agg(F.count(F.lit(1)).alias("n")), "n")
 
 
-USER_AUDITS = """ua AS (SELECT s.user_code, count(*) AS audited, avg(a.capability) AS capability, avg(CASE outcome WHEN 'completed' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END) AS completion, avg(CASE WHEN difficulty >= 4 THEN 1.0 ELSE 0.0 END) AS challenge,
-      sum(w * CASE outcome WHEN 'completed' THEN 1.0 WHEN 'partial' THEN 0.5 ELSE 0.0 END) / sum(w) AS weighted FROM session s JOIN (SELECT *, [1.0, 2.0, 4.0, 8.0, 16.0][difficulty] * CASE WHEN disagreement THEN 0.3 ELSE 1.0 END AS w FROM audit) a ON a.session_id = s.id GROUP BY 1)"""
-USER_COMMITS = """uc AS (SELECT user_code, count(*) AS commits, CAST(sum(lines_added) AS BIGINT) AS lines, avg(CASE WHEN regexp_matches(message_subject, '(?i)^\\s*revert(\\s|:|")') THEN 1.0 ELSE 0.0 END) AS revert FROM commits GROUP BY 1)"""
-
-
-def user_audits(t: Lake) -> DataFrame:
-    weight = stats.difficulty_weight(F.col("difficulty"), F.col("disagreement"))
-    value = stats.outcome_value(F.col("outcome"))
-    rows = t.audit.join(t.session.select(F.col("id").alias("session_id"), "user_code"), "session_id")
-    return rows.groupBy("user_code").agg(F.count(F.lit(1)).alias("audited"), F.avg("capability").alias("capability"), F.avg(value).alias("completion"), F.avg(F.when(F.col("difficulty") >= 4, 1.0).otherwise(0.0)).alias("challenge"), (F.sum(weight * value) / F.sum(weight)).alias("weighted"))
-
-
-def user_commits(t: Lake) -> DataFrame:
-    return t.commits.groupBy("user_code").agg(F.count(F.lit(1)).alias("commits"), F.sum("lines_added").alias("lines"), F.avg(F.when(text.is_revert(F.col("message_subject")), 1.0).otherwise(0.0)).alias("revert"))
-
-
-REPORT = f"""{USER_AUDITS}, {USER_COMMITS}, o AS (SELECT user_code, cume_dist() OVER (ORDER BY lines) AS output_pct FROM uc),
-    raw AS (SELECT user_code, audited, coalesce(commits, 0) AS commits, 100 * (0.35 * greatest(0, least(1, capability / 5)) + 0.25 * coalesce(output_pct, 0) + 0.20 * (0.6 * completion + 0.4 * CASE WHEN commits >= 3 AND revert IS NOT NULL THEN 1 - revert ELSE 0.5 END) + 0.15 * challenge / 2 + 0.05) AS score
-      FROM ua LEFT JOIN uc USING (user_code) LEFT JOIN o USING (user_code)),
-    report AS (SELECT *, audited / (audited + 10) * score + (1 - audited / (audited + 10)) * (SELECT avg(score) FROM raw) AS final_score FROM raw)"""
-
-
-def report(t: Lake) -> DataFrame:
-    """MAT-4: scores of all users, drawn towards the team's mean, with grades."""
-    made = user_commits(t)
-    ranked = stats.rank_percentile(made, "lines", "output").withColumn("output_pct", F.col("output") / 100)
-    rows = user_audits(t).join(ranked, "user_code", "left")
-    zero = F.lit(0.0)
-    score = stats.raw_score(F.col("capability"), F.coalesce("output_pct", zero), F.col("completion"), F.col("revert"), F.col("commits"), F.col("challenge"), zero, zero)
-    rows = rows.withColumn("score", score)
-    mean = rows.agg(F.avg("score").alias("mean"))
-    n = F.col("audited")
-    return rows.crossJoin(F.broadcast(mean)).select("user_code", "audited", F.coalesce("commits", F.lit(0)).alias("commits"), "score", stats.shrunk(F.col("score"), F.col("mean"), n).alias("final_score"))
-
-
-@query("st_4", f"WITH {REPORT} SELECT user_code, round(score, 4) AS score FROM report")
-def st_4(t: Lake) -> DataFrame:
-    return report(t).select("user_code", F.round("score", 4).alias("score"))
+USER_AUDITS = """ua AS (SELECT s.user_code, count(*) AS audited, sum(w * CASE outcome WHEN 'completed' THEN 2 WHEN 'partial' THEN 1 ELSE 0 END) / (2.0 * sum(w)) AS weighted
+      FROM session s JOIN (SELECT *, [1, 2, 4, 8, 16][difficulty] * CASE WHEN disagreement THEN 3 ELSE 10 END AS w FROM audit) a ON a.session_id = s.id GROUP BY 1)"""
 
 
-@query("st_5", f"WITH {REPORT} SELECT user_code, round(final_score, 4) AS final_score, CASE WHEN final_score >= 85 THEN 'S' WHEN final_score >= 70 THEN 'A' WHEN final_score >= 55 THEN 'B' WHEN final_score >= 40 THEN 'C' ELSE 'D' END AS grade, CASE WHEN audited >= 20 THEN 'normal' ELSE 'low' END AS confidence FROM report")
-def st_5(t: Lake) -> DataFrame:
-    return report(t).select("user_code", F.round("final_score", 4).alias("final_score"), stats.grade(F.col("final_score")).alias("grade"), stats.confidence(F.col("audited")).alias("confidence"))
-
-
-@query("st_6", f"WITH {REPORT} SELECT user_code, concat_ws(',', CASE WHEN final_score < 55 THEN 'low_score' END, CASE WHEN audited < 15 THEN 'few_sessions' END, CASE WHEN commits = 0 THEN 'no_commits' END) AS flags FROM report")
-def st_6(t: Lake) -> DataFrame:
-    rules = {"low_score": F.col("final_score") < 55, "few_sessions": F.col("audited") < 15, "no_commits": F.col("commits") == 0}
-    return report(t).select("user_code", stats.flags(rules).alias("flags"))
-
-
-@query("st_7", f"WITH {USER_AUDITS} SELECT user_code, audited, CASE WHEN audited >= 10 THEN round(weighted, 6) END AS weighted FROM ua")
+@query("st_7", f"WITH {USER_AUDITS} SELECT user_code, audited, CASE WHEN audited >= 10 THEN floor(weighted * 10000 + 0.5) / 10000 END AS weighted FROM ua")
 def st_7(t: Lake) -> DataFrame:
-    return user_audits(t).select("user_code", "audited", F.when(F.col("audited") >= 10, F.round("weighted", 6)).alias("weighted"))
+    found = report.audit_metrics(t.session, t.audit)
+    return found.select("user_code", "audited", F.when(F.col("audited") >= 10, F.col("completion_rate")).alias("weighted"))
 
 
-@query("st_8", f"""WITH {USER_COMMITS}, us AS (SELECT user_code, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS tokens FROM session GROUP BY 1)
-    SELECT user_code, floor(lines * 1000.0 / nullif(tokens, 0) * 10000 + 0.5) / 10000 AS lines_per_1k, floor(revert * 10000 + 0.5) / 10000 AS revert_rate FROM us LEFT JOIN uc USING (user_code)""")
-def st_8(t: Lake) -> DataFrame:
-    used = t.session.groupBy("user_code").agg(F.sum(F.expr("input_tokens + output_tokens")).alias("tokens"))
-    rows = used.join(user_commits(t), "user_code", "left")
-    return rows.select("user_code", stats.ratio(F.col("lines") * 1000.0, F.col("tokens")).alias("lines_per_1k"), text.java_round(F.col("revert"), 4).alias("revert_rate"))
-
-
-@query("st_9", "SELECT d AS difficulty, coalesce(n, 0) AS n FROM (SELECT unnest([1, 2, 3, 4, 5, 6]) AS d) LEFT JOIN (SELECT difficulty, count(*) AS n FROM audit GROUP BY 1) ON d = difficulty")
+@query("st_9", "SELECT d AS difficulty, coalesce(n, 0) AS n FROM (SELECT unnest([1, 2, 3, 4, 5]) AS d) LEFT JOIN (SELECT difficulty, count(*) AS n FROM audit GROUP BY 1) ON d = difficulty")
 def st_9(t: Lake) -> DataFrame:
-    keys = t.spark.range(1, 7).select(F.col("id").cast("int").alias("difficulty"))
+    keys = t.spark.range(1, 6).select(F.col("id").cast("int").alias("difficulty"))
     return keys.join(t.audit.groupBy("difficulty").agg(F.count(F.lit(1)).alias("n")), "difficulty", "left").fillna(0, ["n"])
 
 
@@ -197,21 +131,6 @@ def st_13(t: Lake) -> DataFrame:
     return rows.select("id", stats.accepted_total(F.col("v"), F.col("p")).alias("accepted"))
 
 
-@query("st_14", """WITH w AS (SELECT unnest([1, 7, 30]) AS days), c AS (SELECT commit_time, lines_added, message_body LIKE 'Co-authored%' AS ai FROM commits WHERE is_merge = 0)
-    SELECT days, CASE WHEN sum(lines_added) IS NULL OR sum(lines_added) = 0 THEN -1 ELSE CAST(floor(coalesce(sum(CASE WHEN ai THEN lines_added END), 0) * 100.0 / sum(lines_added) + 0.5) AS BIGINT) END AS penetration
-    FROM w LEFT JOIN c ON commit_time >= TIMESTAMP '1997-06-01' - to_days(CAST(days AS INTEGER)) AND commit_time < TIMESTAMP '1997-06-01' GROUP BY 1""")
-def st_14(t: Lake) -> DataFrame:
-    """Penetration over 1, 7 and 30 days before a moment, in one scan."""
-    now = F.lit("1997-06-01").cast("timestamp_ntz")
-    rows = t.commits.where((F.col("is_merge") == 0) & (F.col("commit_time") < now) & (F.col("commit_time") >= now - F.make_dt_interval(days=F.lit(30))))
-    ai = F.coalesce(F.col("message_body").startswith("Co-authored"), F.lit(False))
-    sums = []
-    for days in (1, 7, 30):
-        inside = F.col("commit_time") >= now - F.make_dt_interval(days=F.lit(days))
-        sums.append(F.struct(F.lit(days).alias("days"), stats.percent(F.coalesce(F.sum(F.when(inside & ai, F.col("lines_added"))), F.lit(0)), F.coalesce(F.sum(F.when(inside, F.col("lines_added"))), F.lit(0))).alias("penetration")))
-    return rows.agg(F.array(*sums).alias("w")).select(F.inline("w"))
-
-
 @query("st_15", """WITH e AS (SELECT session_id, CAST(sum(tokens_delta) AS BIGINT) AS d FROM event GROUP BY 1)
     SELECT s.id, CASE WHEN d IS NULL THEN 'no_events' WHEN input_tokens > 100 * d THEN 'inflated' WHEN d > input_tokens THEN 'events_exceed' ELSE 'plausible' END AS verdict, floor(CAST(input_tokens AS DOUBLE) / nullif(output_tokens, 0) * 100 + 0.5) / 100 AS in_out FROM session s LEFT JOIN e ON e.session_id = s.id""")
 def st_15(t: Lake) -> DataFrame:
@@ -220,13 +139,13 @@ def st_15(t: Lake) -> DataFrame:
     return t.session.select("id", "input_tokens", "output_tokens").join(sums, "id", "left").select("id", verdict.alias("verdict"), stats.ratio(F.col("input_tokens"), F.col("output_tokens"), 2).alias("in_out"))
 
 
-@query("st_16", """WITH e AS (SELECT session_id, CAST(sum(CASE WHEN tokens_delta BETWEEN 0 AND 500000000 THEN tokens_delta ELSE 0 END) AS BIGINT) AS d FROM event WHERE session_id % 3 <> 0 GROUP BY 1), m AS (SELECT session_id, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS n FROM message WHERE session_id % 5 <> 0 GROUP BY 1)
+@query("st_16", """WITH e AS (SELECT session_id, CAST(sum(CASE WHEN tokens_delta BETWEEN 0 AND 500000000 THEN tokens_delta ELSE 0 END) AS BIGINT) AS d FROM event WHERE event_type = 'TOOL_CALL' GROUP BY 1), m AS (SELECT session_id, CAST(sum(input_tokens + output_tokens) AS BIGINT) AS n FROM message WHERE role = 'tool' GROUP BY 1)
     SELECT s.id, CASE WHEN input_tokens < 100000 THEN input_tokens WHEN coalesce(d, 0) > 0 THEN d WHEN coalesce(n, 0) > 0 THEN n ELSE 0 END AS repaired FROM session s LEFT JOIN e ON e.session_id = s.id LEFT JOIN m ON m.session_id = s.id""")
 def st_16(t: Lake) -> DataFrame:
-    """A total that is out of bounds is replaced by its deltas' sum, else its messages', else 0."""
+    """A total that is out of bounds is replaced by its tool deltas' sum, else its tool messages', else 0."""
     sane = F.when(F.col("tokens_delta").between(0, 500_000_000), F.col("tokens_delta")).otherwise(0)
-    deltas = t.event.where("session_id % 3 <> 0").groupBy(F.col("session_id").alias("id")).agg(F.sum(sane).alias("d"))
-    said = t.message.where("session_id % 5 <> 0").groupBy(F.col("session_id").alias("id")).agg(F.sum(F.expr("input_tokens + output_tokens")).alias("n"))
+    deltas = t.event.where("event_type = 'TOOL_CALL'").groupBy(F.col("session_id").alias("id")).agg(F.sum(sane).alias("d"))
+    said = t.message.where("role = 'tool'").groupBy(F.col("session_id").alias("id")).agg(F.sum(F.expr("input_tokens + output_tokens")).alias("n"))
     rows = t.session.select("id", "input_tokens").join(deltas, "id", "left").join(said, "id", "left")
     return rows.select("id", F.when(F.col("input_tokens") < 100_000, F.col("input_tokens")).when(F.col("d") > 0, F.col("d")).when(F.col("n") > 0, F.col("n")).otherwise(0).alias("repaired"))
 
@@ -236,26 +155,6 @@ def st_17(t: Lake) -> DataFrame:
     return t.session.groupBy("user_code").agg(stats.ratio(F.sum("assistant_messages"), F.sum("user_messages"), 2).alias("qa_ratio"))
 
 
-@query("agg_g2", f"SELECT CAST(coalesce(sum(lines_added) FILTER (commit_time >= TIMESTAMP '1997-01-01'), 0) AS BIGINT) AS all_lines, count(*) AS commits FROM commits WHERE is_merge = 0")
-def agg_g2(t: Lake) -> DataFrame:
-    rows = t.commits.where("is_merge = 0")
-    return rows.agg(F.coalesce(F.sum(F.when(F.col("commit_time") >= F.lit("1997-01-01").cast("timestamp_ntz"), F.col("lines_added"))), F.lit(0)).alias("all_lines"), F.count(F.lit(1)).alias("commits"))
-
-
-@query("agg_s9", """SELECT count(*) FILTER (a.session_id IS NULL) AS pending, count(*) FILTER (a.session_id IS NOT NULL AND NOT a.disagreement) AS stable, count(*) AS valid, greatest(0, count(*) - count(*) FILTER (a.session_id IS NOT NULL AND NOT a.disagreement)) AS unaudited
-    FROM session s LEFT JOIN audit a ON a.session_id = s.id WHERE s.invalid_reason IS NULL""")
-def agg_s9(t: Lake) -> DataFrame:
-    rows = filters.valid(t.session).select("id").join(t.audit.select(F.col("session_id").alias("id"), "disagreement"), "id", "left")
-    found = rows.agg(F.count_if(F.col("disagreement").isNull()).alias("pending"), F.count_if(~F.col("disagreement")).alias("stable"), F.count(F.lit(1)).alias("valid"))
-    return found.withColumn("unaudited", F.greatest(F.lit(0), F.col("valid") - F.col("stable")))
-
-
-@query("jn_20", f"WITH {REPORT} SELECT e.user_code, CASE WHEN final_score IS NULL THEN NULL WHEN final_score >= 55 THEN 'pass' ELSE 'low' END AS badge FROM employee e LEFT JOIN report r ON r.user_code = e.user_code")
-def jn_20(t: Lake) -> DataFrame:
-    badges = report(t).select("user_code", F.when(F.col("final_score") >= 55, "pass").otherwise("low").alias("badge"))
-    return t.employee.select("user_code").join(badges, "user_code", "left")
-
-
 # ---- scalar functions over whole columns
 
 @query("fn_scalars", """SELECT id, nullif(regexp_extract(tool_name, '^mcp__([^_\\s]\\S*?)__(\\S+)$', 1), '') AS raw_server, split_part(commit_ref, ':', 1) AS head, floor(ratio * 100 + 0.5) / 100 AS rounded

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-from uuid import uuid4
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators import filters
+from pulsegrid.shared import own_folder, stage
 from pulsegrid.streaming import sinks, states
 
 from .bindings import Lake
@@ -26,13 +24,6 @@ def snapshots(events: DataFrame) -> DataFrame:
     return events.select(F.concat(F.lit("u"), "user_id").alias("session"), F.col("ts").alias("captured_at"), F.col("event_id").alias("seq"), F.col("event_type").alias("status"), F.floor("value").cast("long").alias("tokens"), (F.col("user_id") % 5 + F.col("event_id") % 3).alias("messages"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (found or "/tmp/checkpoints").rstrip("/")
-
-
 @query("str_1", DELTAS)
 def str_1(t: Lake) -> DataFrame:
     return states.snapshot_events_batch(snapshots(t.source("events")))
@@ -41,7 +32,7 @@ def str_1(t: Lake) -> DataFrame:
 @query("str_1_stream", DELTAS)
 def str_1_stream(t: Lake) -> DataFrame:
     """The same, run as a stream with state to its end."""
-    spark, folder = t.spark, f"{shared_dir(t.spark)}/{t.spark.sparkContext.applicationId}/stream-{uuid4().hex}"
+    spark, folder = t.spark, own_folder(t.spark, "stream")
     schema = t.source("events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.folder}/events*.parquet")
     out = states.snapshot_events(snapshots(stream))
@@ -78,9 +69,13 @@ def str_6(t: Lake) -> DataFrame:
     return t.session.select("id", F.when(F.col("invalid_reason") == "merged_subagent", F.col("invalid_reason")).when(lifeless, "idle_no_reply").alias("reason"))
 
 
-@query("str_7", "SELECT s.id FROM session s WHERE EXISTS (SELECT 1 FROM device d WHERE d.agent_id = s.agent_id AND d.id % 7 = 0)")
+@query("str_7", """WITH listed AS (SELECT DISTINCT 'a' || (l_orderkey % 150 % 97) AS agent_id, 'ext-' || (l_orderkey + l_linenumber % 2) AS ref FROM lineitem WHERE l_linenumber IN (1, 4))
+    SELECT s.id, CASE WHEN listed.ref IS NOT NULL THEN 'merged_subagent' ELSE s.invalid_reason END AS invalid_reason FROM session s LEFT JOIN listed ON listed.ref = s.external_session_id AND listed.agent_id = s.agent_id""")
 def str_7(t: Lake) -> DataFrame:
-    return t.session.join(t.device.where("id % 7 = 0").select("agent_id"), "agent_id", "left_semi").select("id")
+    """Sessions that a client lists as merged into another become so, if they are that client's own."""
+    listed = t.source("lineitem").where("l_linenumber in (1, 4)").select(F.concat(F.lit("a"), F.col("l_orderkey") % 150 % 97).alias("agent_id"), F.concat(F.lit("ext-"), F.col("l_orderkey") + F.col("l_linenumber") % 2).alias("external_session_id")).distinct()
+    marked = t.session.join(listed.withColumn("_listed", F.lit(True)), ["agent_id", "external_session_id"], "left")
+    return marked.select("id", F.when(F.col("_listed"), "merged_subagent").otherwise(F.col("invalid_reason")).alias("invalid_reason"))
 
 
 @query("str_8", "WITH m AS (SELECT session_id, count(*) AS n FROM message WHERE lower(trim(role)) IN ('user', 'assistant') GROUP BY 1) SELECT id, CASE WHEN abs(total_messages - coalesce(n, 0)) <= 3 THEN total_messages ELSE coalesce(n, 0) END AS messages FROM session LEFT JOIN m ON session_id = id")
@@ -90,10 +85,12 @@ def str_8(t: Lake) -> DataFrame:
     return t.session.select("id", "total_messages").join(counts, "id", "left").select("id", F.when(F.abs(F.col("total_messages") - n) <= 3, F.col("total_messages")).otherwise(n).alias("messages"))
 
 
-@query("str_9", "SELECT DISTINCT CAST(event_time AS DATE) AS day, user_code FROM event WHERE id % 50 = 1")
+@query("str_9", "SELECT DISTINCT CAST(event_time AS DATE) AS day, user_code FROM event WHERE event_time >= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY AND event_time < TIMESTAMP '1998-01-01' - INTERVAL 48 HOUR")
 def str_9(t: Lake) -> DataFrame:
-    """The (day, user) pairs that a batch of late rows makes stale."""
-    return t.event.where("id % 50 = 1").select(F.to_date("event_time").alias("day"), "user_code").distinct()
+    """The (day, user) pairs that late rows make stale: older than the steady look-back, within the first one."""
+    now = F.lit("1998-01-01").cast("timestamp_ntz")
+    late = (F.col("event_time") >= now - F.make_dt_interval(days=F.lit(30))) & (F.col("event_time") < now - F.make_dt_interval(hours=F.lit(48)))
+    return t.event.where(late).select(F.to_date("event_time").alias("day"), "user_code").distinct()
 
 
 @query("str_11", "SELECT id, 'idle' AS status FROM session WHERE status <> 'idle' AND last_activity < TIMESTAMP '1998-01-01' - INTERVAL 300 SECOND ORDER BY id LIMIT 500")
@@ -125,10 +122,11 @@ def str_16(t: Lake) -> DataFrame:
     return states.changed_only(snapshots(t.source("events"))).select("seq")
 
 
-@query("str_17", "SELECT agent_id, nonce, min(id) AS id FROM (SELECT id, agent_id, id % 400 AS nonce FROM work) GROUP BY 1, 2")
+@query("str_17")
 def str_17(t: Lake) -> DataFrame:
-    """Replays: the first use of each nonce."""
-    return t.work.select("id", "agent_id", (F.col("id") % 400).alias("nonce")).groupBy("agent_id", "nonce").agg(F.min("id").alias("id"))
+    """Requests that are no replays, and were sent within five minutes of their arrival."""
+    requests = t.work.select("id", "agent_id", "start_time", "end_time", (F.col("id") % 3).alias("nonce"))
+    return states.first_claims(requests, ["agent_id", "nonce"], "start_time", "id", "end_time").select("id")
 
 
 @query("str_18")
@@ -150,9 +148,10 @@ def str_windows(t: Lake) -> DataFrame:
 
 @query("snk_1", "SELECT user_code, max(version) AS version, arg_max(id, version * 100000000 + id) AS id FROM session GROUP BY 1")
 def snk_1(t: Lake) -> DataFrame:
-    old, new = t.session.where("id % 2 = 0"), t.session.where("id % 2 = 1")
-    slim = lambda df: df.select("user_code", "version", "id", (F.col("version") * 100_000_000 + F.col("id")).alias("_v"))
-    return sinks.merged(slim(old), slim(new), ["user_code"], "_v").select("user_code", "version", "id")
+    """Sessions upserted in two batches: the table is written, merged with the second batch, and written anew."""
+    slim = t.session.select("user_code", "version", "id", (F.col("version") * 100_000_000 + F.col("id")).alias("_v"))
+    stored = stage(sinks.keep_latest(slim.where("status = 'idle'"), ["user_code"], F.desc("_v")), "sessions")
+    return stage(sinks.merged(stored, slim.where("status <> 'idle'"), ["user_code"], "_v"), "sessions").select("user_code", "version", "id")
 
 
 @query("snk_2", "SELECT DISTINCT session_id, tool_name FROM event WHERE id % 2 = 1 AND (session_id, tool_name) NOT IN (SELECT session_id, tool_name FROM event WHERE id % 2 = 0 AND tool_name IS NOT NULL) AND tool_name IS NOT NULL")

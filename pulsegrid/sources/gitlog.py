@@ -14,32 +14,44 @@ from datetime import datetime, timezone
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 FIELD, RECORD = "\x1f", "\x1e"
-FORMAT = FIELD.join(["%H", "%aI", "%ae", "%P", "%s", "%b"]) + RECORD
+FORMAT = FIELD.join(["%H", "%cI", "%an", "%ae", "%P", "%D", "%s", "%b"]) + RECORD
 SKIPPED = frozenset(["node_modules", "vendor"])
 
 
+FileRow = tuple[str, str | None, int, int]
+
+
+def file_row(added: str, deleted: str, path: str) -> FileRow:
+    """(path, old path, added, deleted) of a numstat line; a rename is ``a => b`` or ``x/{a => b}/y``; binary files count no lines."""
+    old = None
+    if " => " in path:
+        head, _, rest = path.partition("{")
+        inner, brace, tail = rest.partition("}")
+        was, _, now = (inner if brace else path).partition(" => ")
+        old, path = ((head + was + tail).replace("//", "/"), (head + now + tail).replace("//", "/")) if brace else (was, now)
+    return path, old, int(added) if added.isdigit() else 0, int(deleted) if deleted.isdigit() else 0
+
+
 def parse_log(blob: str) -> Iterator[tuple]:
-    """(hash, time, email, parents, subject, body, files, added, deleted) of ``git log --numstat`` with FORMAT."""
+    """(hash, time, name, email, parents, branch, subject, body, files, added, deleted, rows) of ``git log --numstat`` with FORMAT."""
     head, files = None, []
 
     def commit() -> tuple:
-        added = sum(int(a) for a, _, _ in files if a.isdigit())
-        deleted = sum(int(d) for _, d, _ in files if d.isdigit())
-        commit_hash, at, email, parents, subject, body = head
+        commit_hash, at, name, email, parents, refs, subject, body = head
         time = datetime.fromisoformat(at).astimezone(timezone.utc).replace(tzinfo=None)
-        return (commit_hash, time, email, parents.split(), subject, body.strip(), len(files), added, deleted)
+        named = [r.removeprefix("HEAD -> ") for r in refs.split(", ") if r and not r.startswith("tag: ") and r != "HEAD"]
+        return (commit_hash, time, name, email, parents.split(), named[0] if named else None, subject, body.strip(), len(files), sum(f[2] for f in files), sum(f[3] for f in files), files)
 
     for block in blob.split(RECORD):
-        stats, _, rest = block.partition("\n\n") if FIELD not in block.split("\n", 1)[0] else ("", "", block)
         start = block.rfind("\n", 0, block.find(FIELD)) + 1 if FIELD in block else len(block)
         for line in block[:start].splitlines():
             parts = line.split("\t")
             if len(parts) == 3:
-                files.append(tuple(parts))
+                files.append(file_row(*parts))
         if FIELD in block:
             if head:
                 yield commit()
-            head, files = block[start:].split(FIELD, 5), []
+            head, files = block[start:].split(FIELD, 7), []
     if head:
         yield commit()
 
@@ -67,28 +79,31 @@ class GitReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.root, self.limit = options["root"], int(options.get("limit", "200"))
         self.since, self.days = options.get("since"), int(options.get("days", "30"))
+        self.blocked = [b for b in options.get("blacklist", "").split(",") if b]
 
     def partitions(self) -> list[Repository]:
-        return [Repository(f) for f in repositories(self.root)]
+        return [Repository(f) for f in repositories(self.root) if not any(b in f for b in self.blocked)]
 
     def read(self, partition: Repository) -> Iterator[tuple]:
-        command = ["git", "-C", partition.folder, "log", "--no-merges", "--numstat", f"--format={FORMAT}", "-n", str(self.limit)]
-        run = subprocess.run([*command, f"{self.since}..HEAD"], capture_output=True, text=True) if self.since else None
+        command = ["git", "-C", partition.folder, "-c", "core.quotepath=false", "log", "--no-merges", "--numstat", f"--format={FORMAT}", "-n", str(self.limit)]
+        run = subprocess.run([*command, f"{self.since}..HEAD"], capture_output=True, text=True, errors="replace") if self.since else None
         if run is None or run.returncode:  # the cursor may be gone from the history
-            run = subprocess.run([*command, f"--since={self.days} days ago"], capture_output=True, text=True)
+            run = subprocess.run([*command, f"--since={self.days} days ago"], capture_output=True, text=True, errors="replace")
+        if run.returncode and "does not have any commits yet" not in run.stderr:
+            raise RuntimeError(f"git log in {partition.folder}: {run.stderr.strip()}")
         for commit in parse_log(run.stdout):
             yield (partition.folder, *commit)
 
 
 class GitLog(DataSource):
-    """Options: root, limit (commits of a repository), since (a hash) or days."""
+    """Options: root, limit (commits of a repository), since (a hash) or days, blacklist (parts of paths to leave out, comma-separated)."""
 
     @classmethod
     def name(cls) -> str:
         return "gitlog"
 
     def schema(self) -> str:
-        return "repo string, commit_hash string, commit_time timestamp_ntz, author_email string, parents array<string>, subject string, body string, files_changed int, lines_added int, lines_deleted int"
+        return "repo string, commit_hash string, commit_time timestamp_ntz, author_name string, author_email string, parents array<string>, branch string, subject string, body string, files_changed int, lines_added int, lines_deleted int, files array<struct<path:string,old_path:string,lines_added:int,lines_deleted:int>>"
 
     def reader(self, schema) -> GitReader:
         return GitReader(dict(self.options))

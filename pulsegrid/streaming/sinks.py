@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from pulsegrid.shared import own_folder, stage
+
 
 def keep_latest(df: DataFrame, keys: Sequence[str], *order: Column) -> DataFrame:
     """SNK-1: one row per natural key, the first in the given order."""
@@ -61,3 +64,87 @@ def without_content(df: DataFrame, at: str, before: str, columns: Sequence[str])
     """MAT-7: rows stay, the content of old ones goes."""
     old = F.col(at) < F.lit(before).cast("timestamp_ntz")
     return df.withColumns({c: F.when(~old, F.col(c)) for c in columns})
+
+
+def rewritten(first: DataFrame, again: DataFrame, day: str = "work_date") -> DataFrame:
+    """SNK-6, SNK-7: a table by day written from ``first``, of which the days of ``again`` are then replaced; read back."""
+    spark, path = first.sparkSession, own_folder(first.sparkSession, "by_day")
+    overwrite_days(first, path, day)
+    overwrite_days(again, path, day)
+    return spark.read.schema(first.schema).parquet(path)
+
+
+def content_addressed(rows: DataFrame, row_id: str, content: str, stored: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """SNK-4: (digest, content) of contents that are not stored yet or were emptied, and (row, digest) links; null contents have none."""
+    linked = rows.where(F.col(content).isNotNull()).select(row_id, F.sha2(F.col(content).cast("binary"), 256).alias("digest"), F.col(content).alias("content"))
+    blobs = linked.groupBy("digest").agg(F.first("content").alias("content"))
+    if stored is not None:
+        blobs = blobs.join(stored.where(F.col("content").isNotNull()).select("digest"), "digest", "left_anti")
+    return blobs, linked.select(row_id, "digest")
+
+
+def updated_if_changed(stored: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """MAT-8: stored rows with the new values, and whether any differs; rows without new values stay."""
+    fresh = new.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_new"))
+    both = stored.join(fresh, key, "left")
+    differs = F.lit(False)
+    for c in columns:
+        differs = differs | ~F.col(c).eqNullSafe(F.col(f"_{c}"))
+    changed = F.coalesce(F.col("_new"), F.lit(False)) & differs
+    values = {c: F.when(changed, F.col(f"_{c}")).otherwise(F.col(c)) for c in columns}
+    return both.withColumn("changed", changed).withColumns(values).select(*stored.columns, "changed")
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    schema = spark.read.parquet(f"{folder}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{folder}/events*.parquet")
+
+
+def pushed(spark: SparkSession, folder: str) -> DataFrame:
+    """SNK-8: counts that a subscriber sums up from the micro-batches it is handed; a batch that comes twice counts once."""
+    out, state = own_folder(spark, "pushed"), own_folder(spark, "pushed_state")
+
+    def push(batch: DataFrame, n: int) -> None:
+        batch.groupBy("event_type").count().write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    _events(spark, folder).writeStream.foreachBatch(push).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("event_type").agg(F.sum("count").alias("n"))
+
+
+def spooled(spark: SparkSession, folder: str) -> DataFrame:
+    """SNK-10: a stream to files and back, run twice from one checkpoint; the second run finds nothing new."""
+    out, state = own_folder(spark, "spool"), own_folder(spark, "spool_state")
+    for _ in range(2):
+        stream = _events(spark, folder).select("event_id")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def resumed(spark: SparkSession, items: DataFrame, key: str, build: Callable[[DataFrame], DataFrame], path: str, rounds: int = 3, at_once: int = 1_000) -> DataFrame:
+    """MAT-5: a back-fill by ``key`` that can be stopped: what a progress table names as done is not done again.
+
+    Each round takes up to ``at_once`` of the keys that are left, in order, and writes their results and then their names. A round
+    that fails is tried again up to ``rounds`` times; then its error is raised, and a later call goes on from there.
+    """
+    done_path = f"{path}_done"
+    while True:
+        done = _read(spark, done_path, items.select(key))
+        left = items.select(key).distinct().join(done, key, "left_anti").orderBy(key).limit(at_once)
+        chosen = stage(left, "backfill")
+        if chosen.isEmpty():
+            return spark.read.parquet(path)
+        for attempt in range(rounds):
+            try:
+                overwrite_days(build(items.join(chosen, key, "left_semi")), path, key)
+                break
+            except Exception:
+                if attempt == rounds - 1:
+                    raise
+        chosen.write.mode("append").parquet(done_path)
+
+
+def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    try:
+        return spark.read.schema(like.schema).parquet(path)
+    except AnalysisException:
+        return like.where("false")

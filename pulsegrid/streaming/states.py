@@ -147,3 +147,61 @@ def missing_baseline(sessions: DataFrame, events: DataFrame) -> DataFrame:
     wanted = F.array_compact(F.array(F.struct(F.lit("SESSION_OPEN").alias("event_type"), F.lit(0).cast("long").alias("amount")), F.when(F.expr("input_tokens + output_tokens > 0"), F.struct(F.lit("TOKEN_DELTA").alias("event_type"), F.expr("input_tokens + output_tokens").alias("amount"))), F.when(F.col("total_messages") > 0, F.struct(F.lit("MESSAGE_DELTA").alias("event_type"), F.col("total_messages").cast("long").alias("amount")))))
     rows = sessions.select(F.col("id").alias("session_id"), F.inline(wanted))
     return rows.join(events.select("session_id", "event_type"), ["session_id", "event_type"], "left_anti")
+
+
+def cursors(rows: DataFrame, key: str, row_id: str, at: str, now: str, keep_days: int = 45) -> DataFrame:
+    """STR-14: the last id and time of each key; rows older than ``keep_days`` don't count."""
+    fresh = rows.where(F.col(at) >= F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(days=F.lit(keep_days)))
+    return fresh.groupBy(key).agg(F.max(row_id).alias("last_id"), F.max(at).alias("last_time"))
+
+
+def batched(rows: DataFrame, key: str, order: str, size: str, most_rows: int, most_bytes: int) -> DataFrame:
+    """STR-15: ``rows`` with the number of their key's batch, a new one after ``most_rows`` rows or ``most_bytes`` bytes."""
+    by = W.partitionBy(key).orderBy(order)
+    before = F.sum(size).over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col(size)
+    return rows.withColumn("batch", F.greatest(F.floor((F.row_number().over(by) - 1) / most_rows), F.floor(before / most_bytes)))
+
+
+def debounced(marks: DataFrame, key: str, at: str, quiet: int = 15, most: int = 60) -> DataFrame:
+    """STR-10: when each key's work is due: ``quiet`` seconds after its last mark, ``most`` seconds after its first one at the latest.
+
+    (key, due, marks). A mark that comes when the work is already done begins anew, so each key is folded in order.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in marks.schema}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        who, first, last, n = None, None, None, 0
+
+        def due() -> pd.Timestamp:
+            return min(last + pd.Timedelta(seconds=quiet), first + pd.Timedelta(seconds=most))
+
+        for batch in batches:
+            out = []
+            for k, when in zip(batch[key], batch[at]):
+                if n and (k != who or when >= due()):
+                    out.append((who, due(), n))
+                    n = 0
+                who, first, last, n = k, when if n == 0 else first, when, n + 1
+            yield pd.DataFrame(out, columns=[key, "due", "marks"])
+        if n:
+            yield pd.DataFrame([(who, due(), n)], columns=[key, "due", "marks"])
+
+    ordered = marks.select(key, at).repartition(key).sortWithinPartitions(key, at)
+    return ordered.mapInPandas(run, f"{key} {kinds[key]}, due {kinds[at]}, marks bigint")
+
+
+def first_claims(requests: DataFrame, keys: list[str], at: str, row_id: str, sent: str, skew_seconds: int = 300, keep_seconds: int = 600) -> DataFrame:
+    """STR-17: requests that are no replays: sent within ``skew_seconds`` of their arrival, with a nonce that is not known.
+
+    A nonce is forgotten ``keep_seconds`` after it was claimed, which is after the skew that lets its request in. A refused
+    request claims nothing, so in a run of requests with one nonce those count that come ``keep_seconds`` after the last that counted.
+    """
+    fresh = requests.where(F.abs(F.unix_seconds(F.col(at).cast("timestamp")) - F.unix_seconds(F.col(sent).cast("timestamp"))) <= skew_seconds)
+    named = fresh.withColumn("_key", F.concat_ws("\0", *keys)).select(F.col("_key"), F.col(at).alias("_at"), F.col(row_id).alias("id"))
+    claimed = throttled(named, "_key", "_at", keep_seconds).select(F.col("id").alias(row_id))
+    return requests.join(claimed, row_id, "left_semi")
+
+
+def audit_state(state: Column, lease_until: Column, grown: Column, now: Column) -> Column:
+    """MAT-9: RUNNING keeps its lease while it lasts and waits again after; DONE waits again once the session has grown."""
+    return F.when((state == "RUNNING") & (lease_until.isNull() | (lease_until <= now)), "PENDING").when((state == "DONE") & grown, "PENDING").otherwise(state)
