@@ -2,11 +2,15 @@
 
 Normalised lines are exploded and hashed, distinct documents are counted for each hash, and the
 lines of hashes over the threshold are dropped everywhere but in one document. Only hashes and
-positions are grouped; the text moves once, to meet the positions that its document loses.
+positions are grouped; the text moves once, to meet the positions that its document loses, or not at all
+where the table of losses is small enough for Spark to broadcast it. Very common lines don't meet in a task:
+their hashes are broadcast (see ``hot_keys``).
 
 Cases: a null or empty text is one empty line; a line that repeats within a document counts once for
 it; rows that repeat an id count as one document, and each loses its own lines; rows with a null id
-are neither counted nor changed; extra columns are kept as they are by ``dedup_lines``.
+are neither counted nor changed; a text of very many lines is one array of lines in one task; extra
+columns are kept whatever their names, but columns n_lines and n_dropped are replaced by the results; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,10 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carrying import packed, quoted
+from .hot_keys import join_groups
 from .native import ascii_lower
 from .staging import stage
 
 BLANKS = " \t\n\x0b\x0c\r"
+RESULT = ("n_lines", "n_dropped")
 
 
 def line_keys(text: Column) -> Column:
@@ -25,19 +32,20 @@ def line_keys(text: Column) -> Column:
     return F.transform(F.split(ascii_lower(text), "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
 
 
-def lines_to_drop(docs: DataFrame, id_col: str, text_col: str, min_chars: int, min_docs: int) -> DataFrame:
-    """(id, digest of the text, positions to drop) for documents that lose lines."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def lines_to_drop(rows: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """(id, digest, drops: positions to drop) for documents that lose lines; rows has id, digest and text."""
     lines = (
-        docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_digest"), F.posexplode(line_keys(text)).alias("_at", "_key"))
-        .where(F.length("_key") >= min_chars)
-        .select("_id", "_digest", "_at", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), "_key").alias("_h2"))
+        rows.where("id is not null")
+        .select("id", "digest", F.posexplode(line_keys(F.col("text"))).alias("at", "key"))
+        .where(F.length("key") >= min_chars)
+        .select("id", "digest", "at", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("line"), "key").alias("h2"))
     )
     lines = stage(lines, "lines")
-    common = lines.groupBy("_h1", "_h2").agg(F.count_distinct("_id").alias("_docs"), F.max("_id").alias("_keeper")).where(F.col("_docs") >= min_docs)
-    lost = lines.join(common.drop("_docs"), ["_h1", "_h2"]).where("_id < _keeper")
-    return lost.groupBy("_id", "_digest").agg(F.collect_set("_at").alias("_drops"))
+    holders = lines.groupBy("h1", "h2", "id").agg(F.count(F.lit(1)).alias("n"))
+    common = holders.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"), F.max("id").alias("keeper")).where(F.col("docs") >= min_docs)
+    common = stage(common.select("h1", "h2", "keeper", "n"), "common_lines")
+    lost = join_groups(lines, common, ["h1", "h2"], F.col("n"), lines.count()).where("id < keeper")
+    return lost.groupBy("id", "digest").agg(F.collect_set("at").alias("drops"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -46,15 +54,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A key of at least ``min_chars`` code points found in at least ``min_docs`` documents stays only in
     the largest id that holds it.
     """
-    drops = lines_to_drop(docs, id_col, text_col, min_chars, min_docs)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.split(text, "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_drops"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n")
-    found = docs.withColumn("_of", F.xxhash64(text)).join(drops.withColumnsRenamed({"_id": "_doc"}), (F.col(id_col) == F.col("_doc")) & (F.col("_of") == F.col("_digest")), "left")
-    found = found.withColumn("_lines", F.when(F.col("_drops").isNotNull(), lines))
+    keep = [c for c in docs.columns if c not in RESULT]
+    text = F.coalesce(F.col(quoted(text_col)), F.lit(""))
+    others = [c for c in keep if c != text_col]
+    rows = docs.select(packed(docs, others).alias("kept"), F.col(quoted(id_col)).alias("id"), F.xxhash64(text).alias("digest"), text.alias("text"))
+    drops = stage(lines_to_drop(rows, min_chars, min_docs), "lost_lines")
+    lines = F.split("text", "\n")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drops"))
+    kept = F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")
+    found = rows.join(drops.withColumnsRenamed({"id": "of", "digest": "its"}), (F.col("id") == F.col("of")) & (F.col("digest") == F.col("its")), "left")
+    found = found.withColumn("lines", F.when(F.col("drops").isNotNull(), lines))
     return found.select(
-        *[F.when(F.col("_drops").isNull(), text).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept).alias(c) if c == text_col else F.col(f"kept.c{others.index(c)}").alias(c) for c in keep],
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
