@@ -3,23 +3,28 @@
 Tags open and close elements on a stack: start tags imply the end of open paragraphs, list items, rows
 and cells, cells imply a row, and what can not stand in a head ends it. Visibility rules drop what a browser does not show. What is left is
 laid out: blocks on lines of their own with a blank line around paragraphs and headings, list items
-with markers and indents, and table cells in aligned columns.
-
-Cases: null or empty pages give an empty text; unclosed tags, quotes and comments end with the page;
-nesting of any depth is handled without recursion; repeated pages give equal texts; extra columns are
-carried; an empty table gives an empty result.
+with markers and indents, and table cells in aligned columns. Cells wider than ``WIDEST`` are wrapped
+between words, but for those of a table's last column, so that the columns right of them stay aligned.
+
+Cases: null or empty pages give an empty text; a comment that is not closed ends with the page; what looks
+like a tag but has no ``>`` after it is text; a tag whose quotes are not closed within 200 quoted values ends at its
+first ``>``; nesting of any depth is handled without recursion, and the time grows with the length of a page, malformed
+ones too; repeated pages give equal texts; extra columns are carried whatever their names, but a column named as the
+result is replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .carrying import with_kept
+
 # HTML's element categories.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
@@ -44,45 +49,52 @@ P_SCOPE = frozenset("button td th table caption li ul ol dl dd".split())
 CELL_SCOPE = frozenset(["td", "th", "caption"])
 TABLE_TAGS = frozenset("table thead tbody tfoot tr td th caption".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+(?=>)|[^>]*+)>|<[!?/][^>]*+>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
-WIDEST_PADDING = 40
+WIDEST = 60
 
 
 class Lines:
     """Lines of text under way: runs of blanks are one, blank lines wait for the next text."""
 
-    def __init__(self, indent: str = ""):
+    def __init__(self) -> None:
         self.done: list[str] = []
-        self.now, self.gap, self.indent, self.marker = "", 0, indent, ""
+        self.now: list[str] = []
+        self.seen, self.gap, self.indent, self.marker = False, 0, 0, ""
 
     def add(self, text: str) -> None:
         text = BLANKS.sub(" ", text)
-        if not self.now or self.now[-1] in " \n":
+        if not self.now or self.now[-1][-1] in " \n":
             text = text.lstrip(" ")
-        self.now += text
+        self.put(text)
+
+    def put(self, text: str) -> None:
+        if text:
+            self.now.append(text)
+            self.seen = self.seen or not text.isspace()
 
     def verbatim(self, text: str) -> None:
-        self.now += text.replace("\r\n", "\n")
+        self.put(text.replace("\r\n", "\n"))
 
     def end_line(self, gap: int = 0, verbatim: bool = False) -> None:
-        text = self.now.rstrip() if verbatim else self.now.strip(" ")
-        self.now = ""
+        text = "".join(self.now)
+        self.now, self.seen = [], False
+        text = text.rstrip() if verbatim else text.strip(" ")
         if text.strip():
             if self.done:
                 self.done += [""] * self.gap
             self.gap = 0
             for line in text.split("\n"):
-                self.done.append((self.indent + self.marker + line).rstrip())
+                self.done.append((" " * self.indent + self.marker + line).rstrip())
                 if self.marker:
-                    self.indent, self.marker = self.indent + " " * len(self.marker), ""
+                    self.indent, self.marker = self.indent + len(self.marker), ""
         self.gap = max(self.gap, gap)
 
     def blank(self) -> None:
         """A second line break in a row."""
-        if self.now.strip():
+        if self.seen:
             self.end_line()
         else:
             self.gap = max(self.gap, 1)
@@ -90,11 +102,24 @@ class Lines:
     def place(self, lines: list[str], gap: int) -> None:
         self.end_line(gap)
         for line in lines:
-            self.now = line
+            self.now = [line]
             self.end_line(0, True)
         self.end_line(gap)
 
 
+def wrapped(line: str, width: int) -> list[str]:
+    """A line cut between words, no part longer than ``width`` unless a word is."""
+    if len(line) <= width:
+        return [line]
+    out = [""]
+    for word in line.split(" "):
+        if out[-1] and len(out[-1]) + 1 + len(word) > width:
+            out.append(word)
+        else:
+            out[-1] += " " + word if out[-1] else word
+    return out
+
+
 def number(attrs: dict[str, str], name: str, most: int) -> int:
     value = attrs.get(name, "")
     return max(1, min(most, int(value))) if value.isascii() and value.isdigit() else 1
@@ -105,37 +130,49 @@ class Table:
 
     def __init__(self) -> None:
         self.rows: list[list[tuple[int, list[str]]]] = []
-        self.hanging: dict[int, int] = {}  # column: rows that a cell above still covers
-        self.at, self.spans = 0, (1, 1)
+        self.hanging: dict[int, tuple[int, int]] = {}  # first column: the column after, and the last row that a cell from above covers
+        self.at = 0
 
     def row(self) -> None:
         self.rows.append([])
         self.at = 0
-        self.covered = self.hanging
-        self.hanging = {c: n - 1 for c, n in self.covered.items() if n > 1}
 
     def cell(self, lines: list[str], spans: tuple[int, int]) -> None:
-        while self.at in self.covered:
-            self.at += 1
+        here = len(self.rows) - 1
+        while self.at in self.hanging:
+            after, last = self.hanging[self.at]
+            if last < here:
+                del self.hanging[self.at]
+            else:
+                self.at = after
         self.rows[-1].append((self.at, lines))
-        for c in range(self.at, self.at + spans[0]):
-            if spans[1] > 1:
-                self.hanging[c] = spans[1] - 1
-        self.at += spans[0]
+        after = self.at + spans[0]
+        if spans[1] > 1:
+            self.hanging[self.at] = (after, here + spans[1] - 1)
+        self.at = after
 
     def lines(self) -> list[str]:
-        """The rows with their columns aligned; a column is at least as wide as its cells, up to a limit."""
+        """The rows with their columns aligned; a column is as wide as its widest cell, or word of a wrapped cell."""
+        end = max([0, *(c for row in self.rows for c, cell in row if any(cell))])
         width: dict[int, int] = {}
+        rows = []
         for row in self.rows:
-            for c, cell in row:
+            cells = [(c, cell if c == end else [part for line in cell for part in wrapped(line, WIDEST)]) for c, cell in row]
+            rows.append(cells)
+            for c, cell in cells:
                 width[c] = max([width.get(c, 0), *map(len, cell)])
-        used = sorted(width)
+        begin, at = {}, 0
+        for c in sorted(width):
+            begin[c] = at
+            at += width[c] + 2 if width[c] else 0
         out = []
-        for row in self.rows:
-            cells = dict(row)
-            for k in range(max([0, *(len(x) for x in cells.values())])):
-                parts = [(cells[c][k] if c in cells and k < len(cells[c]) else "").ljust(min(width[c], WIDEST_PADDING)) for c in used if width[c]]
-                out.append("  ".join(parts).rstrip())
+        for cells in rows:
+            for k in range(max([0, *(len(cell) for _, cell in cells)])):
+                line = ""
+                for c, cell in cells:
+                    if k < len(cell) and cell[k]:
+                        line = line.ljust(begin[c]) + cell[k]
+                out.append(line.rstrip())
         return out
 
 
@@ -144,6 +181,7 @@ class Page:
 
     def __init__(self) -> None:
         self.open: list[tuple[str, bool, tuple]] = []  # tag, whether it hides its content, what to restore
+        self.places: dict[str, list[int]] = {}  # where in ``open`` each tag is
         self.hidden = self.pre = 0
         self.out, self.tables, self.counters = Lines(), [], []
 
@@ -156,12 +194,12 @@ class Page:
             ended, stop = IMPLIED[tag]
             while self.end_one(ended, stop):
                 pass
-        if tag in ("td", "th") and self.tables and not any(t == "tr" for t, _, _ in self.up_to("table")):
+        if tag in ("td", "th") and self.tables and self.nearest(("tr",)) <= self.nearest(("table",)):
             self.start("tr", "")
         attrs = {m[1].lower(): unescape(m[2].strip("\"'")) if m[2] else "" for m in ATTRIBUTE.finditer(given)} if given.strip(" /\n") else {}
         if tag in VOID:
             if not self.hidden and tag == "br":
-                self.out.end_line(0, True) if self.out.now.strip() else self.out.blank()
+                self.out.end_line(0, True) if self.out.seen else self.out.blank()
             elif not self.hidden and tag == "hr":
                 self.out.end_line(1)
             return
@@ -171,28 +209,24 @@ class Page:
         if tag == "details" and "open" in attrs:
             tag = "section"
         self.hidden += unseen
+        self.places.setdefault(tag, []).append(len(self.open))
         self.open.append((tag, unseen, self.enter(tag, attrs) if not self.hidden else ()))
 
-    def up_to(self, tag: str) -> Iterator[tuple]:
-        for x in reversed(self.open):
-            if x[0] == tag:
-                return
-            yield x
+    def nearest(self, tags: Iterable[str]) -> int:
+        """The place of the last open element of ``tags``, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
 
     def end_one(self, tags: str | frozenset, stop: frozenset) -> bool:
         """Close the nearest open element of ``tags`` that is not below a ``stop`` element."""
-        tags = frozenset([tags]) if isinstance(tags, str) else tags
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] in tags:
-                while len(self.open) > i:
-                    self.pop()
-                return True
-            if self.open[i][0] in stop:
-                return False
-        return False
+        at = self.nearest([tags] if isinstance(tags, str) else tags)
+        if at < 0 or self.nearest(stop) > at:
+            return False
+        while len(self.open) > at:
+            self.pop()
+        return True
 
     def end(self, tag: str) -> None:
-        if tag == "details" and not any(t == tag for t, _, _ in self.open):
+        if tag == "details" and not self.places.get(tag):
             tag = "section"  # an open one is laid out as a section
         if tag == "br":
             self.start("br", "")
@@ -201,6 +235,7 @@ class Page:
 
     def pop(self) -> None:
         tag, unseen, saved = self.open.pop()
+        self.places[tag].pop()
         if saved:
             self.leave(tag, saved)
         self.hidden -= unseen
@@ -231,9 +266,9 @@ class Page:
             if self.counters and self.counters[-1] is not None:
                 self.counters[-1] += 1
                 mark = f"{self.counters[-1]}. "
-            self.out.indent, self.out.marker = self.out.indent + " " * len(self.out.marker), mark
+            self.out.indent, self.out.marker = self.out.indent + len(self.out.marker), mark
         elif tag in ("blockquote", "dd"):
-            self.out.indent += "  "
+            self.out.indent += 2
         elif tag == "pre":
             self.pre += 1
         return saved
@@ -277,16 +312,21 @@ class Page:
 def render(html: str) -> str:
     """The visible text of a page."""
     page, at, n = Page(), 0, len(html)
-    lowered = None
+    last, lowered = html.rfind(">") + 1, None  # nothing after ``last`` can be a tag
     while at < n:
-        m = TOKEN.search(html, at)
+        m = TOKEN.search(html, at, last) if at < last else None
         if not m:
-            page.text(html[at:])
+            cut = html.find("<!--", at)
+            page.text(html[at : cut if cut >= 0 else n])
             break
         if m.start() > at:
             page.text(html[at : m.start()])
         at = m.end()
-        if m[2]:
+        if m[0] == "<!--":
+            at = html.find("-->", at - 2) + 3
+            if at == 2:
+                break
+        elif m[2]:
             tag = m[2].lower()
             if m[1]:
                 page.end(tag)
@@ -308,12 +348,11 @@ def render(html: str) -> str:
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
     """``pages`` with ``html_col`` replaced by ``text_col``, the visible text."""
-    others = [c for c in pages.columns if c != html_col]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in pages.select(*others).schema) + f"`{text_col}` string"
+    others = [c for c in pages.columns if c not in (html_col, text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([render(x.as_py() or "") for x in batch.column("_html")], pa.string())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], texts], names=[*others, text_col])
+            texts = pa.array([render(x.as_py() or "") for x in batch.column("html")], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), texts], names=["kept", "text"])
 
-    return pages.select(*others, F.col(html_col).alias("_html")).mapInArrow(run, schema)
+    return with_kept(pages, others, {"html": F.col(html_col)}, run, "text string", {"text": text_col})
