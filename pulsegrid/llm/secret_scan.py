@@ -10,18 +10,20 @@ Spark gives matched strings, not positions. A text split at a pattern gives what
 matches, so the running lengths of pieces and matches are the code-point positions.
 
 Cases: a null text is empty and has no spans; rows that repeat are scanned alike; without ordinary
-tokens nothing is added; ids are not read, extra columns are kept; an empty table gives an empty
-result.
+tokens nothing is added; a very long text is one string in one task; ids are not read, extra columns are kept whatever
+their names, but columns base and added are replaced by the results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carrying import packed, quoted, unpacked
+
 #: The base rules, in the order that breaks ties.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
@@ -37,12 +39,29 @@ CLASSES = len(ALPHABET) + 1  # any other character is class 0
 RANKS = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
 
 
-def spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
-    """All leftmost non-overlapping matches: array of (start, rank, end, kind, value)."""
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    between = F.split(text, pattern)
-    empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value:string>>)")
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
+PATTERNS = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "markov": (TOKEN, 0)}
+
+
+def matched(rows: DataFrame, text: str, kinds: Sequence[str]) -> DataFrame:
+    """``rows`` with a column of spans for each kind: all leftmost non-overlapping matches.
+
+    Each list of matches is a column of its own before it is used, so no pattern is searched twice; values and what
+    lies between the matches are only looked for in texts with a match.
+    """
+    found = rows.withColumns({f"whole_{k}": F.regexp_extract_all(text, F.lit(PATTERNS[k][0]), F.lit(0)) for k in kinds})
+    more = {}
+    for k in kinds:
+        pattern, group = PATTERNS[k]
+        some = F.size(f"whole_{k}") > 0
+        more[f"between_{k}"] = F.when(some, F.split(text, pattern))
+        more[f"value_{k}"] = F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else F.col(f"whole_{k}")
+    found = found.withColumns(more)
+    return found.withColumns({k: walked(k) for k in kinds}).drop(*[f"{c}_{k}" for c in ("whole", "between", "value") for k in kinds])
+
+
+def walked(kind: str) -> Column:
+    """The spans of one kind from its matches and what lies between them."""
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["between"])
@@ -50,15 +69,17 @@ def spans(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
         one = F.struct(start.alias("start"), F.lit(RANKS[kind]).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
 
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(whole)).alias("between"), whole.alias("whole"), value.alias("value"))
-    walked = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
-    return F.when(F.size(whole) > 0, walked).otherwise(empty)
+    whole, empty = F.col(f"whole_{kind}"), F.expr(f"cast(array() as {SPANS})")
+    zipped = F.arrays_zip(F.slice(f"between_{kind}", F.lit(1), F.size(whole)).alias("between"), whole.alias("whole"), F.col(f"value_{kind}").alias("value"))
+    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
+    return F.when(F.size(whole) > 0, found).otherwise(empty)
 
 
-def base_spans(text: Column) -> Column:
-    """The base rules' spans, in order of start and rule."""
-    assign = F.filter(spans(text, ASSIGN, "assign", 2), lambda s: F.length(s["value"]) >= ASSIGNED_CHARS)
-    return F.array_sort(F.concat(assign, spans(text, ACCESS, "access"), spans(text, HEX, "hex")))
+def with_base(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with base, the base rules' spans in order of start and rule."""
+    found = matched(rows, text, ("assign", "access", "hex"))
+    assign = F.filter("assign", lambda s: F.length(s["value"]) >= ASSIGNED_CHARS)
+    return found.withColumn("base", F.array_sort(F.concat(assign, "access", "hex"))).drop("assign", "access", "hex")
 
 
 def classes(token: Column) -> Column:
@@ -82,11 +103,11 @@ def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 20_000, drawn:
     known = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
     if n > max_docs:
         known = known.where(F.pmod(F.xxhash64("_text"), F.lit(1 << 30)) < int(max_docs / n * (1 << 30)))
-    found = base_spans(F.col("_text"))
+    known = with_base(known, "_text")
     rest = F.col("_text")
     for pattern in (ASSIGN, ACCESS, HEX):
         rest = F.regexp_replace(rest, pattern, " ")
-    sample = known.select(F.transform(found, lambda s: s["value"]).alias("random"), F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0)).alias("ordinary"))
+    sample = known.select(F.transform("base", lambda s: s["value"]).alias("random"), F.regexp_extract_all(rest, F.lit(IDENTIFIER), F.lit(0)).alias("ordinary"))
     tokens = sample.select(F.explode(F.create_map(F.lit("random"), "random", F.lit("ordinary"), "ordinary")).alias("label", "tokens")).select("label", F.explode("tokens").alias("token"))
     digest = F.base64(F.unhex(F.sha2(F.col("id").cast("string").cast("binary"), 256)))
     tokens = tokens.union(docs.sparkSession.range(drawn).select(F.lit("random"), F.substring(digest, 1, 43)))
@@ -108,19 +129,19 @@ def fit(docs: DataFrame, text_col: str = "text", max_docs: int = 20_000, drawn:
 
 def scan(docs: DataFrame, model: list[float] | None, text_col: str = "text", threshold: float = 1.0) -> DataFrame:
     """``docs`` with base (array of spans) and added (tokens over the threshold outside base spans)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("base", base_spans(text))
+    keep = [c for c in docs.columns if c not in ("base", "added")]
+    rows = docs.select(packed(docs, keep).alias("kept"), F.coalesce(F.col(quoted(text_col)), F.lit("")).alias("text"))
+    found = with_base(rows, "text")
     if model is None:
-        return found.withColumn("added", F.slice("base", 1, 0))
+        return found.select(*unpacked("kept", keep), "base", F.slice("base", 1, 0).alias("added"))
     ratios = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")
-    found = found.withColumn("_tokens", spans(text, TOKEN, "markov"))
 
     def random(s: Column) -> Column:
         total = F.aggregate(pairs(s["value"]), F.lit(0.0), lambda t, p: t + F.get(ratios, p))
         outside = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
         return outside & (total > threshold * (F.length(s["value"]) - 1))
 
-    return found.withColumn("added", F.filter("_tokens", random)).drop("_tokens")
+    return matched(found, "text", ("markov",)).select(*unpacked("kept", keep), "base", F.filter("markov", random).alias("added"))
 
 
 def of_kind(kind: str) -> Callable[[Column], Column]:
