@@ -9,15 +9,16 @@
    each member. A query set that shares a segment with a group is compared with the union first; only
    if that overlap can reach the threshold is the group opened and each member counted.
 4. Links that join a new pair of parts within a group are kept, and the components of all links found.
-5. A set asks the first of its groups, and after that only those that hold a member it is not yet
-   connected with.
+5. A set asks one of its groups first, and after that only those that hold a member it is not yet
+   connected with: a large family of near copies is one part by then and asks no more.
 
 No pair list of a group of copies is made: queries meet groups, not members, one after the other in
 a task's stream, and a group with very many queries is copied to several tasks.
 
 Cases: a text with fewer words than a shingle is one shingle; without words, or null, it has none and
 links with nothing; a null id gets a null component; rows that repeat an id are one document (each row
-with its own n_shingles); extra columns are not read unless named; an empty table gives an empty result.
+with its own n_shingles); a very long text takes some 60 bytes for each of its words; extra columns are not read; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
+from .bitmaps import bitmap
 from .components import components
+from .hot_keys import join_groups
 from .staging import stage
 from .textbytes import LOWER, Chunk, by_doc, chunks, grams, mix, span_hashes, words
 
@@ -132,10 +134,7 @@ def chosen_sets(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, r
 
     A bitmap of 2 ** MAP_BITS bits spares most other documents the work; the caller's join decides.
     """
-    bit = F.shiftrightunsigned(F.xxhash64("node"), 64 - MAP_BITS)
-    rows = nodes.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("mask")).toPandas()
-    packed = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    packed[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
+    packed = bitmap(nodes.select(F.shiftrightunsigned(F.xxhash64("node"), 64 - MAP_BITS).alias("bit")), MAP_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -264,31 +263,62 @@ def opened(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, groups
     return matched(places.join(sets, ["node", "k1", "k2"]), rule)
 
 
+def shared_signatures(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, signature, n) of all signatures that n > 1 nodes have.
+
+    Which signatures several sets have is combined before the shuffle, so a frequent one is a row from each task. A
+    bitmap of them spares nearly all others the way to their node; what it lets through besides is counted out.
+    """
+    own = rows.where("k1 is not null and _id is not null").select("_id", "k1", "k2", "signatures")
+    sets = own.select("k1", F.explode("signatures").alias("signature")).groupBy("signature").agg(F.min("k1").alias("a"), F.max("k1").alias("b"))
+    several = stage(sets.where("a < b").select("signature"), "several")
+    width = max(16, min(MAP_BITS, (16 * several.count()).bit_length()))
+    packed = bitmap(several.select(F.shiftrightunsigned(F.xxhash64("signature"), 64 - width).alias("bit")), width)
+    held = own.select("_id", "k1", "k2", "signatures", F.transform("signatures", lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - width)).alias("bits"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, bit = batch.column("signatures"), batch.column("bits").flatten().to_numpy()
+            keep = (packed[bit >> 6] >> (bit & 63)) & 1 == 1
+            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            upto = np.concatenate([[0], np.cumsum(keep)])[starts].astype(np.int32)
+            kept = pa.ListArray.from_arrays(pa.array(upto), lists.flatten().filter(pa.array(keep)))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_id", "k1", "k2")], kept], names=["_id", "k1", "k2", "signatures"])
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    thin = held.mapInArrow(run, f"_id {kind}, k1 bigint, k2 bigint, signatures array<bigint>").where(F.size("signatures") > 0)
+    first = nodes.select(F.col("node").alias("_id"), "k1", "k2")  # of equal sets the least id only
+    every = stage(thin.join(first, ["_id", "k1", "k2"]).select(F.col("_id").alias("node"), F.explode("signatures").alias("signature")).distinct(), "held")
+    counts = stage(every.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
+    return stage(join_groups(every, counts, ["signature"], F.col("n"), every.count()), "shared")
+
+
 def similar_parts(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes: DataFrame, rule: Rule, group_size: int, group_shingles: int, queries_per_task: int) -> DataFrame:
-    """(node, root) for every node with a link; rows: described(), nodes: node, k1, k2, n, need."""
-    own = nodes.select("node", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))
-    same = (F.col("_id") == F.col("node")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
-    by = W.partitionBy("signature")
-    every = rows.join(own, same, "left_semi").select(F.col("_id").alias("node"), F.explode("signatures").alias("signature"))
-    every = every.select("node", "signature", F.min("node").over(by).alias("_a"), F.max("node").over(by).alias("_b"), F.count(F.lit(1)).over(by).alias("_n"))
-    shared = stage(every.where("_a < _b").select("node", "signature", "_n"), "shared")
-    tops = shared.groupBy("node").agg(F.max(F.struct("_n", "signature")).alias("_top")).join(nodes.select("node", "n"), "node")
-    tops = tops.select("node", "n", F.col("_top.signature").alias("top")).dropDuplicates(["node"])
-    groups = stage(dealt(tops, group_size, group_shingles), "groups")
-    placed = stage(shared.select("node", "signature").join(groups, "node"), "placed")
-    blocks = stage(placed.groupBy("signature").agg(F.collect_set("gid").alias("others")), "blocks")
-    asked = placed.join(blocks, "signature").select("node", F.filter("others", lambda g: g < F.col("gid")).alias("others")).where(F.size("others") > 0)
-    asked = asked.groupBy("node").agg(F.sort_array(F.flatten(F.collect_list("others"))).alias("met"))
-    enough = F.array_distinct(F.filter("met", lambda g, i: F.get("met", i + F.col("need") - 1) == g))
-    asked = asked.join(nodes.groupBy("node").agg(F.min("need").alias("need")), "node").select("node", enough.alias("others"))
-    asked = stage(asked.where(F.size("others") > 0), "asked")
-    first = asked.select("node", F.element_at("others", 1).alias("gid"))
+    """(node, root) for every node with a link; rows: described(), nodes: node, k1, k2, n, need.
+
+    First a set asks one group: the first one of the signature groups it shares most with. Whatever links that finds makes
+    parts. A signature whose holders are all in one part has nothing more to say; from the others each set collects the groups with a holder in
+    another part, and asks those with which it shares as many signatures as similar sets must.
+    """
+    shared = shared_signatures(rows, nodes)
+    total = shared.count()
+    tops = shared.groupBy("node").agg(F.max(F.struct("n", "signature")).alias("top")).join(nodes.groupBy("node").agg(F.first("n").alias("n")), "node")
+    groups = stage(dealt(tops.select("node", "n", F.col("top.signature").alias("top")), group_size, group_shingles), "groups")
+    placed = stage(shared.join(groups, "node"), "placed")
+    firsts = stage(placed.groupBy("signature").agg(F.min("gid").alias("first"), F.max("gid").alias("last"), F.max("n").alias("size")).where("first < last"), "firsts")
+    met = join_groups(placed.select("node", "signature", "gid"), firsts.select("signature", "first", "size"), ["signature"], F.col("size"), total)
+    often = met.where("first < gid").groupBy("node", "first").agg(F.count(F.lit(1)).alias("shares"))
+    first = stage(often.groupBy("node").agg(F.max_by("first", F.struct("shares", "first")).alias("gid")), "first")
     parts = components(stage(opened(docs, id_col, text_col, nodes, groups, first, rule, queries_per_task), "links"))
     rooted = stage(groups.join(parts, "node", "left").select("node", "gid", F.coalesce("root", "node").alias("root")), "rooted")
-    spans = stage(rooted.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")), "spans")
-    later = asked.where(F.size("others") > 1).select("node", F.explode(F.slice("others", F.lit(2), F.size("others"))).alias("gid"))
-    later = later.join(rooted.select("node", "root"), "node").join(spans, "gid").where("low < root or high > root").select("node", "gid").distinct()
-    later = stage(later, "later")
+    held = stage(placed.select("node", "signature").join(rooted, "node"), "holders")
+    apart = held.groupBy("signature").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high")
+    live = stage(join_groups(held, stage(apart.select("signature", "size"), "apart"), ["signature"], F.col("size"), total), "live")
+    others = live.groupBy("signature", F.col("gid").alias("other")).agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    ask = live.join(others, "signature").where("other < gid and (low < root or high > root)").groupBy("node", "other").agg(F.count(F.lit(1)).alias("shares"))
+    needs = nodes.groupBy("node").agg(F.min("need").alias("need"))
+    later = ask.join(needs, "node").where("shares >= need").select("node", F.col("other").alias("gid"))
+    later = stage(later.join(first, ["node", "gid"], "left_anti"), "later")
     met = groups.join(later.select("gid").distinct(), "gid", "left_semi")
     more = opened(docs, id_col, text_col, nodes, met, later, rule, queries_per_task)
     joined = rooted.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
@@ -302,7 +332,7 @@ def jaccard_components(
     rule: Rule = Rule(),
     group_size: int = 256,
     group_shingles: int = 262_144,
-    queries_per_task: int = 2_048,
+    queries_per_task: int = 512,
 ) -> DataFrame:
     """One row per document: id, n_shingles and component_id, the least id it reaches by links."""
     rows = stage(described(docs, id_col, text_col, rule), "described")
