@@ -11,7 +11,8 @@ very large benchmark only fills it, and then more fingerprints reach the join.
 
 Cases: a null text has no words and no hits; an item without words matches nothing; repeated rows
 and items are each judged, an item id is counted once; an item without an id still marks words; null
-document ids are carried; an empty table of either kind is fine.
+document ids are carried, as are any ``keep`` columns but n_words, n_hit, item_ids and contaminated (ValueError); a very long
+text takes some 50 bytes for each of its words; an empty table of either kind is fine.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import bitmap
+from .carrying import packed, quoted, unpacked
 from .staging import stage
 from .textbytes import LOWER, Chunk, by_doc, chunks, grams, span_hashes, window_minima, words
 
@@ -32,8 +34,9 @@ WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
 MAP_BITS = 22
-FOUND = pa.list_(pa.struct([("length", pa.int32()), ("hash", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("near", pa.string())]))
-FOUND_SQL = "array<struct<length:int,hash:bigint,pos:int,before:int,near:string>>"
+FOUND = pa.list_(pa.struct([("length", pa.int32()), ("hash", pa.int64()), ("at", pa.list_(pa.int32())), ("before", pa.int32()), ("near", pa.string())]))
+FOUND_SQL = "array<struct<length:int,hash:bigint,at:array<int>,before:int,near:string>>"
+RESULT = ("n_words", "n_hit", "item_ids", "contaminated")
 
 
 class Words:
@@ -64,10 +67,18 @@ class Words:
         return at - first, b" ".join(self.data[self.starts[i] : self.ends[i]].tobytes() for i in range(first, last)).decode("utf-8", "replace")
 
     def rows(self, hashes: np.ndarray, at: np.ndarray, length: int, k: int) -> Iterator[tuple[int, dict]]:
-        for h, i in zip(hashes.view(np.int64).tolist(), at.tolist()):
-            doc = int(self.docs[i])
-            before, near = self.near(i, length, k)
-            yield doc, {"length": length, "hash": h, "pos": int(i - self.begin[doc]), "before": before, "near": near}
+        """(document, fingerprint) for each; one that is all of a short item's words is a row for all its places in a document."""
+        if length > k:
+            groups = [[i] for i in at.tolist()]
+        else:
+            order = np.lexsort((at, hashes, self.docs[at]))
+            hashes, at = hashes[order], at[order]
+            groups = np.split(at, np.flatnonzero((hashes[1:] != hashes[:-1]) | (self.docs[at][1:] != self.docs[at][:-1])) + 1) if len(at) else []
+            hashes = hashes[np.cumsum([0, *map(len, groups)])[:-1]]
+        for h, places in zip(hashes.view(np.int64).tolist(), groups):
+            doc = int(self.docs[places[0]])
+            before, near = self.near(int(places[0]), length, k)
+            yield doc, {"length": length, "hash": h, "at": [int(i - self.begin[doc]) for i in places], "before": before, "near": near}
 
 
 def item_fingerprints(items: DataFrame, id_col: str, text_col: str, window: int, k: int) -> DataFrame:
@@ -89,63 +100,64 @@ def item_fingerprints(items: DataFrame, id_col: str, text_col: str, window: int,
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, FOUND)], names=["_id", "found"])
 
     rows = items.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text")).mapInArrow(run, f"_id string, found {FOUND_SQL}")
-    return rows.select("_id", F.inline("found")).groupBy("length", "hash", "before", "near").agg(F.collect_set("_id").alias("ids"))
+    return rows.select("_id", F.inline("found")).drop("at").groupBy("length", "hash", "before", "near").agg(F.collect_set("_id").alias("ids"))
 
 
-def bitmap(fingerprints: DataFrame) -> np.ndarray:
-    """2 ** MAP_BITS bits, set where the top bits of some fingerprint point; at most 2 ** (MAP_BITS - 6) rows reach the driver."""
-    at = fingerprints.select(F.shiftrightunsigned("hash", 64 - MAP_BITS).alias("bit"))
-    rows = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("mask")).toPandas()
-    packed = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    packed[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64)
-    return packed
-
-
-def doc_fingerprints(docs: DataFrame, text_col: str, keep: Sequence[str], lengths: Sequence[int], packed: np.ndarray, window: int, k: int) -> DataFrame:
-    """A row for each document: ``keep``, n_words, and the fingerprints that the bitmap lets through."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) + f", n_words bigint, found {FOUND_SQL}"
-    text = "_text"
+def doc_fingerprints(docs: DataFrame, lengths: Sequence[int], packed_bits: np.ndarray, window: int, k: int) -> DataFrame:
+    """A row for each document: kept, row, n_words, and the fingerprints that the bitmap lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            sizes = []
-            for chunk in chunks(batch.column(text)):
+            sizes = [np.zeros(0, np.int64)]
+            for chunk in chunks(batch.column("text")):
                 w = Words(chunk)
                 sizes.append(np.diff(w.begin))
                 for n in lengths:
                     kk = k if n == window else n
                     hashes, at = w.fingerprints(n, kk)
-                    mine = bits[(hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)]
+                    bit = (hashes >> np.uint64(64 - MAP_BITS)).astype(np.int64)
+                    mine = (packed_bits[bit >> 6] >> (bit & 63)) & 1 == 1
                     for doc, row in w.rows(hashes[mine], at[mine], n, kk):
                         found[chunk.first + doc].append(row)
-            n_words = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(n_words, pa.int64()), pa.array(found, FOUND)], names=[*keep, "n_words", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), batch.column("row"), pa.array(np.concatenate(sizes), pa.int64()), pa.array(found, FOUND)], names=["kept", "row", "n_words", "found"])
 
-    return docs.select(*keep, F.col(text_col).alias(text)).mapInArrow(run, schema)
+    return docs.mapInArrow(run, f"kept {docs.schema['kept'].dataType.simpleString()}, row bigint, n_words bigint, found {FOUND_SQL}")
 
 
-def extended(batches: Iterator[pd.DataFrame], k: int, window: int) -> Iterator[pd.DataFrame]:
+def extended(batches: Iterator[pa.RecordBatch], k: int, window: int) -> Iterator[pa.RecordBatch]:
     """Hits whose surroundings agree in a run of enough words over the fingerprint: first and last word."""
     for batch in batches:
-        at, first, last = [], [], []
-        for i, (length, pos, b1, near1, b2, near2) in enumerate(zip(batch["length"], batch["pos"], batch["before"], batch["near"], batch["item_before"], batch["item_near"])):
+        source, first, last = [], [], []
+        for i, (length, at, b1, near1, b2, near2) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("length", "at", "before", "near", "item_before", "item_near")])):
             x, y = near1.split(" "), near2.split(" ")
             width = k if length == window else length
             if x[b1 : b1 + width] != y[b2 : b2 + width]:
                 continue
             left = right = 0
-            while left < min(b1, b2) and x[b1 - left - 1] == y[b2 - left - 1]:
-                left += 1
-            end1, end2 = b1 + width, b2 + width
-            while right < min(len(x) - end1, len(y) - end2) and x[end1 + right] == y[end2 + right]:
-                right += 1
+            if length == window:  # a short item is all of its fingerprint
+                while left < min(b1, b2) and x[b1 - left - 1] == y[b2 - left - 1]:
+                    left += 1
+                end1, end2 = b1 + width, b2 + width
+                while right < min(len(x) - end1, len(y) - end2) and x[end1 + right] == y[end2 + right]:
+                    right += 1
             if left + width + right >= length:
-                at.append(i)
-                first.append(pos - left)
-                last.append(pos + width + right - 1)
-        yield pd.DataFrame({"_row": batch["_row"].iloc[at].to_numpy(), "first": first, "last": last, "ids": batch["ids"].iloc[at].to_numpy()})
+                source += [i] * len(at)
+                first += [p - left for p in at]
+                last += [p + width + right - 1 for p in at]
+        take = pa.array(source, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(take), pa.array(first, pa.int32()), pa.array(last, pa.int32()), batch.column("ids").take(take)], names=["row", "first", "last", "ids"])
+
+
+def covered(spans: Column) -> Column:
+    """How many words lie in at least one of the spans (structs of first and last)."""
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end"))
+
+    def step(state: Column, x: Column) -> Column:
+        new = F.greatest(F.lit(0), x["last"] - F.greatest(x["first"] - 1, state["end"]))
+        return F.struct((state["n"] + new).alias("n"), F.greatest(state["end"], x["last"]).alias("end"))
+
+    return F.aggregate(F.array_sort(spans), start, step, lambda s: s["n"])
 
 
 def decontaminate(
@@ -163,18 +175,17 @@ def decontaminate(
     A word is hit if it lies in an occurrence of an item's window: ``window`` consecutive words of the
     item, or all of a shorter one. A document is contaminated if a twentieth of its words or more is hit.
     """
+    if clash := {*keep} & {*RESULT}:
+        raise ValueError(f"kept columns named as result columns: {sorted(clash)}")
     tests = stage(item_fingerprints(items, item_id, item_text, window, k), "test_fingerprints")
     lengths = sorted(r[0] for r in tests.select("length").distinct().collect())  # at most ``window``
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    rows = stage(doc_fingerprints(numbered, text_col, ["_row", *keep], lengths, bitmap(tests), window, k), "fingerprints")
-    candidates = rows.where(F.size("found") > 0).select("_row", F.inline("found"))
+    numbered = docs.select(packed(docs, keep).alias("kept"), F.monotonically_increasing_id().alias("row"), F.col(quoted(text_col)).alias("text"))
+    rows = stage(doc_fingerprints(numbered, lengths, bitmap(tests.select(F.shiftrightunsigned("hash", 64 - MAP_BITS).alias("bit")), MAP_BITS), window, k), "fingerprints")
+    candidates = rows.where(F.size("found") > 0).select("row", F.inline("found"))
     pairs = candidates.join(tests.withColumnsRenamed({"before": "item_before", "near": "item_near"}), ["length", "hash"])
-    hits = pairs.select("_row", "length", "pos", "before", "near", "item_before", "item_near", "ids").mapInPandas(lambda batches: extended(batches, k, window), "_row bigint, first int, last int, ids array<string>")
-    by_row = hits.groupBy("_row").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence("first", "last"))))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("item_ids"),
-    )
-    found = rows.drop("found").join(by_row, "_row", "left")
+    hits = pairs.select("row", "length", "at", "before", "near", "item_before", "item_near", "ids").mapInArrow(lambda batches: extended(batches, k, window), "row bigint, first int, last int, ids array<string>")
+    by_row = hits.groupBy("row").agg(covered(F.collect_set(F.struct("first", "last"))).alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("ids")))).alias("item_ids"))
+    found = rows.drop("found").join(by_row, "row", "left")
     n_hit: Column = F.coalesce("n_hit", F.lit(0).cast("long"))
     none = F.expr("cast(array() as array<string>)")
-    return found.select(*keep, "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    return found.select(*unpacked("kept", keep), "n_words", n_hit.alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))

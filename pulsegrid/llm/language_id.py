@@ -8,7 +8,8 @@ strongest languages of the full mixture downwards.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; without labelled rows every
 document is ``und``; ties go to the language first in alphabetical order; repeated rows are scored
-alike; extra columns are carried; an empty table gives an empty result.
+alike; a very long text is counted block by block; extra columns are carried whatever their names, but columns named
+as a result are replaced by it; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .carrying import quoted, with_kept
 from .textbytes import chunks
 
 UNKNOWN = "und"
@@ -149,26 +151,24 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
 
     ``text_col`` itself is not returned; carry the columns that are wanted besides it.
     """
-    others = [c for c in docs.columns if c != text_col]
+    others = [c for c in docs.columns if c not in (text_col, "lang_pred", "score", "langs")]
     names = np.array([*model.languages, UNKNOWN], object)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema) + (", " if others else "") + "lang_pred string, score double, langs map<string,double>"
     kind = pa.map_(pa.string(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column("text")
             pred, score, sets = [], [], []
             for chunk in chunks(texts):
                 n_docs = chunk.last - chunk.first
                 share = model.identify(*bucket_counts(chunk.data, chunk.offsets, model.probs.shape[0]), n_docs) if model.languages else np.zeros((n_docs, 0))
                 # a text of under three bytes has no trigram: its languages are as likely as before
                 blank = share.sum(axis=1) == 0 if model.languages else np.ones(n_docs, bool)
-                ascii_letter = np.zeros(len(chunk.data) + 1, np.int64)
-                np.cumsum(FOLDED[chunk.data] & 127 != 32, out=ascii_letter[1:])
-                sure = np.add.reduceat((FOLDED[chunk.data] > 96) & (chunk.data < 128), np.minimum(chunk.offsets[:-1], max(0, len(chunk.data) - 1))) if len(chunk.data) else np.zeros(n_docs, np.int64)
-                sure[np.diff(chunk.offsets) == 0] = 0
-                for i in range(n_docs):
-                    if not sure[i] and not has_letter(texts[chunk.first + i].as_py() or ""):
+                letters = np.zeros(len(chunk.data) + 1, np.int32)
+                np.cumsum((FOLDED[chunk.data] > 96) & (chunk.data < 128), out=letters[1:])
+                sure = letters[chunk.offsets[1:]] > letters[chunk.offsets[:-1]]
+                for i in np.flatnonzero(blank | ~sure):
+                    if not sure[i] and not has_letter(texts[chunk.first + int(i)].as_py() or ""):
                         share[i] = 0
                         blank[i] = True
                     elif blank[i] and model.languages:
@@ -178,9 +178,9 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
                 pred += names[top].tolist()
                 score += np.where(blank, 0.0, share.max(axis=1) if model.languages else 0.0).tolist()
                 sets += [[(model.languages[j], float(row[j])) for j in np.flatnonzero(row > 0)] for row in share]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)], names=[*others, "lang_pred", "score", "langs"])
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, kind)], names=["kept", "lang_pred", "score", "langs"])
 
-    return docs.select(*others, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return with_kept(docs, others, {"text": F.col(quoted(text_col))}, run, "lang_pred string, score double, langs map<string,double>")
 
 
 def held_out(id_col: Column) -> Column:

@@ -4,9 +4,9 @@ The global histogram of lengths decides the bucket boundaries by dynamic program
 than ``max_len`` tokens are cut into pieces of ``max_len`` and a rest, so the histogram has at most
 ``max_len`` rows and no token is lost.
 
-Cases: null and empty texts have one piece of 0 tokens, in no bucket (bucket -1, no batch); ties in
-the order have the same length and are interchangeable; an empty table gives an empty result; null
-ids and extra columns are carried, not read.
+Cases: null and empty texts have one piece of 0 tokens, in no bucket (bucket -1, no batch), and are not shuffled; ties in
+the order have the same length and are interchangeable; a text longer than ``max_len`` is cut into pieces; an empty
+table gives an empty result; null ids are carried; extra columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -70,17 +70,20 @@ def pack(
     rows = docs.select(F.col(id_col), F.monotonically_increasing_id().alias("_row"), tokens.cast("long").alias("_all"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1)).alias("piece"))
     start = F.col("piece") * max_len
-    rows = stage(rows.select(id_col, "_row", "piece", start.alias("start"), F.least(F.lit(max_len), F.col("_all") - start).alias("n_tokens")), "pieces")
+    every = stage(rows.select(id_col, "_row", "piece", start.alias("start"), F.least(F.lit(max_len), F.col("_all") - start).alias("n_tokens")), "pieces")
+    empty = every.where("n_tokens = 0").select(id_col, "piece", "start", "n_tokens", F.lit(-1).alias("bucket"), *[F.lit(None).cast("long").alias(c) for c in ("bucket_len", "batch_id", "slot")])
+    rows = every.where("n_tokens > 0")
     hist = rows.where("n_tokens > 0").groupBy("n_tokens").count().orderBy("n_tokens").toPandas()  # at most max_len rows
     bounds = optimal_buckets(hist["n_tokens"].to_numpy(), hist["count"].to_numpy(), buckets) if len(hist) else [max_len]
     inside = F.array(*[F.lit(b).cast("long") for b in bounds])
-    bucket = F.when(F.col("n_tokens") > 0, F.size(F.filter(inside, lambda b: b < F.col("n_tokens")))).otherwise(-1)
+    bucket = F.size(F.filter(inside, lambda b: b < F.col("n_tokens")))
     shards = max(1, -(-int(hist["count"].sum()) // rows_per_shard))
     placed = rows.withColumn("bucket", bucket).withColumn("_shard", F.pmod(F.xxhash64("_row", "piece"), F.lit(shards)))
-    placed = placed.withColumn("bucket_len", F.when(F.col("bucket") >= 0, F.get(inside, F.col("bucket"))))
+    placed = placed.withColumn("bucket_len", F.get(inside, F.col("bucket")))
     before = W.partitionBy("bucket").orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)
     offsets = placed.groupBy("bucket", "_shard").count().select("bucket", "_shard", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
     at = F.row_number().over(W.partitionBy("bucket", "_shard").orderBy("_row", "piece")) - 1 + F.col("_offset")
     per_batch = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(token_budget) / F.col("bucket_len")))
     found = placed.join(offsets, ["bucket", "_shard"]).withColumn("_at", at)
-    return found.select(id_col, "piece", "start", "n_tokens", "bucket", "bucket_len", F.floor(F.col("_at") / per_batch).alias("batch_id"), (F.col("_at") % per_batch).alias("slot"))
+    found = found.select(id_col, "piece", "start", "n_tokens", "bucket", "bucket_len", F.floor(F.col("_at") / per_batch).alias("batch_id"), (F.col("_at") % per_batch).cast("long").alias("slot"))
+    return found.unionByName(empty)

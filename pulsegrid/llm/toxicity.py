@@ -11,7 +11,8 @@ For scoring, embedding row and softmax weight are multiplied once, so each n-gra
 whole texts are scored by running sums over bytes.
 
 Cases: a null or empty text has no n-grams and gets the score of the bias alone; without labels of
-both kinds every score is 0; repeated rows get equal scores; extra columns are carried; an empty
+both kinds every score is 0; repeated rows get equal scores; a very long text takes some 60 bytes for each of its own
+while it is scored; extra columns are carried whatever their names, but a column score is replaced; an empty
 table gives an empty result.
 """
 
@@ -25,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .carrying import quoted, with_kept
 from .language_id import FOLDED
+from .staging import stage
 from .textbytes import chunks
 
 SIZES = (3, 4, 5)
@@ -197,34 +200,37 @@ def sampled(labels: DataFrame, id_col: str, label_col: str, max_rows: int, max_t
     return known.where(F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < share * (1 << 30)), shares
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 9_000, max_toxic: int = 2_500) -> ToxicityModel | None:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 9_000, max_toxic: int = 2_500, max_bytes: int = 1 << 26) -> ToxicityModel | None:
     """Train on the whole texts of a bounded sample of labelled rows.
 
     The sampled labels, about ``max_rows`` ids at most, are broadcast, so the texts of ``docs`` don't
-    move; the sample's texts are the only ones that reach the driver.
+    move; the sample's texts are the only ones that reach the driver. If they have more than ``max_bytes``, or
+    repeated ids make them more than ``max_rows``, an even part of them is taken; texts of a sixteenth of ``max_bytes`` are not learned from.
     """
     chosen = sampled(labels, id_col, label_col, max_rows, max_toxic)
     if chosen is None:
         return None
     chosen, shares = chosen
-    sample = docs.join(F.broadcast(chosen), id_col).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"), "label")
-    sample = sample.orderBy(F.xxhash64("text")).toArrow()
-    found = sample.column("label").to_numpy()
-    return train(sample.column("text").combine_chunks(), found, shares=shares) if len(set(found)) == 2 else None
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sample = docs.join(F.broadcast(chosen), id_col).select(text.alias("text"), "label", F.octet_length(text).alias("bytes"), F.rand(1).alias("at")).where(F.col("bytes") < max_bytes // 16)
+    sample = stage(sample, "labelled")
+    rows, size = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    part = min(1.0, 1.1 * max_rows / max(1, rows), max_bytes / max(1, size))
+    taken = sample.where(F.col("at") < part).select("text", "label").orderBy(F.xxhash64("text")).toArrow()
+    found = taken.column("label").to_numpy()
+    return train(taken.column("text").combine_chunks(), found, shares=shares) if len(set(found)) == 2 else None
 
 
 def score(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
     """``docs`` without ``text_col``, with score (0 to 1)."""
-    others = [c for c in docs.columns if c != text_col]
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*others).schema) + "score double"
+    others = [c for c in docs.columns if c not in (text_col, "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text")
-            parts = [model.scores(c.data, c.offsets) if model else np.zeros(c.last - c.first) for c in chunks(texts)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in others], pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())], names=[*others, "score"])
+            parts = [model.scores(c.data, c.offsets) if model else np.zeros(c.last - c.first) for c in chunks(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(np.concatenate([*parts, np.zeros(0)]), pa.float64())], names=["kept", "score"])
 
-    return docs.select(*others, F.col(text_col).alias("_text")).mapInArrow(run, schema)
+    return with_kept(docs, others, {"text": F.col(quoted(text_col))}, run, "score double")
 
 
 def score_corpus(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:

@@ -60,8 +60,8 @@ def test_exact_dedup(docs, texts, empty):
     groups = defaultdict(list)
     for i, t in [*texts.items(), (14, texts[14]), (-1, texts[12]), (-2, None)]:
         groups[(t or "").translate(AZ)].append(i)
-    for words in (200_000, 0):  # broadcast and shuffled filter
-        rows = exact_dedup.exact_dedup(docs, broadcast_words=words).collect()
+    for words in (500_000, 3):  # one range of the filter, and many
+        rows = exact_dedup.exact_dedup(docs, range_words=words).collect()
         assert len(rows) == docs.count()
         for r in rows:
             if r["doc_id"] is not None:
