@@ -2,6 +2,7 @@
 
 import datetime
 import math
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 import duckdb
@@ -39,11 +40,31 @@ def plain(value):
     return value
 
 
+@pytest.fixture(scope="module")
+def rows(spark):
+    """Columns and rows of every query, several at once; an error is kept for the query's own test."""
+
+    def run(name):
+        try:
+            df = QUERIES[name](spark, SF)
+            columns = sorted(df.columns)
+            return columns, [tuple(plain(r[c]) for c in columns) for r in df.collect()]
+        except Exception as error:
+            return error
+
+    with ThreadPoolExecutor(4) as pool:
+        return dict(zip(QUERIES, pool.map(run, QUERIES)))
+
+
+def found(rows, name):
+    if isinstance(rows[name], Exception):
+        raise rows[name]
+    return rows[name]
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_matches_sql(spark, duck, name):
-    df = QUERIES[name](spark, SF)
-    columns = sorted(df.columns)
-    got = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
+def test_matches_sql(rows, duck, name):
+    columns, got = found(rows, name)
     cursor = duck.execute(ORACLES[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
@@ -52,5 +73,5 @@ def test_matches_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_runs(rows, name):
+    assert found(rows, name)[1]
