@@ -7,6 +7,8 @@ given before the write are fixed after it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+_tracked: list[list[str]] = []  # the paths that each open ``tracking`` has seen written
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -31,10 +36,31 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid4().hex}"
     df.write.parquet(path)
+    for paths in _tracked:
+        paths.append(path)
     spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tracking() -> Iterator[list[str]]:
+    """The paths of all tables staged within the block, to be deleted once what reads them is written."""
+    paths: list[str] = []
+    _tracked.append(paths)
+    try:
+        yield paths
+    finally:
+        _tracked.remove(paths)
+
+
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables; ones that are gone are no error."""
+    jvm = spark._jvm
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession, *needed: DataFrame) -> None:
     """Delete the staged tables of this application, but for those that ``needed`` reads.
 
