@@ -59,19 +59,3 @@ def drop(spark: SparkSession, paths: list[str]) -> None:
     for name in paths:
         path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release(spark: SparkSession, *needed: DataFrame) -> None:
-    """Delete the staged tables of this application, but for those that ``needed`` reads.
-
-    Other results that are not written yet can't be read after.
-    """
-    jvm, sc = spark._jvm, spark.sparkContext
-    base = f"{shared_dir(spark)}/{sc.applicationId}"
-    kept = {found[1] for df in needed for f in df.inputFiles() if (found := re.search(rf"/{re.escape(sc.applicationId)}/([^/]+)/", f))}
-    top = jvm.org.apache.hadoop.fs.Path(base)
-    files = top.getFileSystem(sc._jsc.hadoopConfiguration())
-    if files.exists(top):
-        for found in files.listStatus(top):
-            if found.getPath().getName() not in kept:
-                files.delete(found.getPath(), True)
