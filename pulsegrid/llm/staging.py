@@ -50,7 +50,7 @@ def tracking() -> Iterator[list[str]]:
     try:
         yield paths
     finally:
-        _tracked.remove(paths)
+        _tracked[:] = [other for other in _tracked if other is not paths]
 
 
 def drop(spark: SparkSession, paths: list[str]) -> None:
