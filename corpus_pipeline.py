@@ -53,10 +53,16 @@ def tidy(function: Stage) -> Stage:
 
 @tidy
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or without a language that makes up half of them, go."""
+    """Language ID: documents without a letter, or without a language that makes up half of them, go.
+
+    Nothing is said of texts of under three bytes, which have no trigram, and of any text if no row has a language; those stay.
+    """
     model = language_id.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
-    found = language_id.identify(docs.select("doc_id", "text", digest().alias("digest")), model)
-    return without(docs, stage(found.where((F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < 0.5)).select("doc_id", "digest"), "rejected"))
+    if not model.languages:
+        return docs.select(COLUMNS)
+    found = language_id.identify(docs.select("doc_id", "text", digest().alias("digest"), F.octet_length("text").alias("bytes")), model)
+    rejected = (F.col("lang_pred") == language_id.UNKNOWN) | (F.col("score") < 0.5) & (F.col("bytes") > 2)
+    return without(docs, stage(found.where(rejected).select("doc_id", "digest"), "rejected"))
 
 
 @tidy
