@@ -1,13 +1,14 @@
 """Rules that have fixed cases, and ordered folds against plain versions."""
 
 import random
+import zlib
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import content, text
-from pulsegrid.operators import joins, sequences, stats
+from pulsegrid.operators import extensions, joins, sequences, stats
 from pulsegrid.sources import tail
 from pulsegrid.streaming import sinks, states
 
@@ -207,3 +208,36 @@ def test_back_fill_goes_on(spark, tmp_path):
     found = sinks.resumed(spark, items, "day", build, path, rounds=2, at_once=2)
     assert found.count() == 5 and {r.n for r in found.collect()} == {3}
     assert calls[0] == ["2026-01-01", "2026-01-02"] and ["2026-01-01", "2026-01-02"] not in calls[1:]
+
+
+def test_entry_points_name_queries():
+    from pulsegrid import entrypoints
+    from pulsegrid.plans import MODULES
+
+    assert {n for names in entrypoints.READS.values() for n in names} <= {n for m in MODULES for n in m.QUERIES}
+
+
+def test_plugged_in_transforms(spark):
+    df = spark.createDataFrame([("A", 5, -1, 7), ("b", 3_000_000_000, 600_000_000, None), ("c", 1, 1, 1)], "kind string, total long, delta long, before long")
+    found = extensions.guarded(df, totals=["total"], deltas=["delta"], previous={"total": "before"}).orderBy("kind").collect()
+    assert [(r.total, r.delta) for r in found] == [(5, 0), (0, 0), (1, 1)]
+    routed = extensions.routed(df, "kind", {"a": lambda d: d.select("kind", F.lit(1).alias("x")), "B": lambda d: d.select("kind", F.lit(2).alias("x"))})
+    assert sorted((r.kind, r.x) for r in routed.collect()) == [("A", 1), ("b", 2)]
+
+
+def test_mock_judges(spark):
+    assert [extensions.text_code(t) for t in ("", "a", "hello", "polygenelubricants")] == [0, 97, 99162322, -(1 << 31)]
+    prompts = [f"prompt {i}" for i in range(60)]
+
+    def plain(prompt, model):
+        seed = zlib.crc32(f"{prompt}|{model}".encode())
+        salt = abs(extensions.text_code(model)) % 3
+        caps = [max(1, min(5, 1 + (seed >> s) % 5 + salt - 1)) for s in (11, 17, 23, 29, 31)]
+        return (1 + seed % 5, ["completed"] * 3 + ["partial", "abandoned"], (seed >> 3) % 5, (["leverage"] * 4 + ["debugging"] * 2 + ["learning", "exploratory", "dependent", "dependent"])[(seed >> 7) % 10], caps)
+
+    df = spark.createDataFrame([(p,) for p in prompts], "prompt string")
+    for r in extensions.two_verdicts(df, "prompt", ("m1", "m2")).collect():
+        (d1, names, o1, m1, c1), (d2, _, o2, m2, c2) = (plain(r.prompt, m) for m in ("m1", "m2"))
+        assert r.difficulty == (d1 + d2 + 1) // 2 and (r.outcome, r.mode) == ((names[o2], m2) if d2 > d1 else (names[o1], m1))
+        assert [r.cap_problem, r.cap_context, r.cap_debug, r.cap_tool, r.cap_self] == [(a + b + 1) // 2 for a, b in zip(c1, c2)]
+        assert r.disagreement == (abs(d1 - d2) > 1 or names[o1] != names[o2] or m1 != m2)
