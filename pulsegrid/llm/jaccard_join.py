@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from .bitmaps import bitmap
 from .components import components
@@ -264,33 +265,13 @@ def opened(docs: DataFrame, id_col: str, text_col: str, nodes: DataFrame, groups
 
 
 def shared_signatures(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, signature, n) of all signatures that n > 1 nodes have.
-
-    Which signatures several sets have is combined before the shuffle, so a frequent one is a row from each task. A
-    bitmap of them spares nearly all others the way to their node; what it lets through besides is counted out.
-    """
-    own = rows.where("k1 is not null and _id is not null").select("_id", "k1", "k2", "signatures")
-    sets = own.select("k1", F.explode("signatures").alias("signature")).groupBy("signature").agg(F.min("k1").alias("a"), F.max("k1").alias("b"))
-    several = stage(sets.where("a < b").select("signature"), "several")
-    width = max(16, min(MAP_BITS, (16 * several.count()).bit_length()))
-    packed = bitmap(several.select(F.shiftrightunsigned(F.xxhash64("signature"), 64 - width).alias("bit")), width)
-    held = own.select("_id", "k1", "k2", "signatures", F.transform("signatures", lambda x: F.shiftrightunsigned(F.xxhash64(x), 64 - width)).alias("bits"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists, bit = batch.column("signatures"), batch.column("bits").flatten().to_numpy()
-            keep = (packed[bit >> 6] >> (bit & 63)) & 1 == 1
-            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            upto = np.concatenate([[0], np.cumsum(keep)])[starts].astype(np.int32)
-            kept = pa.ListArray.from_arrays(pa.array(upto), lists.flatten().filter(pa.array(keep)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("_id", "k1", "k2")], kept], names=["_id", "k1", "k2", "signatures"])
-
-    kind = rows.schema["_id"].dataType.simpleString()
-    thin = held.mapInArrow(run, f"_id {kind}, k1 bigint, k2 bigint, signatures array<bigint>").where(F.size("signatures") > 0)
-    first = nodes.select(F.col("node").alias("_id"), "k1", "k2")  # of equal sets the least id only
-    every = stage(thin.join(first, ["_id", "k1", "k2"]).select(F.col("_id").alias("node"), F.explode("signatures").alias("signature")).distinct(), "held")
-    counts = stage(every.groupBy("signature").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
-    return stage(join_groups(every, counts, ["signature"], F.col("n"), every.count()), "shared")
+    """(node, signature, n) of all signatures that n > 1 nodes have."""
+    own = nodes.select("node", F.col("k1").alias("_k1"), F.col("k2").alias("_k2"))  # of equal sets the least id only
+    same = (F.col("_id") == F.col("node")) & (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))
+    by = W.partitionBy("signature")
+    every = rows.join(own, same, "left_semi").select(F.col("_id").alias("node"), F.explode("signatures").alias("signature"))
+    every = every.select("node", "signature", F.min("node").over(by).alias("_a"), F.max("node").over(by).alias("_b"), F.count(F.lit(1)).over(by).alias("n"))
+    return stage(every.where("_a < _b").select("node", "signature", "n"), "shared")
 
 
 def similar_parts(docs: DataFrame, id_col: str, text_col: str, rows: DataFrame, nodes: DataFrame, rule: Rule, group_size: int, group_shingles: int, queries_per_task: int) -> DataFrame:
