@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import text
@@ -223,7 +223,7 @@ def st_14(t: Lake) -> DataFrame:
     """Penetration over 1, 7 and 30 days before a moment: by attribution, else by the older rule; and how far both are apart."""
     now = F.lit(NOW).cast("timestamp_ntz")
 
-    def percents(rows: DataFrame, ai: F.Column, name: str) -> DataFrame:
+    def percents(rows: DataFrame, ai: Column, name: str) -> DataFrame:
         found = []
         for days in (1, 7, 30):
             inside = (F.col("commit_time") >= now - F.make_dt_interval(days=F.lit(days))) & (F.col("commit_time") < now)

@@ -27,11 +27,11 @@ def prj_1(t: Lake) -> DataFrame:
     return t.event.select("user_code", day, "id", "session_id", "event_time", "event_type", "status").withColumn("place", F.row_number().over(W.partitionBy("user_code", "day").orderBy("event_time", "id")).cast("long")).drop("id")
 
 
-@query("prj_2", "SELECT user_code, CAST(message_time AS DATE) AS day, session_id, lower(trim(role)) AS role, message_time, row_number() OVER (PARTITION BY user_code, CAST(message_time AS DATE) ORDER BY session_id, seq, id) AS place FROM message")
+@query("prj_2", "SELECT user_code, CAST(message_time AS DATE) AS day, session_id, lower(trim(role)) AS role, message_time, row_number() OVER (PARTITION BY user_code, CAST(message_time AS DATE) ORDER BY session_id, seq, id, message_time) AS place FROM message")
 def prj_2(t: Lake) -> DataFrame:
     """Messages of each user's days by session and sequence."""
     rows = t.message.select("user_code", F.to_date("message_time").alias("day"), "id", "session_id", "seq", filters.role().alias("role"), "message_time")
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("user_code", "day").orderBy("session_id", "seq", "id")).cast("long")).drop("id", "seq")
+    return rows.withColumn("place", F.row_number().over(W.partitionBy("user_code", "day").orderBy("session_id", "seq", "id", "message_time")).cast("long")).drop("id", "seq")
 
 
 @query("prj_3", "SELECT user_code, CAST(last_activity AS DATE) AS day, id, model, input_tokens, output_tokens FROM session WHERE invalid_reason IS NULL")
