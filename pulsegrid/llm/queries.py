@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, jaccard_join, language_id, line_dedup, packing, secret_scan, substring_dedup, toxicity
+from . import centroids, decontaminate, exact_dedup, html_text, jaccard_join, language_id, line_dedup, packing, secret_scan, substring_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "langs")
 
 
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings")).rows
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -75,10 +79,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_html_text": op9_html_text,
     "op10_language_id": op10_language_id,
+    "op13_centroids": op13_centroids,
 }
 
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def lloyd_sql(rounds: int = 10, k: int = 8, dims: int = 64) -> str:
+    """All rounds of op13 written out, one pair of common table expressions each."""
+    squares = f"list_sum([(v.q[i] - c.q[i]) * (v.q[i] - c.q[i]) for i in range(1, {dims} + 1)])"
+    steps = []
+    for i in range(rounds + 1):
+        nearest = f"SELECT v.row, c.cluster, {squares} AS far FROM v CROSS JOIN c{i} c QUALIFY row_number() OVER (PARTITION BY v.row ORDER BY far, c.cluster) = 1"
+        steps.append(f"a{i} AS MATERIALIZED ({nearest})")
+        floor = "((s - ((s % n) + n) % n) // n)"
+        moved = f"""SELECT cluster, list({floor} ORDER BY pos) AS q FROM (
+            SELECT a.cluster, pos, CAST(count(*) AS HUGEINT) AS n, CAST(sum(v.q[pos]) AS HUGEINT) AS s FROM a{i} a JOIN v USING (row), range(1, {dims} + 1) r(pos) GROUP BY ALL) GROUP BY cluster"""
+        steps.append(f"m{i} AS MATERIALIZED ({moved}), c{i + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN m{i} m USING (cluster))")
+    usable = f"len(embedding) = {dims} AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0"
+    return f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS q FROM embeddings WHERE {usable}),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || vec_id)) - 1 AS cluster, q FROM v ORDER BY sha256('3:' || vec_id) LIMIT {k}),
+        {", ".join(steps)}
+        SELECT v.vec_id, CAST(a.cluster AS INTEGER) AS cluster, CAST(a.far AS BIGINT) AS distance, CAST(sum(a.far) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia,
+               CAST(sum(a.far) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+        FROM a{rounds} a JOIN v USING (row) JOIN c{rounds} c USING (cluster)"""
+
+
 ORACLES: dict[str, str] = {
     "op3_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
@@ -94,4 +122,5 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, text_sha256
         FROM n WINDOW g AS (PARTITION BY text_sha256)""",
+    "op13_centroids": lloyd_sql(),
 }
