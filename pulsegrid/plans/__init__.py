@@ -1,5 +1,5 @@
 """Queries: operators bound to tables, with DuckDB equivalents."""
 
-from . import aggregates, analysis, behaviour, relational, scoring, slices, streams
+from . import aggregates, analysis, behaviour, live_streams, relational, scoring, slices, streams
 
-MODULES = (aggregates, relational, slices, behaviour, scoring, analysis, streams)
+MODULES = (aggregates, relational, slices, behaviour, scoring, analysis, streams, live_streams)

@@ -11,6 +11,7 @@ from pulsegrid.streaming import sinks, states
 
 from .aggregates import END, START
 from .bindings import Lake
+from .recursions import ALERTS, due_sql, throttled_sql
 from .registry import Registry
 from .relational import NOW, half_open
 
@@ -182,13 +183,13 @@ def str_15(t: Lake) -> DataFrame:
     return states.batched(t.message.withColumn("bytes", F.octet_length("content_text")), "user_code", "id", "bytes", 200, 4_000).select("id", "user_code", "batch")
 
 
-@query("str_10")
+@query("str_10", f"{due_sql('activity', 'user_code', 'signal_time')} SELECT user_code, due, last - place + 1 AS marks FROM builds")
 def str_10(t: Lake) -> DataFrame:
     """When each user's summary is built, if signals put it off for 15 seconds, 60 at most."""
     return states.debounced(t.activity, "user_code", "signal_time")
 
 
-@query("str_20")
+@query("str_20", throttled_sql(ALERTS, "alert", "signal_time", 600))
 def str_20(t: Lake) -> DataFrame:
     """Alerts by user and kind, one in ten minutes; each says how many were held back before it."""
     alerts = t.activity.withColumn("alert", F.concat_ws("|", "user_code", "event_type"))

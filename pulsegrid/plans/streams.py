@@ -10,6 +10,7 @@ from pulsegrid.shared import own_folder, stage
 from pulsegrid.streaming import sinks, states
 
 from .bindings import Lake
+from .recursions import CLAIMED, throttled_sql
 from .registry import Registry
 
 query = Registry()
@@ -122,14 +123,14 @@ def str_16(t: Lake) -> DataFrame:
     return states.changed_only(snapshots(t.source("events"))).select("seq")
 
 
-@query("str_17")
+@query("str_17", CLAIMED)
 def str_17(t: Lake) -> DataFrame:
     """Requests that are no replays, and were sent within five minutes of their arrival."""
     requests = t.work.select("id", "agent_id", "start_time", "end_time", (F.col("id") % 3).alias("nonce"))
     return states.first_claims(requests, ["agent_id", "nonce"], "start_time", "id", "end_time").select("id")
 
 
-@query("str_18")
+@query("str_18", throttled_sql("activity", "user_code", "signal_time", 3600))
 def str_18(t: Lake) -> DataFrame:
     return states.throttled(t.activity, "user_code", "signal_time", 3600)
 
