@@ -37,15 +37,29 @@ def placed(commits: DataFrame, sessions: DataFrame, events: DataFrame, tools: di
     found = candidates(based(commits, rules), sessions, window).withColumn("s_tool", kind)
     same_repo = F.coalesce(F.col("repo") == F.col("s_repo"), F.lit(False))
     found = found.where(F.when(F.col("trailer_kind").isNotNull(), F.col("rule_tool").isNull() | (F.col("s_tool") == F.col("rule_tool"))).otherwise(same_repo)).withColumn("same_repo", same_repo)
-    keys = ["id", "s_id", "commit_time", "s_start", "s_end", "s_model", "s_project", "s_tool", "same_repo"]
-    marks = events.select(F.col("session_id").alias("e_session"), F.col("event_time").alias("e_time"))
-    near = found.select(*keys).join(marks, (F.col("s_id") == F.col("e_session")) & (F.col("e_time") <= F.col("commit_time")) & (F.col("e_time") >= F.col("commit_time") - minutes(window)), "left")
-    last = near.groupBy(*keys).agg(F.max("e_time").alias("last_signal"), F.count("e_time").alias("signals"))
+    last = with_signals(found.select("id", "s_id", "commit_time", "s_start", "s_end", "s_model", "s_project", "s_tool", "same_repo"), events, window)
     fallback = F.when(F.col("s_start") <= F.col("commit_time"), F.least("s_end", "commit_time"))
     overlap = F.floor((F.least(micros(F.col("s_end")), micros(F.col("commit_time") + minutes(window))) - F.greatest(micros(F.col("s_start")), micros(F.col("commit_time") - minutes(window)))) / 1_000_000)
     return last.withColumns({"signal": F.coalesce("last_signal", fallback), "overlap": F.greatest(F.lit(0), overlap)})
 
 
+def with_signals(pairs: DataFrame, events: DataFrame, window: int) -> DataFrame:
+    """Pairs of commit and session (id, s_id, commit_time, ...) with last_signal and signals, the session's events in the window before the commit.
+
+    Each pair puts two marks among the session's events, where its window begins and ends; what is between them is told by
+    running counts. So a session is sorted once and has as many rows as events and marks, however many commits meet how many events.
+    """
+    begin = micros(F.col("commit_time")) - window * 60_000_000
+    pair = F.struct(*pairs.columns)
+    marks = pairs.select("s_id", F.inline(F.array(*[F.struct(at.alias("at"), F.lit(kind).alias("kind"), pair.alias("pair")) for at, kind in ((begin, 0), (micros(F.col("commit_time")), 2))])))
+    rows = events.select(F.col("session_id").alias("s_id"), micros(F.col("event_time")).alias("at"), F.lit(1).alias("kind"), F.col("event_time").alias("e_time"))
+    every = marks.unionByName(rows, allowMissingColumns=True)
+    upto = W.partitionBy("s_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
+    told = every.withColumns({"n": F.count("e_time").over(upto), "last": F.last("e_time", True).over(upto)}).where("kind <> 1")
+    found = told.groupBy("pair").agg((F.max("n") - F.min("n")).alias("signals"), F.max(F.when(F.col("kind") == 2, F.col("last"))).alias("last"))
+    return found.select("pair.*", "signals", F.when(F.col("signals") > 0, F.col("last")).alias("last_signal"))
+
+
 def signals(commits: DataFrame, sessions: DataFrame, events: DataFrame, tools: dict[str, str] | None = None) -> DataFrame:
     """WIN-10: how many signals of a session count for a commit, and the last of them."""
     return placed(commits, sessions, events, tools).select("id", F.col("s_id").alias("session_id"), "signals", "last_signal")

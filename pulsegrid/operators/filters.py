@@ -81,9 +81,20 @@ def local_command(column: str = "content_text") -> Column:
     return F.coalesce(reduce(lambda a, b: a | b, [F.col(column).startswith(p) for p in COMMAND_ECHOES]), F.lit(False))
 
 
-def needs_audit(grown_by: int = 5) -> Column:
-    """FLT-16, over sessions left-joined with their audit (_a: its session): none yet, without a count, flagged, or grown since."""
-    return (F.col("total_messages") > 0) & (F.col("_a").isNull() | F.col("message_count").isNull() | F.col("disagreement") | (F.col("total_messages") - F.col("message_count") > grown_by))
+def needs_audit(now: str, grown_by: int = 5) -> Column:
+    """FLT-16, over sessions left-joined with their audit state and audit (_a: its session): never or not yet audited,
+    given up or overdue, to be audited again, or audited but grown since or without a result."""
+    state = F.coalesce("state", F.lit("NONE"))
+    overdue = state.isin("RUNNING", "FAILED") & (F.col("lease_until").isNull() | (F.col("lease_until") < F.lit(now).cast("timestamp_ntz")))
+    grown = F.coalesce(F.col("total_messages") > F.col("message_count") + grown_by, F.lit(False))
+    due = state.isin("NONE", "PENDING") | overdue | F.coalesce("reaudit", F.lit(False)) | (state == "DONE") & (F.col("_a").isNull() | grown)
+    return (F.col("total_messages") > 0) & due
+
+
+def stably_audited(grown_by: int = 5) -> Column:
+    """Audited, with a result, not to be audited again, and not grown since; over the same join."""
+    same = F.coalesce(F.col("total_messages") <= F.col("message_count") + grown_by, F.lit(False))
+    return (F.col("total_messages") > 0) & F.coalesce(F.col("state") == "DONE", F.lit(False)) & ~F.coalesce("reaudit", F.lit(False)) & F.col("_a").isNotNull() & same
 
 
 def email_due(now: str, threshold_hours: int = 1, gap_hours: int = 2, work_start: int = 9, work_end: int = 18) -> Column:

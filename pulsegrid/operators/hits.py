@@ -31,13 +31,30 @@ def first_seen(messages: DataFrame) -> DataFrame:
     return hits.groupBy("session_id").agg(F.array_join(F.transform(listed, lambda h: F.concat_ws("|", h["token"], h["kind"])), ",").alias("tokens"))
 
 
+PARTS = "array<struct<type:string,tool_name:string>>"
+
+
+def part_calls(messages: DataFrame, calls: DataFrame) -> DataFrame:
+    """AGG-C8: MCP calls that only the parts of messages tell of: work_date, user_code, session_id, tool_name.
+
+    They count for sessions without any MCP event on that day; parts that are no JSON have none.
+    """
+    day = F.to_date("event_time").alias("work_date")
+    told = calls.where(text.mcp_server(F.col("tool_name")).isNotNull()).select("session_id", day).distinct()
+    cheap = messages.where(F.lower("content_parts_json").contains("mcp__"))
+    named = cheap.select(F.to_date("message_time").alias("work_date"), "user_code", "session_id", F.explode(F.from_json("content_parts_json", PARTS)).alias("_part"))
+    named = named.where("_part.type = 'tool_call'").select("work_date", "user_code", "session_id", F.col("_part.tool_name").alias("tool_name"))
+    return named.where(text.mcp_server(F.col("tool_name")).isNotNull()).join(told, ["session_id", "work_date"], "left_anti").select("work_date", "user_code", "session_id", "tool_name")
+
+
 def capability_daily(messages: DataFrame, calls: DataFrame) -> DataFrame:
     """AGG-C7, MAT-2: per day and user, roll-up rows (sub_item '') and detail rows of skills, plugins and MCP servers.
 
     ``calls``: user_code, session_id, tool_name, event_time. A skill counts as itself; ``ns:skill`` also
-    counts for the plugin ns, as roll-up and as detail. ``mcp__server__tool`` counts for server and tool.
-    Either table is read once; all rows that a hit or a call counts for are made where it is.
+    counts for the plugin ns, as roll-up and as detail. ``mcp__server__tool`` counts for server and tool; what
+    message parts tell of calls counts where no event does. All rows that a hit or a call counts for are made where it is.
     """
+
     def entries(*rows: tuple) -> Column:
         return F.inline(F.array(*[F.struct(*[c.alias(n) for c, n in zip(row, ("kind", "item", "sub_item"))]) for row in rows]))
 
@@ -46,7 +63,8 @@ def capability_daily(messages: DataFrame, calls: DataFrame) -> DataFrame:
     space, plugin = text.namespace(F.col("skill")), F.lit("plugin")
     used = used.select("work_date", "user_code", "session_id", entries((F.col("kind"), F.col("skill"), none), (plugin, space, none), (plugin, space, F.get(F.split("skill", ":"), 1))))
     mcp, server = F.lit("mcp"), text.mcp_server(F.col("tool_name"))
-    called = calls.where(F.lower("tool_name").startswith("mcp__")).select(F.to_date("event_time").alias("work_date"), "user_code", "session_id", entries((mcp, server, none), (mcp, server, text.mcp_tool(F.col("tool_name")))))
+    events = calls.where(F.lower("tool_name").startswith("mcp__")).select(F.to_date("event_time").alias("work_date"), "user_code", "session_id", "tool_name")
+    called = events.unionByName(part_calls(messages, calls)).select("work_date", "user_code", "session_id", entries((mcp, server, none), (mcp, server, text.mcp_tool(F.col("tool_name")))))
     rows = used.unionByName(called).where("item is not null")
     return rows.groupBy("work_date", "user_code", "kind", "item", "sub_item").agg(F.count(F.lit(1)).alias("invoke_count"), F.count_distinct("session_id").alias("session_count"))
 

@@ -9,10 +9,12 @@ from pulsegrid.functions import text
 from pulsegrid.operators import attribution, filters, hits, joins, report, shapes, stats
 
 from .aggregates import END, START
-from .behaviour import CAPABILITY
+from .behaviour import CAPABILITY, capabilities
 from .bindings import Lake
+from .materialised import built
 from .registry import Registry
-from .relational import NORM, half_open
+from .relational import AUDITED, NORM, audited, half_open
+from .relational import NOW as TODAY
 
 query = Registry()
 TOOLS = {"urgent": "claude", "high": "cursor", "medium": "codex"}
@@ -55,8 +57,13 @@ REPORT = f"""own AS (SELECT * FROM session WHERE invalid_reason IS NULL AND ({ha
 
 
 def analysis(t: Lake) -> DataFrame:
-    active = t.work.groupBy("user_code").agg(F.sum("active_seconds").alias("active_seconds"))
-    return report.scored(report.user_metrics(t.session, t.audit, t.commits, active, START, END))
+    """MAT-4, built once for the window."""
+
+    def build() -> DataFrame:
+        active = t.work.groupBy("user_code").agg(F.sum("active_seconds").alias("active_seconds"))
+        return report.scored(report.user_metrics(t.session, t.audit, t.commits, active, START, END))
+
+    return built(t, f"report {START[:10]} {END[:10]}".replace(" ", "_"), ("orders", "events"), build)
 
 
 ROUNDED = ("raw", "final", "percentile", "active_hours")
@@ -86,8 +93,7 @@ def st_6(t: Lake) -> DataFrame:
 
 @query("st_8", f"WITH {REPORT} SELECT user_code, commits_per_hour, lines_per_1k, revert_rate, high_commit_ratio FROM report")
 def st_8(t: Lake) -> DataFrame:
-    active = t.work.groupBy("user_code").agg(F.sum("active_seconds").alias("active_seconds"))
-    return report.user_metrics(t.session, t.audit, t.commits, active, START, END).select("user_code", "commits_per_hour", "lines_per_1k", "revert_rate", "high_commit_ratio")
+    return analysis(t).select("user_code", "commits_per_hour", "lines_per_1k", "revert_rate", "high_commit_ratio")
 
 
 @query("jn_20", f"WITH {REPORT} SELECT e.user_code, grade, confidence FROM employee e LEFT JOIN report r ON r.user_code = e.user_code")
@@ -129,7 +135,8 @@ ATTRIBUTION = f"""c AS (SELECT *, {NORM.format('repo_url')} AS repo, {CASES[0]}
 
 
 def attributed(t: Lake) -> DataFrame:
-    return attribution.attribute(t.commits, t.session, t.event, TOOLS)
+    """MAT-3, built once."""
+    return built(t, "attribution", ("orders", "lineitem"), lambda: attribution.attribute(t.commits, t.session, t.event, TOOLS), "commit_time")
 
 
 @query("win_9", f"WITH {ATTRIBUTION} SELECT id, tier, trailer_kind, tool, session_id, project_name, model, overlap_seconds FROM attribution")
@@ -250,13 +257,10 @@ def fn_g10(t: Lake) -> DataFrame:
 # ---- audits and capabilities
 
 
-@query("agg_s9", """WITH x AS (SELECT s.id, a.session_id AS audited, s.total_messages > 0 AND (a.session_id IS NULL OR a.message_count IS NULL OR a.disagreement OR s.total_messages - a.message_count > 5) AS due FROM session s LEFT JOIN audit a ON a.session_id = s.id WHERE s.invalid_reason IS NULL)
-    SELECT count(*) FILTER (due) AS pending, count(*) FILTER (audited IS NOT NULL AND NOT due) AS stable, count(*) AS valid, greatest(0, count(*) - count(*) FILTER (audited IS NOT NULL AND NOT due)) AS unaudited FROM x""")
+@query("agg_s9", f"WITH {AUDITED} SELECT count(*) FILTER (due) AS pending, count(*) FILTER (stable) AS stable, count(*) AS valid, greatest(0, count(*) - count(*) FILTER (stable)) AS unaudited FROM audited")
 def agg_s9(t: Lake) -> DataFrame:
-    """Valid sessions that are due for an audit (FLT-16), audited and not due, and all."""
-    rows = filters.valid(t.session).join(t.audit.withColumnRenamed("session_id", "_a"), F.col("_a") == F.col("id"), "left")
-    due = F.coalesce(filters.needs_audit(), F.lit(False))
-    found = rows.agg(F.count_if(due).alias("pending"), F.count_if(F.col("_a").isNotNull() & ~due).alias("stable"), F.count(F.lit(1)).alias("valid"))
+    """Valid sessions with messages that are due for an audit (FLT-16), audited and still as they were, and all."""
+    found = audited(t).agg(F.count_if(filters.needs_audit(TODAY)).alias("pending"), F.count_if(filters.stably_audited()).alias("stable"), F.count_if(F.col("total_messages") > 0).alias("valid"))
     return found.withColumn("unaudited", F.greatest(F.lit(0), F.col("valid") - F.col("stable")))
 
 
@@ -270,13 +274,13 @@ def ranking_sql(kinds: str) -> str:
 @query("fn_g8", ranking_sql("'skill', 'nl_skill'"))
 def fn_g8(t: Lake) -> DataFrame:
     """The ranking of skills, explicit and natural-language uses merged."""
-    return hits.capability_ranking(hits.capability_daily(t.message, t.event), ["skill", "nl_skill"])
+    return hits.capability_ranking(capabilities(t), ["skill", "nl_skill"])
 
 
 @query("fn_g8_mcp", ranking_sql("'mcp'"))
 def fn_g8_mcp(t: Lake) -> DataFrame:
     """The ranking of servers with their tools."""
-    return hits.capability_ranking(hits.capability_daily(t.message, t.event), ["mcp"])
+    return hits.capability_ranking(capabilities(t), ["mcp"])
 
 
 QUERIES, ORACLES = query.queries, query.oracles

@@ -11,6 +11,7 @@ from pulsegrid.functions import text
 from pulsegrid.operators import filters, hits, sequences
 
 from .bindings import Lake
+from .materialised import built
 from .registry import Registry
 
 query = Registry()
@@ -127,9 +128,12 @@ HITS = """hit AS (SELECT id, user_code, session_id, CAST(message_time AS DATE) A
       SELECT *, unnest(CAST(slash_hits_json AS JSON[])) AS h FROM message WHERE contains(slash_hits_json, '{')) WHERE trim(h->>'token') <> '')"""
 ITEM = "nullif(lower(regexp_replace(regexp_replace(token, '^[/$]+', ''), '^skills/', '')), '')"
 MCP = "regexp_extract(lower(trim(tool_name)), '^mcp__([^_\\s]\\S*?|_[^_\\s]\\S*?)__(\\S+)$', {})"
-CAPABILITY = f"""{HITS}, used AS (SELECT work_date, user_code, session_id, kind, {ITEM} AS item FROM hit WHERE kind IN ('skill', 'nl_skill')),
+TOLD = f"""part AS (SELECT CAST(message_time AS DATE) AS work_date, user_code, session_id, p->>'tool_name' AS tool_name FROM (SELECT *, unnest(CAST(content_parts_json AS JSON[])) AS p FROM message WHERE json_valid(content_parts_json)) WHERE p->>'type' = 'tool_call'),
+    told AS (SELECT * FROM part x WHERE {MCP.format(1)} <> '' AND NOT EXISTS (SELECT 1 FROM event e WHERE e.session_id = x.session_id AND CAST(e.event_time AS DATE) = x.work_date AND {MCP.format(1).replace("tool_name", "e.tool_name")} <> ''))"""
+CAPABILITY = f"""{HITS}, {TOLD}, used AS (SELECT work_date, user_code, session_id, kind, {ITEM} AS item FROM hit WHERE kind IN ('skill', 'nl_skill')),
     parts AS (SELECT work_date, user_code, session_id, 'plugin' AS kind, split_part(item, ':', 1) AS item, split_part(item, ':', 2) AS sub FROM used WHERE contains(item, ':')
-      UNION ALL SELECT CAST(event_time AS DATE), user_code, session_id, 'mcp', {MCP.format(1)}, {MCP.format(2)} FROM event WHERE starts_with(lower(tool_name), 'mcp__') AND {MCP.format(1)} <> ''),
+      UNION ALL SELECT CAST(event_time AS DATE), user_code, session_id, 'mcp', {MCP.format(1)}, {MCP.format(2)} FROM event WHERE starts_with(lower(tool_name), 'mcp__') AND {MCP.format(1)} <> ''
+      UNION ALL SELECT work_date, user_code, session_id, 'mcp', {MCP.format(1)}, {MCP.format(2)} FROM told),
     capability AS (SELECT work_date, user_code, kind, item, sub_item, count(*) AS invoke_count, count(DISTINCT session_id) AS session_count FROM (
       SELECT work_date, user_code, session_id, kind, item, '' AS sub_item FROM used WHERE item IS NOT NULL UNION ALL SELECT work_date, user_code, session_id, kind, item, '' FROM parts UNION ALL SELECT work_date, user_code, session_id, kind, item, sub FROM parts) GROUP BY ALL)"""
 
@@ -149,17 +153,21 @@ def agg_m11(t: Lake) -> DataFrame:
     return hits.first_seen(t.message)
 
 
+def capabilities(t: Lake) -> DataFrame:
+    """MAT-2, built once."""
+    return built(t, "capability_daily", ("lineitem",), lambda: hits.capability_daily(t.message, t.event), "work_date")
+
+
 @query("agg_c7", f"WITH {CAPABILITY} SELECT * FROM capability")
 def agg_c7(t: Lake) -> DataFrame:
-    return hits.capability_daily(t.message, t.event)
+    return capabilities(t)
 
 
-@query("agg_c8", "SELECT user_code, session_id, count(*) AS calls FROM message m WHERE role = 'tool' AND NOT EXISTS (SELECT 1 FROM event e WHERE e.session_id = m.session_id AND starts_with(lower(e.tool_name), 'mcp__') AND CAST(e.event_time AS DATE) = CAST(m.message_time AS DATE)) GROUP BY 1, 2")
+@query("agg_c8", f"WITH {TOLD} SELECT work_date, user_code, session_id, {MCP.format(1)} AS server, {MCP.format(2)} AS tool, count(*) AS calls FROM told GROUP BY ALL")
 def agg_c8(t: Lake) -> DataFrame:
     """Content parts count only for session days without an MCP event."""
-    day = F.to_date("event_time")
-    seen = t.event.where(F.lower("tool_name").startswith("mcp__")).select("session_id", day.alias("day"))
-    return t.message.where("role = 'tool'").withColumn("day", F.to_date("message_time")).join(seen, ["session_id", "day"], "left_anti").groupBy("user_code", "session_id").agg(F.count(F.lit(1)).alias("calls"))
+    names = [text.mcp_server(F.col("tool_name")).alias("server"), text.mcp_tool(F.col("tool_name")).alias("tool")]
+    return hits.part_calls(t.message, t.event).groupBy("work_date", "user_code", "session_id", *names).agg(F.count(F.lit(1)).alias("calls"))
 
 
 CAPABILITY_ROLLUPS = {
@@ -173,7 +181,7 @@ CAPABILITY_ROLLUPS = {
 
 
 def capability_rollup(keys: list[str], where: str, measures: dict[str, str]):
-    return lambda t: hits.capability_daily(t.message, t.event).where(where).groupBy(*keys).agg(*[F.expr(f"cast({e} as bigint)").alias(k) for k, e in measures.items()])
+    return lambda t: capabilities(t).where(where).groupBy(*keys).agg(*[F.expr(f"cast({e} as bigint)").alias(k) for k, e in measures.items()])
 
 
 for name, (keys, where, measures) in CAPABILITY_ROLLUPS.items():
@@ -187,22 +195,28 @@ TOKENS = """tok AS (SELECT user_code, CAST(last_activity AS DATE) AS day, CAST(l
 DAILY = f"""{GAPS}, {ACTIVE}, {UNION}, {THINKING}, {RESPONSE}, {RETRIES},
     resp AS (SELECT user_code, day, CAST(sum(first_response_ms) AS BIGINT) // count(*) AS first_response_ms FROM response WHERE first_response_ms > 0 AND first_response_ms < 1800000 GROUP BY ALL),
     ret AS (SELECT user_code, day, CAST(sum(retries) AS BIGINT) AS retries FROM retry GROUP BY ALL),
-    base AS (SELECT user_code, CAST(signal_time AS DATE) AS day, count(DISTINCT session_id) AS sessions, count(*) FILTER (status = 'tool') AS tool_calls, CAST(sum(CASE WHEN tokens BETWEEN 0 AND 2000000000 THEN tokens ELSE 0 END) AS BIGINT) AS tokens FROM activity GROUP BY 1, 2),
-    daily AS (SELECT user_code, day AS work_date, sessions, tool_calls, least(tokens, 5000000000) AS tokens, coalesce(active_seconds, 0) AS active_seconds, coalesce(union_seconds, 0) AS union_seconds, coalesce(thinking_seconds, 0) AS thinking_seconds,
-      coalesce(first_response_ms, 0) AS first_response_ms, coalesce(retries, 0) AS retries FROM base LEFT JOIN active USING (user_code, day) LEFT JOIN united USING (user_code, day) LEFT JOIN thinking USING (user_code, day) LEFT JOIN resp USING (user_code, day) LEFT JOIN ret USING (user_code, day))"""
+    base AS (SELECT user_code, CAST(signal_time AS DATE) AS day, count(DISTINCT session_id) AS sessions, count(*) FILTER (status = 'tool') AS tool_calls, count(*) FILTER (lower(trim(role)) = 'user') AS user_messages, count(*) FILTER (lower(trim(role)) = 'assistant') AS assistant_messages, CAST(sum(CASE WHEN tokens BETWEEN 0 AND 2000000000 THEN tokens ELSE 0 END) AS BIGINT) AS tokens FROM activity GROUP BY 1, 2),
+    own_model AS (SELECT user_code, CAST(signal_time AS DATE) AS day, model, sum(CASE WHEN tokens BETWEEN 0 AND 2000000000 THEN tokens ELSE 0 END) AS t FROM activity GROUP BY 1, 2, 3),
+    top AS (SELECT user_code, day, string_agg(model, ',' ORDER BY t DESC, model) AS top_models FROM (SELECT *, row_number() OVER (PARTITION BY user_code, day ORDER BY t DESC, model) AS n FROM own_model WHERE t > 0 AND model IS NOT NULL) WHERE n <= 3 GROUP BY 1, 2),
+    daily AS (SELECT user_code, day AS work_date, sessions, tool_calls, user_messages, assistant_messages, top_models, least(tokens, 5000000000) AS tokens, coalesce(active_seconds, 0) AS active_seconds, coalesce(union_seconds, 0) AS union_seconds, coalesce(thinking_seconds, 0) AS thinking_seconds,
+      coalesce(first_response_ms, 0) AS first_response_ms, coalesce(retries, 0) AS retries FROM base LEFT JOIN active USING (user_code, day) LEFT JOIN united USING (user_code, day) LEFT JOIN thinking USING (user_code, day) LEFT JOIN resp USING (user_code, day) LEFT JOIN ret USING (user_code, day) LEFT JOIN top USING (user_code, day))"""
 
 
 def daily_summary(signals: DataFrame) -> DataFrame:
     """MAT-1: one row per user and day.
 
-    Signals are dealt out by user once for each metric, which serves all its windows and groups; the metrics are
-    then rows of one union, which meet in one aggregation instead of a chain of joins.
+    Signals are dealt out by user and day once for each metric, which serves all its windows and groups, none of which
+    leaves its day; the metrics are then rows of one union, which meet in one aggregation instead of a chain of joins.
     """
     by = ["user_code", "day"]
-    own = signals.repartition("user_code")
+    days = signals.withColumn("day", F.to_date("signal_time")).repartition(*by)
+    own = days.drop("day")
     sane = F.expr("case when tokens between 0 and 2000000000 then tokens else 0 end")
-    days = own.withColumn("day", F.to_date("signal_time"))
-    base = days.groupBy(by).agg(F.count_distinct("session_id").alias("sessions"), F.count_if(F.col("status") == "tool").alias("tool_calls"), F.least(F.sum(sane), F.lit(5_000_000_000)).alias("tokens"))
+    says = lambda who: F.count_if(filters.role() == who)
+    models = days.where("model is not null").groupBy(*by, "model").agg(F.sum(sane).alias("t")).where("t > 0")
+    best = sequences.top_values(models, by, "model", "t")  # the first three
+    top = best.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "model"))), lambda m: m["model"]), ",").alias("top_models"))
+    base = days.groupBy(by).agg(F.count_distinct("session_id").alias("sessions"), F.count_if(F.col("status") == "tool").alias("tool_calls"), says("user").alias("user_messages"), says("assistant").alias("assistant_messages"), F.least(F.sum(sane), F.lit(5_000_000_000)).alias("tokens"))
     answered = sequences.first_response(own, BY).where("first_response_ms > 0 and first_response_ms < 1800000")
     parts = [
         base,
@@ -212,25 +226,30 @@ def daily_summary(signals: DataFrame) -> DataFrame:
         sequences.retries(own, BY).groupBy(by).agg(F.sum("retries").alias("retries")),
     ]
     names = [c for part in parts for c in part.columns if c not in by]
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    return rows.groupBy(by).agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).withColumnRenamed("day", "work_date")
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*parts, top])
+    sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]
+    return rows.groupBy(by).agg(*sums, F.max("top_models").alias("top_models")).withColumnRenamed("day", "work_date")
+
+
+def summary(t: Lake) -> DataFrame:
+    """MAT-1, built once."""
+    return built(t, "daily_summary", ("events",), lambda: daily_summary(t.activity), "work_date")
 
 
 @query("mat_1", f"WITH {DAILY} SELECT * FROM daily")
 def mat_1(t: Lake) -> DataFrame:
-    return daily_summary(t.activity)
+    return summary(t)
 
 
 SUMMARY_ROLLUPS = {
     "agg_d2": (["user_code"], {"union_seconds": "sum(union_seconds)"}),
     "agg_d3": (["user_code"], {"retries": "sum(retries)", "tool_calls": "sum(tool_calls)"}),
     "agg_d5": (["work_date"], {"tokens": "sum(tokens)"}),
-    "agg_d6": (["user_code"], {"sessions": "sum(sessions)", "active_per_day": "sum(active_seconds) {div} 30", "first_response_ms": "sum(first_response_ms) {div} nullif(sum(case when first_response_ms > 0 then 1 else 0 end), 0)"}),
 }
 
 
 def summary_rollup(keys: list[str], measures: dict[str, str]):
-    return lambda t: daily_summary(t.activity).where("work_date between date '2024-01-01' and date '2024-01-30'").groupBy(*keys).agg(*[F.expr(f"cast({e.format(div='div')} as bigint)").alias(k) for k, e in measures.items()])
+    return lambda t: summary(t).where("work_date between date '2024-01-01' and date '2024-01-30'").groupBy(*keys).agg(*[F.expr(f"cast({e.format(div='div')} as bigint)").alias(k) for k, e in measures.items()])
 
 
 for name, (keys, measures) in SUMMARY_ROLLUPS.items():
@@ -238,6 +257,26 @@ for name, (keys, measures) in SUMMARY_ROLLUPS.items():
     query(name, f"WITH {DAILY} SELECT {columns} FROM daily WHERE work_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-30' GROUP BY {', '.join(keys)}")(summary_rollup(keys, measures))
 
 
+WINDOW = ("2024-01-01", "2024-01-30", "2024-01-20")  # first and last day of a window, and the day on which it is looked at
+
+
+@query("agg_d6", f"""WITH {DAILY}, w AS (SELECT *, split_part(top_models, ',', 1) AS top FROM daily WHERE work_date BETWEEN DATE '{WINDOW[0]}' AND least(DATE '{WINDOW[1]}', DATE '{WINDOW[2]}')),
+    m AS (SELECT user_code, top, sum(tokens) AS t FROM w WHERE top <> '' GROUP BY 1, 2), best AS (SELECT user_code, top AS top_model FROM m QUALIFY row_number() OVER (PARTITION BY user_code ORDER BY t DESC, top) = 1),
+    s AS (SELECT user_code, count(*) AS days_with_data, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(active_seconds) AS BIGINT) // (date_diff('day', DATE '{WINDOW[0]}', least(DATE '{WINDOW[1]}', DATE '{WINDOW[2]}')) + 1) AS active_per_day,
+      CAST(sum(first_response_ms) AS BIGINT) // nullif(count(*) FILTER (first_response_ms > 0), 0) AS first_response_ms FROM w GROUP BY 1)
+    SELECT s.*, top_model FROM s LEFT JOIN best USING (user_code)""")
+def agg_d6(t: Lake) -> DataFrame:
+    """People over a window as far as it has passed: means over its days, answers over days with any, and the model that led the days with most tokens."""
+    first, last = F.lit(WINDOW[0]).cast("date"), F.least(F.lit(WINDOW[1]).cast("date"), F.lit(WINDOW[2]).cast("date"))
+    rows = summary(t).where(F.col("work_date").between(first, last)).withColumn("top", F.get(F.split("top_models", ","), F.lit(0)))
+    models = rows.where("top is not null").groupBy("user_code", "top").agg(F.sum("tokens").alias("t"))
+    best = models.groupBy("user_code").agg(F.min(F.struct((-F.col("t")).alias("t"), "top"))["top"].alias("top_model"))
+    answered = F.nullif(F.count_if(F.col("first_response_ms") > 0), F.lit(0))
+    days = F.date_diff(last, first) + 1
+    found = rows.groupBy("user_code").agg(F.count(F.lit(1)).alias("days_with_data"), F.sum("sessions").alias("sessions"), F.floor(F.sum("active_seconds") / days).alias("active_per_day"), F.floor(F.sum("first_response_ms") / answered).alias("first_response_ms"))
+    return found.join(best, "user_code", "left")
+
+
 @query("agg_d1", """SELECT count(*) FILTER (status = 'ACTIVE') AS active, count(*) FILTER (status = 'ACTIVE' AND last_seen > TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 300 SECOND) AS online,
     greatest(0, count(*) FILTER (status = 'ACTIVE') - count(*) FILTER (status = 'ACTIVE' AND last_seen > TIMESTAMP '2024-01-31 12:00:00' - INTERVAL 300 SECOND)) AS offline FROM device""")
 def agg_d1(t: Lake) -> DataFrame:

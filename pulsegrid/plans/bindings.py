@@ -70,6 +70,8 @@ def message(d: type) -> str:
     hits = """CASE l_partkey % 6 WHEN 0 THEN '[{"token":"/plan","kind":"command"},{"token":"/superpowers:brainstorming","kind":"skill"}]'
                    WHEN 1 THEN '[{"token":"/skills/review","kind":"nl_skill"}]' WHEN 2 THEN '[{"token":"/usage","kind":"noise"}]'
                    WHEN 3 THEN '[]' WHEN 4 THEN '[{"token":"$deploy","kind":"skill"}]' END"""
+    parts = """CASE WHEN l_linenumber % 4 <> 2 THEN NULL WHEN l_partkey % 4 = 0 THEN '[{"type":"text","text":"mcp__x__y"},{"type":"tool_call","tool_name":"mcp__Srv' || (l_suppkey % 5) || '__part_' || (l_partkey % 3) || '"},{"type":"tool_call","tool_name":"Bash"}]'
+                   WHEN l_partkey % 4 = 1 THEN '[{"type":"tool_call","tool_name":"mcp__Srv1__part_0"},{"type":"tool_call","tool_name":"MCP__srv1__Part_0"}]' WHEN l_partkey % 4 = 2 THEN '[{"type":"tool_call"' END"""
     return f"""
         SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS session_id, 'u' || (l_orderkey % 150) AS user_code, l_linenumber AS seq,
                CASE l_linenumber % 4 WHEN 1 THEN ' User' WHEN 2 THEN 'assistant' WHEN 3 THEN 'tool' ELSE 'USER' END AS role,
@@ -77,7 +79,8 @@ def message(d: type) -> str:
                cast(l_suppkey % 40 AS bigint) AS input_tokens, cast(l_partkey % 30 AS bigint) AS output_tokens,
                CASE WHEN l_linenumber % 4 IN (0, 1) THEN l_partkey % 3 END AS slash_command_count, CASE WHEN l_linenumber % 4 IN (0, 1) THEN l_partkey % 2 END AS slash_skill_count,
                CASE WHEN l_linenumber % 4 IN (0, 1) THEN {hits} END AS slash_hits_json,
-               CASE WHEN l_partkey % 10 = 0 THEN 'cat skills/foo/SKILL.md' ELSE 'work on ' || l_partkey END AS content_text, CASE WHEN l_partkey % 7 = 0 THEN l_linenumber END AS conversation_order
+               CASE WHEN l_partkey % 10 = 0 THEN 'cat skills/foo/SKILL.md' ELSE 'work on ' || l_partkey END AS content_text, CASE WHEN l_partkey % 7 = 0 THEN l_linenumber END AS conversation_order,
+               {parts} AS content_parts_json
         FROM lineitem"""
 
 
@@ -107,6 +110,12 @@ def audit(d: type) -> str:
         FROM orders WHERE o_orderkey % 2 = 0"""
 
 
+def audit_state(d: type) -> str:
+    now = ("TIMESTAMP_NTZ" if d is Spark else "TIMESTAMP") + " '2024-01-31 12:00:00'"
+    return f"""SELECT o_orderkey AS session_id, CASE o_orderkey % 9 WHEN 1 THEN 'NONE' WHEN 2 THEN 'PENDING' WHEN 3 THEN 'RUNNING' WHEN 4 THEN 'FAILED' WHEN 0 THEN NULL ELSE 'DONE' END AS state,
+               CASE o_custkey % 3 WHEN 0 THEN {d.plus("minute", now, "30")} WHEN 1 THEN {d.plus("minute", now, "0 - 30")} END AS lease_until, o_orderkey % 23 = 0 AS reaudit FROM orders WHERE o_orderkey % 10 <> 1"""
+
+
 def work(d: type) -> str:
     return f"""SELECT event_id AS id, 'a' || (user_id % 50) AS agent_id, 'u' || user_id AS user_code, ts AS start_time, {d.plus("minute", "ts", "event_id % 240")} AS end_time,
                event_id % 240 * 60 AS duration_seconds, event_id % 100 * 60 AS active_seconds, CASE WHEN event_id % 3 = 0 THEN 'OPEN' ELSE 'CLOSED' END AS status FROM events"""
@@ -138,7 +147,7 @@ def activity(d: type) -> str:
                cast(floor(value) AS bigint) AS tokens, 'model-' || (event_id % 4) AS model FROM events"""
 
 
-TABLES: dict[str, Callable[[type], str]] = {"session": session, "event": event, "message": message, "commits": commits, "commit_file": commit_file, "audit": audit, "work": work, "device": device, "employee": employee, "activity": activity, "config_change": config_change}
+TABLES: dict[str, Callable[[type], str]] = {"session": session, "event": event, "message": message, "commits": commits, "commit_file": commit_file, "audit": audit, "audit_state": audit_state, "work": work, "device": device, "employee": employee, "activity": activity, "config_change": config_change}
 
 
 class Lake:

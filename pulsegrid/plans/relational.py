@@ -104,11 +104,21 @@ def flt_15(t: Lake) -> DataFrame:
     return t.event.where(filters.any_nonzero(["tokens_delta", "messages_delta", "output_tokens_delta"])).select("id")
 
 
-@query("flt_16", """SELECT s.id FROM session s LEFT JOIN audit a ON a.session_id = s.id
-    WHERE s.invalid_reason IS NULL AND s.total_messages > 0 AND (a.session_id IS NULL OR a.message_count IS NULL OR a.disagreement OR s.total_messages - a.message_count > 5)""")
+AUDITED = f"""audited AS (SELECT s.id, s.total_messages, s.invalid_reason, a.session_id AS result, coalesce(x.state, 'NONE') IN ('NONE', 'PENDING') OR (x.state IN ('RUNNING', 'FAILED') AND (x.lease_until IS NULL OR x.lease_until < TIMESTAMP '{NOW}')) OR coalesce(x.reaudit, false)
+      OR (x.state = 'DONE' AND a.session_id IS NOT NULL AND s.total_messages > a.message_count + 5) OR (x.state = 'DONE' AND a.session_id IS NULL) AS due,
+      x.state = 'DONE' AND NOT coalesce(x.reaudit, false) AND a.session_id IS NOT NULL AND s.total_messages <= a.message_count + 5 AS stable
+    FROM session s LEFT JOIN audit_state x ON x.session_id = s.id LEFT JOIN audit a ON a.session_id = s.id WHERE s.invalid_reason IS NULL AND s.total_messages > 0)"""
+
+
+def audited(t: Lake) -> DataFrame:
+    """Valid sessions with the state of their audit and its result, where there are any."""
+    state = t.audit_state.select(F.col("session_id").alias("id"), "state", "lease_until", "reaudit")
+    return filters.valid(t.session).join(state, "id", "left").join(t.audit.withColumnRenamed("session_id", "_a"), F.col("_a") == F.col("id"), "left")
+
+
+@query("flt_16", f"WITH {AUDITED} SELECT id FROM audited WHERE due")
 def flt_16(t: Lake) -> DataFrame:
-    found = filters.valid(t.session).join(t.audit.withColumnRenamed("session_id", "_a"), F.col("_a") == F.col("id"), "left")
-    return found.where(filters.needs_audit()).select("id")
+    return audited(t).where(filters.needs_audit(NOW)).select("id")
 
 
 @query("flt_17", """SELECT s.id, CASE WHEN a.session_id IS NULL THEN 'first' WHEN a.disagreement THEN 'flagged' WHEN s.total_messages > a.message_count + 5 THEN 'grown' ELSE 'skip' END AS decision

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from pulsegrid.operators import filters, joins, shapes, stats
-from pulsegrid.streaming import sinks, states
+from pulsegrid.shared import stage
+from pulsegrid.streaming import live, sinks, states
 
 from .aggregates import END, START
 from .bindings import Lake
-from .recursions import ALERTS, due_sql, throttled_sql
+from .recursions import ALERTS, MARKS, due_sql, throttled_sql
 from .registry import Registry
 from .relational import NOW, half_open
 
@@ -161,10 +162,12 @@ def st_1(t: Lake) -> DataFrame:
     return stats.percentiles(t.session.withColumn("x", F.col("output_tokens").cast("double")), ["project_name"], "x", (30, 95))
 
 
-@query("agg_d4", "SELECT CAST(message_time AS DATE) AS work_date, max(message_time) AS updated_time FROM message GROUP BY 1")
+@query("agg_d4", f"{due_sql(MARKS, 'work_date', 'signal_time')} SELECT work_date, max(due) AS updated_time FROM builds GROUP BY 1")
 def agg_d4(t: Lake) -> DataFrame:
-    """When each day's summary was last built."""
-    return t.message.groupBy(F.to_date("message_time").alias("work_date")).agg(F.max("message_time").alias("updated_time"))
+    """When each day's summary was last built: the last time that its debounced builds (STR-10) were due."""
+    marks = t.activity.withColumn("work_date", F.to_date("signal_time"))
+    built = live.folded(marks, "work_date", "signal_time", [F.when(F.col("event_type") != "signup", F.col("user_code")).alias("user")], live.Debounce())
+    return built.groupBy(F.col("key").cast("date").alias("work_date")).agg(F.max("at").alias("updated_time"))
 
 
 # ---- streams in batch form
@@ -199,12 +202,16 @@ def str_20(t: Lake) -> DataFrame:
 # ---- stored content and materialised tables
 
 
-@query("snk_3", "SELECT session_id, min(id) AS id, seq % 3 AS external_id FROM message GROUP BY session_id, seq % 3")
+@query("snk_3", """WITH m AS (SELECT session_id, id, seq, seq % 5 AS external_id, message_time FROM message), first AS (SELECT * FROM m WHERE seq <= 3 QUALIFY row_number() OVER (PARTITION BY session_id, external_id ORDER BY id, message_time) = 1)
+    SELECT session_id, external_id, id, message_time FROM first UNION ALL SELECT session_id, external_id, id, message_time FROM m WHERE seq >= 3 AND NOT EXISTS (SELECT 1 FROM first f WHERE f.session_id = m.session_id AND f.external_id = m.external_id)
+      QUALIFY row_number() OVER (PARTITION BY session_id, external_id ORDER BY id, message_time) = 1""")
 def snk_3(t: Lake) -> DataFrame:
-    """Messages appended in two batches; a key that is stored is not stored again."""
-    rows = t.message.select("session_id", "id", (F.col("seq") % 3).alias("external_id"))
-    first = rows.groupBy("session_id", "external_id").agg(F.min("id").alias("id"))
-    return first.unionByName(sinks.not_stored(rows, first, ["session_id", "external_id"])).select("session_id", "id", "external_id")
+    """Messages appended in two batches, the second with old keys and new ones; a key that is stored is not stored again."""
+    keys, order = ["session_id", "external_id"], [F.col("id"), F.col("message_time")]
+    rows = t.message.select("session_id", (F.col("seq") % 5).alias("external_id"), "id", "message_time", "seq")
+    once = lambda where: sinks.keep_latest(rows.where(where), keys, *order).drop("seq")
+    stored = stage(once("seq <= 3"), "messages")
+    return stored.unionByName(sinks.not_stored(once("seq >= 3"), stored, keys).select(stored.columns))
 
 
 @query("snk_4", "SELECT sha256(content_text) AS digest, count(*) AS links, CAST(any_value(length(content_text)) AS INTEGER) AS bytes FROM message GROUP BY 1")

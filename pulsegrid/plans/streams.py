@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import filters
 from pulsegrid.shared import own_folder, stage
-from pulsegrid.streaming import sinks, states
+from pulsegrid.streaming import ingest, sinks, states
 
 from .bindings import Lake
 from .recursions import CLAIMED, throttled_sql
@@ -64,10 +64,17 @@ def str_5(t: Lake) -> DataFrame:
     return t.session.select("id", F.coalesce(F.when(F.col("id") % 3 != 0, F.col("last_activity")), F.col("started_at")).alias("event_time"))
 
 
-@query("str_6", "SELECT id, CASE WHEN invalid_reason = 'merged_subagent' THEN invalid_reason WHEN status = 'idle' AND user_messages > 0 AND assistant_messages = 0 AND output_tokens < 500 THEN 'idle_no_reply' END AS reason FROM session")
+LIVED = """lived AS (SELECT id, CASE target_type WHEN 'high' THEN 'claude' ELSE target_type END AS target_type, status, user_messages, assistant_messages, CASE WHEN id % 3 = 0 THEN 0 ELSE input_tokens END AS input_tokens, CASE WHEN id % 2 = 0 THEN 0 ELSE output_tokens END AS output_tokens,
+    CASE WHEN id % 7 = 0 THEN 'merged_subagent' ELSE invalid_reason END AS stored FROM session)"""
+
+
+@query("str_6", f"""WITH {LIVED}, x AS (SELECT *, status = 'idle' AND user_messages > 0 AND assistant_messages = 0 AND input_tokens = 0 AND output_tokens = 0 AS lifeless FROM lived)
+    SELECT id, CASE WHEN stored = 'merged_subagent' THEN stored WHEN lifeless THEN coalesce(stored, CASE target_type WHEN 'claude' THEN 'local_command_only' ELSE 'no_assistant_reply' END) END AS reason FROM x""")
 def str_6(t: Lake) -> DataFrame:
-    lifeless = (F.col("status") == "idle") & (F.col("user_messages") > 0) & (F.col("assistant_messages") == 0) & (F.col("output_tokens") < 500)
-    return t.session.select("id", F.when(F.col("invalid_reason") == "merged_subagent", F.col("invalid_reason")).when(lifeless, "idle_no_reply").alias("reason"))
+    """Why sessions do not count: no life at all, for as long as that lasts, or merged into another for good."""
+    n = F.col("id")
+    rows = t.session.withColumns({"input_tokens": F.when(n % 3 == 0, 0).otherwise(F.col("input_tokens")), "output_tokens": F.when(n % 2 == 0, 0).otherwise(F.col("output_tokens")), "stored": F.when(n % 7 == 0, ingest.MERGED).otherwise(F.col("invalid_reason")), "target_type": F.when(F.col("target_type") == "high", "claude").otherwise(F.col("target_type"))})
+    return rows.select("id", ingest.reason(ingest.lifeless(F.col("input_tokens"), F.col("output_tokens")), F.lit(True), F.col("stored"), F.col("target_type")).alias("reason"))
 
 
 @query("str_7", """WITH listed AS (SELECT DISTINCT 'a' || (l_orderkey % 150 % 97) AS agent_id, 'ext-' || (l_orderkey + l_linenumber % 2) AS ref FROM lineitem WHERE l_linenumber IN (1, 4))
@@ -147,12 +154,13 @@ def str_windows(t: Lake) -> DataFrame:
     return hours.select("event_type", F.col("w.start").cast("timestamp_ntz").alias("started"), "n", "total")
 
 
-@query("snk_1", "SELECT user_code, max(version) AS version, arg_max(id, version * 100000000 + id) AS id FROM session GROUP BY 1")
+@query("snk_1", "SELECT target_type, external_id, max(place) AS version, arg_max(id, place) AS id FROM (SELECT *, version * 100000000 + id AS place, 'x' || (id % 1000) AS external_id FROM session) GROUP BY 1, 2")
 def snk_1(t: Lake) -> DataFrame:
-    """Sessions upserted in two batches: the table is written, merged with the second batch, and written anew."""
-    slim = t.session.select("user_code", "version", "id", (F.col("version") * 100_000_000 + F.col("id")).alias("_v"))
-    stored = stage(sinks.keep_latest(slim.where("status = 'idle'"), ["user_code"], F.desc("_v")), "sessions")
-    return stage(sinks.merged(stored, slim.where("status <> 'idle'"), ["user_code"], "_v"), "sessions").select("user_code", "version", "id")
+    """Sessions by type and external id, upserted in two batches: the table is written, merged with the second batch, and written anew."""
+    keys = ["target_type", "external_id"]
+    slim = t.session.select("target_type", F.concat(F.lit("x"), F.col("id") % 1000).alias("external_id"), "id", "status", (F.col("version") * 100_000_000 + F.col("id")).alias("version"))
+    stored = stage(sinks.keep_latest(slim.where("status = 'idle'"), keys, F.desc("version")), "sessions")
+    return stage(sinks.merged(stored, slim.where("status <> 'idle'"), keys, "version"), "sessions").select(*keys, "version", "id")
 
 
 @query("snk_2", "SELECT DISTINCT session_id, tool_name FROM event WHERE id % 2 = 1 AND (session_id, tool_name) NOT IN (SELECT session_id, tool_name FROM event WHERE id % 2 = 0 AND tool_name IS NOT NULL) AND tool_name IS NOT NULL")
@@ -161,9 +169,13 @@ def snk_2(t: Lake) -> DataFrame:
     return sinks.not_stored(calls.where("id % 2 = 1"), calls.where("id % 2 = 0"), ["session_id", "tool_name"]).select("session_id", "tool_name")
 
 
-@query("snk_5", "SELECT path, id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY has_patch DESC, commit_id DESC, id) AS n FROM commit_file) WHERE n = 1")
+@query("snk_5", """WITH f AS (SELECT commit_id, id % 2 AS half, count(*) AS files, count(*) FILTER (has_patch) AS patches FROM commit_file GROUP BY 1, 2)
+    SELECT commit_id, half, files, patches FROM f QUALIFY row_number() OVER (PARTITION BY commit_id ORDER BY patches DESC, files DESC, half) = 1""")
 def snk_5(t: Lake) -> DataFrame:
-    return sinks.keep_latest(t.commit_file, ["path"], F.desc("has_patch"), F.desc("commit_id"), F.col("id")).select("path", "id")
+    """Of two reports of a commit's files the one with more patches, or else more files; the stored one if they are alike."""
+    told = t.commit_file.groupBy("commit_id", (F.col("id") % 2).alias("half")).agg(F.count(F.lit(1)).alias("files"), F.count_if("has_patch").alias("patches"))
+    stored = stage(told.where("half = 0"), "commits")
+    return sinks.richer(stored, told.where("half = 1"), ["commit_id"], "patches", "files")
 
 
 @query("mat_6", """WITH n AS (SELECT CAST(event_time AS DATE) AS work_date, max(event_time) AS newest FROM event GROUP BY 1), b AS (SELECT CAST(message_time AS DATE) AS work_date, max(message_time) AS built FROM message GROUP BY 1)
