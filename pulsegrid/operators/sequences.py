@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from pulsegrid.shared import stage
+
+from .joins import roots
+
 
 def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
@@ -118,6 +122,43 @@ def spliced(parents: DataFrame, children: DataFrame, key: str, seq: str, anchor:
     return both.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("_a", "_b", seq)).cast("long")).drop("_a", "_b")
 
 
+LAST = (1 << 31) - 1
+
+
+def spliced_forest(messages: DataFrame, links: DataFrame, order: Sequence[str], agent: Column, session: str = "session_id") -> DataFrame:
+    """WIN-16, JN-25: messages of sub-agents behind the call that started them, at any depth: root and place of every message.
+
+    ``links``: child, parent and rank, the child's place among its siblings. The n-th child of a session comes behind the session's
+    n-th ``agent`` row, one without such a row behind all rows of its parent. A session on a cycle of links, or below one, is a root
+    itself. A row's path is where its session's ancestors were called, which orders all rows of a tree in one sort.
+    """
+    placed = messages.withColumn("_p", F.row_number().over(W.partitionBy(session).orderBy(*order)))
+    calls = placed.where(agent).select(F.col(session).alias("parent"), F.col("_p").alias("at"), F.row_number().over(W.partitionBy(session).orderBy("_p")).alias("rank"))
+    tops = roots(links).where("root <> child").select("child", "root")
+    kids = links.join(tops.select("child"), "child").withColumn("rank", F.row_number().over(W.partitionBy("parent").orderBy("rank", "child")))
+    step = F.struct(F.coalesce("at", F.lit(LAST)).alias("at"), F.lit(1).alias("below"), F.col("rank").alias("rank"))
+    known = stage(kids.join(calls, ["parent", "rank"], "left").select("child", "parent", step.alias("step")), "calls")
+    level = known.join(known.select(F.col("child").alias("parent")), "parent", "left_anti").select("child", F.array("step").alias("path"))
+    paths = level = stage(level, "paths")
+    while not level.isEmpty():
+        above = level.select(F.col("child").alias("parent"), "path")
+        level = stage(known.join(above, "parent").select("child", F.concat("path", F.array("step")).alias("path")), "paths")
+        paths = paths.unionByName(level)
+    own = F.array(F.struct(F.col("_p").alias("at"), F.lit(0).alias("below"), F.lit(0).alias("rank")))
+    none = F.array().cast("array<struct<at: int, below: int, rank: int>>")
+    rows = placed.join(paths.withColumnRenamed("child", session), session, "left").join(tops.withColumnRenamed("child", session), session, "left")
+    rows = rows.withColumns({"root": F.coalesce("root", session), "_path": F.concat(F.coalesce("path", none), own)})
+    place = F.row_number().over(W.partitionBy("root").orderBy("_path", session))
+    return rows.withColumn("place", place.cast("long")).drop("_p", "_path", "path")
+
+
+def tree_totals(sessions: DataFrame, links: DataFrame, sums: Sequence[str], first: str, last: str, session: str = "id") -> DataFrame:
+    """JN-25: one row for each root: what its tree adds up to, from its first to its last moment, and how many sessions it has."""
+    tops = roots(links).where("root <> child").withColumnRenamed("child", session)
+    rows = sessions.join(tops, session, "left").withColumn("root", F.coalesce("root", session))
+    return rows.groupBy("root").agg(*[F.sum(c).alias(c) for c in sums], F.min(first).alias(first), F.max(last).alias(last), F.count(F.lit(1)).alias("sessions"))
+
+
 def skill_uses(messages: DataFrame, key: str = "session_id") -> DataFrame:
     """WIN-8: a skill file that was read is used by the next execution in the same user turn.
 

@@ -117,6 +117,28 @@ def win_16(t: Lake) -> DataFrame:
     return sequences.spliced(rows.where("role <> 'tool'"), rows.where("role = 'tool'").withColumn("anchor", F.lit(1)), "session_id", "seq", "anchor").select("id", "place")
 
 
+FOREST = """link AS (SELECT id AS child, id // 10 AS parent FROM session WHERE id >= 10), m AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seq, id, message_time, content_text) AS p FROM message),
+    calls AS (SELECT session_id AS parent, p AS spot, row_number() OVER (PARTITION BY session_id ORDER BY p) AS rank FROM m WHERE role = 'tool'), kids AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY child) AS rank FROM link),
+    known AS MATERIALIZED (SELECT k.child, k.parent, [coalesce(c.spot, 2147483647), 1, k.rank] AS step FROM kids k LEFT JOIN calls c USING (parent, rank)),
+    tree AS (SELECT id // 10 AS node, id // 10 AS root, CAST([] AS BIGINT[][]) AS path FROM session WHERE id BETWEEN 10 AND 99 GROUP BY 1 UNION ALL SELECT k.child, t.root, list_append(t.path, k.step) FROM tree t JOIN known k ON k.parent = t.node)"""
+
+
+@query("win_16_forest", f"WITH RECURSIVE {FOREST} SELECT m.id, m.session_id, coalesce(t.root, m.session_id) AS root, row_number() OVER (PARTITION BY coalesce(t.root, m.session_id) ORDER BY list_append(coalesce(t.path, []), [m.p, 0, 0]), m.session_id) AS place FROM m LEFT JOIN tree t ON t.node = m.session_id")
+def win_16_forest(t: Lake) -> DataFrame:
+    """Messages of sub-agents, and of theirs, behind the tool rows that called them; each tree is numbered anew."""
+    links = t.session.where("id >= 10").select(F.col("id").alias("child"), F.expr("id div 10").alias("parent"), F.col("id").alias("rank"))
+    found = sequences.spliced_forest(t.message, links, ["seq", "id", "message_time", "content_text"], F.col("role") == "tool")
+    return found.select("id", "session_id", "root", "place")
+
+
+@query("jn_25_totals", """WITH RECURSIVE up AS (SELECT id, id AS root FROM session UNION ALL SELECT id, root // 10 FROM up WHERE root >= 10), top AS (SELECT id, min(root) AS root FROM up GROUP BY 1)
+    SELECT root, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, min(started_at) AS started_at, max(last_activity) AS last_activity, count(*) AS sessions FROM session JOIN top USING (id) GROUP BY 1""")
+def jn_25_totals(t: Lake) -> DataFrame:
+    """Tokens and times of whole trees of sub-agents."""
+    links = t.session.where("id >= 10").select(F.col("id").alias("child"), F.expr("id div 10").alias("parent"))
+    return sequences.tree_totals(t.session, links, ["input_tokens", "output_tokens"], "started_at", "last_activity")
+
+
 @query("win_17", "SELECT id, tokens_delta * input_tokens_delta // nullif(input_tokens_delta + output_tokens_delta, 0) AS input_part FROM event")
 def win_17(t: Lake) -> DataFrame:
     return t.event.select("id", F.expr("case when input_tokens_delta + output_tokens_delta <> 0 then tokens_delta * input_tokens_delta div (input_tokens_delta + output_tokens_delta) end").alias("input_part"))
