@@ -1,10 +1,11 @@
-"""What a console asks for, by path: the named queries that answer it."""
+"""What a console asks for, by path: with parameters (``call``), or the named queries over whole tables that answer it (``read``)."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.plans import MODULES
+from pulsegrid.plans import MODULES, reads
+from pulsegrid.plans.bindings import Lake
 
 READS: dict[str, tuple[str, ...]] = {
     "dashboard/overview": ("agg_e6", "agg_d1"),
@@ -38,3 +39,8 @@ def read(spark: SparkSession, path: str, folder: str) -> dict[str, DataFrame]:
     """The tables that answer ``path``, by the names of their queries; nothing is computed before it is used."""
     known = {name: query for module in MODULES for name, query in module.QUERIES.items()}
     return {name: known[name](spark, folder) for name in READS[path]}
+
+
+def call(spark: SparkSession, folder: str, path: str, **parameters: object) -> DataFrame:
+    """The answer to ``path`` with its parameters, for example ``call(spark, folder, "people/one", user="u7", first="1996-01-01")``."""
+    return reads.answer(Lake(spark, folder), path, **parameters)
