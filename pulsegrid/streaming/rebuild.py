@@ -12,6 +12,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from pulsegrid.shared import stage
 
@@ -73,8 +74,9 @@ class Builds:
         return self.ledger.commit(None, 0, work, TRIES)
 
     def results(self) -> DataFrame:
-        """The table as it is: of each pair what was built last."""
-        return self.ledger.latest("results", PAIR).where("not gone").drop("gone")
+        """The table as it is: of each pair the rows that were built last."""
+        newest = F.max("version").over(W.partitionBy(*PAIR))
+        return self.ledger.table("results").withColumn("_newest", newest).where("version = _newest and not gone").drop("_newest", "gone")
 
     def run(self, builder: str, now: Callable[[], datetime], build: Callable[[DataFrame], DataFrame], most: int = 1_000) -> int:
         """Lease and build until nothing is due; how many leases that took. ``build`` makes the rows of the pairs it is given."""
