@@ -42,6 +42,62 @@ def slash_kind(text: Column) -> Column:
     return F.when(plausible & F.lower(token).isin("/usage", "/exit"), "noise").when(plausible & F.lower(token).contains("skill"), "skill").when(plausible, "command")
 
 
+#: The names under which tools are known, by what other products call them (in lower case).
+TOOL_NAMES = {
+    "Read": ("read", "read_file", "read_file_v2", "view", "view_file"),
+    "Write": ("write", "write_file", "write_to_file", "write_file_v2", "write_to_file_v2"),
+    "Edit": ("edit", "edit_file", "edit_file_v2", "apply_patch", "applypatch", "notebookedit", "notebook_edit"),
+    "Bash": ("bash", "shell", "run_terminal_command", "run_terminal_command_v2", "exec"),
+    "Glob": ("glob", "glob_file_search", "list_dir", "list_dir_v2", "find"),
+    "Grep": ("grep", "grep_search", "codebase_search", "ripgrep", "ripgrep_raw_search", "search"),
+    "WebSearch": ("websearch", "web_search"),
+    "WebFetch": ("webfetch", "web_fetch", "fetch"),
+    "Agent": ("agent", "subagent", "task", "spawn_subagent"),
+}
+#: Tools that carry out what a skill says, by name and by what their names hold.
+EXECUTING = ("bash", "shell", "edit", "write", "apply_patch", "strreplace", "delete", "agent", "task", "subagent", "notebookedit", "mcp")
+EXECUTING_PARTS = ("edit", "write", "terminal", "bash", "shell", "agent", "patch", "delete")
+
+
+def normal_tool(name: Column) -> Column:
+    """A tool's name as the states know it; others begin with a capital."""
+    known = F.create_map(*[F.lit(x) for to, names in TOOL_NAMES.items() for n in names for x in (n, to)])
+    other = F.concat(F.upper(F.substring(name, 1, 1)), F.substring(name, F.lit(2), F.length(name)))
+    return F.coalesce(F.get(F.array(known), F.lit(0))[F.lower(name)], other)
+
+
+def executes(tool: Column) -> Column:
+    """Whether a tool carries out a skill that was read; reading tools never do."""
+    name = F.lower(F.trim(tool))
+    held = name.rlike("|".join(EXECUTING_PARTS)) | name.isin(*EXECUTING)
+    return F.coalesce(held & ~name.isin(*TOOL_NAMES["Read"]), F.lit(False))
+
+
+def skill_envelope(text: Column) -> Column:
+    """The skill that a message wraps (``<skill><name>..</name>`` at its very begin); null if none, or if the name holds blanks."""
+    name = F.lower(F.trim(F.regexp_extract(F.trim(text), r"\A<skill>\s*<name>([^<>]{1,120})</name>", 1)))
+    return F.when((name != "") & ~name.rlike(r"\s"), name)
+
+
+def invocation(text: Column, target_type: Column) -> Column:
+    """token and kind of what a user's message calls, by the tool it was written in: an envelope, nothing, or the first word.
+
+    One tool wraps skills in envelopes, one reports its commands elsewhere, all others begin a message with a slash word.
+    """
+    kind = F.lower(F.trim(F.coalesce(target_type, F.lit(""))))
+    wrapped = F.when(skill_envelope(text).isNotNull(), F.struct(skill_envelope(text).alias("token"), F.lit("skill").alias("kind")))
+    typed = F.when(slash_kind(text).isNotNull(), F.struct(F.lower(first_token(text)).alias("token"), slash_kind(text).alias("kind")))
+    return F.when(kind == "codex", wrapped).when(kind == "claude", F.lit(None)).otherwise(typed)
+
+
+LONGEST = (1 << 63) - 1
+
+
+def saturating_add(a: Column, b: Column) -> Column:
+    """The sum of two longs, or the end of their range where it would pass it."""
+    return F.coalesce(F.try_add(a, b), F.when(a.isNotNull() & b.isNotNull(), F.when(a < 0, F.lit(-LONGEST - 1)).otherwise(F.lit(LONGEST))))
+
+
 def mcp_server(tool: Column) -> Column:
     """The server of ``mcp__server__tool``; null if any part is blank or holds blanks."""
     return _part(tool, 1)

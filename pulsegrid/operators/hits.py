@@ -34,6 +34,12 @@ def first_seen(messages: DataFrame) -> DataFrame:
 PARTS = "array<struct<type:string,tool_name:string>>"
 
 
+def carries_out(parts_json: Column) -> Column:
+    """Whether a message's parts hold a call of a tool that carries out a skill."""
+    parts = F.from_json(parts_json, PARTS)
+    return F.coalesce(F.exists(parts, lambda p: F.coalesce(p["type"] == "tool_call", F.lit(False)) & text.executes(p["tool_name"])), F.lit(False))
+
+
 def part_calls(messages: DataFrame, calls: DataFrame) -> DataFrame:
     """AGG-C8: MCP calls that only the parts of messages tell of: work_date, user_code, session_id, tool_name.
 

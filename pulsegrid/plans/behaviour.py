@@ -87,8 +87,9 @@ def win_7(t: Lake) -> DataFrame:
 
 @query("win_8")
 def win_8(t: Lake) -> DataFrame:
-    reads = F.when((F.lower(F.trim("role")) == "assistant") & F.col("content_text").contains("SKILL.md"), F.array(F.concat(F.lit("/skills/"), F.regexp_extract("content_text", r"skills/([^/]+)/SKILL\.md", 1)))).otherwise(F.array().cast("array<string>"))
-    return sequences.skill_uses(t.message.select("session_id", "seq", "role", reads.alias("reads"), (F.lower(F.trim("role")) == "tool").alias("executes")))
+    """Skills that were read and then carried out by a tool that does more than read, as the messages' parts tell."""
+    reads = F.when((filters.role() == "assistant") & F.col("content_text").contains("SKILL.md"), F.array(F.concat(F.lit("/skills/"), F.regexp_extract("content_text", r"skills/([^/]+)/SKILL\.md", 1)))).otherwise(F.array().cast("array<string>"))
+    return sequences.skill_uses(t.message.select("session_id", "seq", "role", reads.alias("reads"), hits.carries_out(F.col("content_parts_json")).alias("executes")))
 
 
 @query("win_11", """WITH r AS (SELECT agent_id, id, epoch_us(start_time) // 1000000 AS t, status = 'OPEN' AS busy FROM work), g AS (SELECT *, t - lag(t) OVER (PARTITION BY agent_id ORDER BY t, id) AS gap FROM r),

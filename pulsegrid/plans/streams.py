@@ -86,11 +86,16 @@ def str_7(t: Lake) -> DataFrame:
     return marked.select("id", F.when(F.col("_listed"), "merged_subagent").otherwise(F.col("invalid_reason")).alias("invalid_reason"))
 
 
-@query("str_8", "WITH m AS (SELECT session_id, count(*) AS n FROM message WHERE lower(trim(role)) IN ('user', 'assistant') GROUP BY 1) SELECT id, CASE WHEN abs(total_messages - coalesce(n, 0)) <= 3 THEN total_messages ELSE coalesce(n, 0) END AS messages FROM session LEFT JOIN m ON session_id = id")
+@query("str_8", """WITH m AS (SELECT session_id, count(*) FILTER (lower(trim(role)) = 'user') AS u, count(*) FILTER (lower(trim(role)) = 'assistant') AS a, count(*) AS n FROM message WHERE session_id % 5 <> 0 GROUP BY 1), x AS (SELECT id, id % 400 AS reported, user_messages, assistant_messages, coalesce(n, 0) AS n, u, a FROM session LEFT JOIN m ON session_id = id)
+    SELECT id, CASE WHEN n > 0 AND reported > 0 AND (n >= reported OR reported - n <= 200) THEN n ELSE reported END AS shown, CASE WHEN reported <= 0 THEN greatest(reported, n) WHEN id % 2 = 0 AND n > 0 THEN n ELSE reported END AS snapshot,
+      CASE WHEN n > 0 THEN u ELSE user_messages END AS user_messages, CASE WHEN n > 0 THEN a ELSE assistant_messages END AS assistant_messages FROM x""")
 def str_8(t: Lake) -> DataFrame:
-    counts = t.message.where(filters.role().isin("user", "assistant")).groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    n = F.coalesce("n", F.lit(0))
-    return t.session.select("id", "total_messages").join(counts, "id", "left").select("id", F.when(F.abs(F.col("total_messages") - n) <= 3, F.col("total_messages")).otherwise(n).alias("messages"))
+    """Message counts of sessions against what is stored; every fifth session has nothing stored, every second client has sent all."""
+    counts = t.message.where("session_id % 5 <> 0").groupBy(F.col("session_id").alias("id")).agg(F.count_if(filters.role() == "user").alias("u"), F.count_if(filters.role() == "assistant").alias("a"), F.count(F.lit(1)).alias("n"))
+    rows = t.session.select("id", "user_messages", "assistant_messages", (F.col("id") % 400).alias("reported")).join(counts, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    stored = F.col("n") > 0
+    sides = [F.when(stored, F.col(c)).otherwise(F.col(name)).alias(name) for c, name in (("u", "user_messages"), ("a", "assistant_messages"))]
+    return rows.select("id", states.reconciled_count(F.col("n"), F.col("reported")).alias("shown"), states.reported_snapshot(F.col("n"), F.col("reported"), F.col("id") % 2 == 0).alias("snapshot"), *sides)
 
 
 @query("str_9", "SELECT DISTINCT CAST(event_time AS DATE) AS day, user_code FROM event WHERE event_time >= TIMESTAMP '1998-01-01' - INTERVAL 30 DAY AND event_time < TIMESTAMP '1998-01-01' - INTERVAL 48 HOUR")
@@ -107,15 +112,18 @@ def str_11(t: Lake) -> DataFrame:
     return t.session.where((F.col("status") != "idle") & (F.col("last_activity") < cut)).orderBy("id").limit(500).select("id", F.lit("idle").alias("status"))
 
 
-@query("str_12", """WITH x AS (SELECT id, CASE id % 4 WHEN 0 THEN 'thinking' WHEN 1 THEN 'waiting_for_user' WHEN 2 THEN 'executing_tool' ELSE 'other' END AS b, CASE id % 3 WHEN 0 THEN 'Bash' WHEN 1 THEN 'Agent' END AS tool, id % 70 AS since, CASE WHEN id % 5 = 0 THEN id % 60 END AS ta, CASE WHEN id % 11 = 0 THEN id % 50 END AS sa FROM session),
-    y AS (SELECT *, CASE tool WHEN 'Bash' THEN 'running' WHEN 'Agent' THEN 'spawning' ELSE 'idle' END AS ts FROM x)
-    SELECT id, CASE WHEN sa < 30 THEN 'compacting' WHEN ta < 30 THEN ts WHEN b = 'waiting_for_user' THEN CASE WHEN since < 30 THEN 'waiting' ELSE 'idle' END WHEN b = 'executing_tool' AND ts = 'spawning' AND since < 1200 THEN 'spawning'
-      WHEN b = 'thinking' AND since <= 30 THEN 'thinking' WHEN since > 30 THEN 'idle' WHEN b = 'executing_tool' THEN ts ELSE 'idle' END AS state FROM y""")
+@query("str_12", """WITH x AS (SELECT id, CASE id % 4 WHEN 0 THEN 'thinking' WHEN 1 THEN 'waiting_for_user' WHEN 2 THEN 'executing_tool' ELSE 'other' END AS b, CASE id % 7 WHEN 0 THEN 'run_terminal_command_v2' WHEN 1 THEN 'spawn_subagent' WHEN 2 THEN 'read_file' WHEN 3 THEN 'codebase_search' WHEN 4 THEN 'web_fetch' WHEN 5 THEN 'custom' END AS tool,
+      epoch(last_activity - started_at)::BIGINT // 60 % 150 AS since, CASE WHEN id % 5 = 0 THEN id % 90 END AS ta, CASE WHEN id % 11 = 0 THEN id % 80 END AS sa FROM session),
+    y AS (SELECT *, CASE tool WHEN 'run_terminal_command_v2' THEN 'running' WHEN 'spawn_subagent' THEN 'spawning' WHEN 'read_file' THEN 'reading' WHEN 'codebase_search' THEN 'searching' WHEN 'web_fetch' THEN 'browsing' WHEN 'custom' THEN 'running' ELSE 'idle' END AS ts FROM x)
+    SELECT id, CASE WHEN sa < 50 THEN 'compacting' WHEN ta < 50 THEN ts WHEN b = 'waiting_for_user' THEN CASE WHEN since < 120 THEN 'waiting' ELSE 'idle' END WHEN b = 'executing_tool' AND ts = 'spawning' AND since < 1200 THEN 'spawning'
+      WHEN b = 'thinking' AND since <= 50 THEN 'thinking' WHEN since > 50 THEN 'idle' WHEN b = 'executing_tool' THEN ts ELSE 'idle' END AS state FROM y""")
 def str_12(t: Lake) -> DataFrame:
+    """Activity states of clients that report every twenty seconds, with the tools' own names."""
     n = F.col("id")
     bubble = F.when(n % 4 == 0, "thinking").when(n % 4 == 1, "waiting_for_user").when(n % 4 == 2, "executing_tool").otherwise("other")
-    tool = F.when(n % 3 == 0, "Bash").when(n % 3 == 1, "Agent")
-    return t.session.select("id", states.activity_state(bubble, tool, n % 70, F.when(n % 5 == 0, n % 60), F.when(n % 11 == 0, n % 50)).alias("state"))
+    tool = F.get(F.array(*[F.lit(x) for x in ("run_terminal_command_v2", "spawn_subagent", "read_file", "codebase_search", "web_fetch", "custom")]), (n % 7).cast("int"))
+    since = F.floor((F.unix_seconds(F.col("last_activity").cast("timestamp")) - F.unix_seconds(F.col("started_at").cast("timestamp"))) / 60) % 150
+    return t.session.select("id", states.activity_state(bubble, tool, since, F.when(n % 5 == 0, n % 90), F.when(n % 11 == 0, n % 80), interval=20).alias("state"))
 
 
 @query("str_13", """WITH p AS (SELECT agent_id, date_trunc('second', start_time) AS ping, id FROM work), g AS (SELECT *, CASE WHEN ping > lag(ping) OVER (PARTITION BY agent_id ORDER BY ping, id) + INTERVAL 180 SECOND THEN 1 ELSE 0 END AS fresh FROM p),

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window as W
 
+from pulsegrid.functions import text
+
 EVENT = "session string, event_time timestamp_ntz, event_type string, status string, tokens_delta bigint, messages_delta bigint"
 SNAPSHOT = "session, captured_at, seq, status, tokens, messages"
 DELTA_CAP = 500_000_000
@@ -127,21 +129,38 @@ def tool_state(tool: Column) -> Column:
     return F.coalesce(F.get(F.array(known), F.lit(0))[tool], F.when(F.coalesce(tool, F.lit("")) != "", "running").otherwise("idle"))
 
 
-def activity_state(bubble: Column, tool: Column, since: Column, tool_age: Column, summary_age: Column, timeout: int = 30, spawning: int = 1200) -> Column:
-    """STR-12: one of ten states from the raw status, and the seconds since the last activity, tool and summary."""
+def activity_state(bubble: Column, tool: Column, since: Column, tool_age: Column, summary_age: Column, interval: float = 0, spawning: int = 1200) -> Column:
+    """STR-12: one of ten states from the raw status and tool, and the seconds since the last activity, tool call and summary.
+
+    Clients report every ``interval`` seconds; activity counts for two and a half of them, half a minute at least, and who
+    waits does so for two minutes at least.
+    """
+    timeout = max(30.0, 2.5 * interval)
+    waiting, doing = max(120.0, timeout), tool_state(text.normal_tool(tool))
     thinking = bubble.isin("thinking", "processing_tool_result")
     return (
         F.when(summary_age < timeout, "compacting")
-        .when(tool_age < timeout, tool_state(tool))
-        .when(bubble == "waiting_for_user", F.when(since < timeout, "waiting").otherwise("idle"))
-        .when((bubble == "executing_tool") & (tool_state(tool) == "spawning") & (since < spawning), "spawning")
+        .when(tool_age < timeout, doing)
+        .when(bubble == "waiting_for_user", F.when(since < waiting, "waiting").otherwise("idle"))
+        .when((bubble == "executing_tool") & (doing == "spawning") & (since < spawning), "spawning")
         .when(thinking & (since <= timeout), "thinking")
         .when(since.isNull() | (since > timeout), "idle")
-        .when(bubble == "executing_tool", tool_state(tool))
+        .when(bubble == "executing_tool", doing)
         .otherwise("idle")
     )
 
 
+def reconciled_count(stored: Column, reported: Column, gap: int = 200) -> Column:
+    """STR-8: how many messages a session shows: those stored, unless the client reports so many more that they are yet to come."""
+    known = (F.coalesce(stored, F.lit(0)) > 0) & (reported > 0)
+    return F.when(known & (reported - stored <= gap), stored).otherwise(reported)
+
+
+def reported_snapshot(stored: Column, incoming: Column, at_tail: Column) -> Column:
+    """STR-8, at ingest: a client that has sent all it has, and whose messages are stored, is not believed to have more."""
+    return F.when(incoming <= 0, F.greatest(incoming, stored)).when(at_tail & (stored > 0), stored).otherwise(incoming)
+
+
 def missing_baseline(sessions: DataFrame, events: DataFrame) -> DataFrame:
     """STR-19: OPEN, TOKEN and MESSAGE events that sessions should have and don't."""
     wanted = F.array_compact(F.array(F.struct(F.lit("SESSION_OPEN").alias("event_type"), F.lit(0).cast("long").alias("amount")), F.when(F.expr("input_tokens + output_tokens > 0"), F.struct(F.lit("TOKEN_DELTA").alias("event_type"), F.expr("input_tokens + output_tokens").alias("amount"))), F.when(F.col("total_messages") > 0, F.struct(F.lit("MESSAGE_DELTA").alias("event_type"), F.col("total_messages").cast("long").alias("amount")))))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import content, text
-from pulsegrid.operators import extensions, joins, sequences, stats
+from pulsegrid.operators import extensions, hits, joins, sequences, stats
 from pulsegrid.sources import tail
 from pulsegrid.streaming import sinks, states
 
@@ -241,3 +241,40 @@ def test_mock_judges(spark):
         assert r.difficulty == (d1 + d2 + 1) // 2 and (r.outcome, r.mode) == ((names[o2], m2) if d2 > d1 else (names[o1], m1))
         assert [r.cap_problem, r.cap_context, r.cap_debug, r.cap_tool, r.cap_self] == [(a + b + 1) // 2 for a, b in zip(c1, c2)]
         assert r.disagreement == (abs(d1 - d2) > 1 or names[o1] != names[o2] or m1 != m2)
+
+
+def test_tool_names(spark):
+    names = {"read_file_v2": "Read", "Write_To_File": "Write", "apply_patch": "Edit", "run_terminal_command_v2": "Bash", "exec": "Bash", "list_dir": "Glob", "ripgrep_raw_search": "Grep", "web_search": "WebSearch", "fetch": "WebFetch", "spawn_subagent": "Agent", "mcp__x": "Mcp__x", "": "", None: None}
+    rows = spark.createDataFrame([(n,) for n in names], "n string").select("n", text.normal_tool(F.col("n")).alias("to")).collect()
+    assert {r.n: r.to for r in rows} == names
+    does = {"Bash": True, " edit_file_v2 ": True, "run_terminal_command": True, "mcp": True, "Task": True, "Read": False, "view_file": False, "Grep": False, "mcp__a__b": False, "": False, None: False, "StrReplace": True, "multi_patch": True}
+    rows = spark.createDataFrame([(n,) for n in does], "n string").select("n", text.executes(F.col("n")).alias("does")).collect()
+    assert {r.n: r.does for r in rows} == does
+
+
+@pytest.mark.parametrize("body, kind, want", [
+    ("<skill>\n<name> Deploy </name>\n...", "codex", ("deploy", "skill")), ("  <skill><name>x</name>", "Codex ", ("x", "skill")), ("see <skill><name>x</name>", "codex", None), ("<skill><name>two words</name>", "codex", None), ("/plan it", "codex", None),
+    ("/plan it", "claude", None), ("/Plan it", "cursor", ("/plan", "command")), (" /my-skill now", None, ("/my-skill", "skill")), ("/usage", "", ("/usage", "noise")), ("go /plan", "cursor", None), ("<skill><name>x</name>", "cursor", None), (None, "cursor", None),
+])
+def test_invocations(spark, body, kind, want):
+    found = values(spark, text.invocation(F.lit(body).cast("string"), F.lit(kind).cast("string")))[0]
+    assert (tuple(found) if found else None) == want
+
+
+def test_saturating_add(spark):
+    top = (1 << 63) - 1
+    pairs = [(1, 2, 3), (top, 1, top), (-top, -top, -top - 1), (top, -top, 0), (-1, -top - 1, -top - 1), (None, 1, None)]
+    rows = spark.createDataFrame([(a, b) for a, b, _ in pairs], "a long, b long").select(text.saturating_add(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [r.s for r in rows] == [s for _, _, s in pairs]
+
+
+def test_message_counts(spark):
+    rows = [(0, 5, 5), (5, 0, 0), (7, 5, 7), (5, 205, 5), (5, 206, 206), (None, 9, 9)]
+    found = spark.createDataFrame([r[:2] for r in rows], "s int, r int").select(states.reconciled_count(F.col("s"), F.col("r")).alias("n")).collect()
+    assert [r.n for r in found] == [n for _, _, n in rows]
+
+
+def test_what_carries_out_a_skill(spark):
+    parts = {'[{"type":"tool_call","tool_name":"Bash"}]': True, '[{"type":"text","tool_name":"Bash"}]': False, '[{"type":"tool_call","tool_name":"Read"},{"type":"tool_call","tool_name":"edit_file"}]': True, '[{"type":"tool_call"}]': False, "no json": False, None: False}
+    rows = spark.createDataFrame([(p,) for p in parts], "p string").select("p", hits.carries_out(F.col("p")).alias("does")).collect()
+    assert {r.p: r.does for r in rows} == parts
