@@ -10,7 +10,7 @@ Spark gives matched strings, not positions. A text split at a pattern gives what
 matches, so the running lengths of pieces and matches are the code-point positions.
 
 Cases: a null text is empty and has no spans; rows that repeat are scanned alike; without ordinary
-tokens nothing is added; a very long text is one string in one task; ids are not read, extra columns are kept whatever
+tokens nothing is added; a very long text is one string in one task, with time in proportion to its matches up to some hundred thousands; ids are not read, extra columns are kept whatever
 their names, but columns base and added are replaced by the results; an empty table gives an empty result.
 """
 
@@ -39,6 +39,7 @@ CLASSES = len(ALPHABET) + 1  # any other character is class 0
 RANKS = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
 
 
+PART = 512
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 PATTERNS = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "markov": (TOKEN, 0)}
 
@@ -56,12 +57,29 @@ def matched(rows: DataFrame, text: str, kinds: Sequence[str]) -> DataFrame:
         some = F.size(f"whole_{k}") > 0
         more[f"between_{k}"] = F.when(some, F.split(text, pattern))
         more[f"value_{k}"] = F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))) if group else F.col(f"whole_{k}")
-    found = found.withColumns(more)
-    return found.withColumns({k: walked(k) for k in kinds}).drop(*[f"{c}_{k}" for c in ("whole", "between", "value") for k in kinds])
+    found = found.withColumns(more).withColumns({f"pieces_{k}": pieces(k) for k in kinds}).withColumns({f"parts_{k}": in_parts(f"pieces_{k}") for k in kinds})
+    return found.withColumns({k: walked(k) for k in kinds}).drop(*[f"{c}_{k}" for c in ("whole", "between", "value", "pieces", "parts") for k in kinds])
+
+
+def pieces(kind: str) -> Column:
+    """Each match with what lies before it."""
+    whole = F.col(f"whole_{kind}")
+    return F.arrays_zip(F.slice(f"between_{kind}", F.lit(1), F.size(whole)).alias("between"), whole.alias("whole"), F.col(f"value_{kind}").alias("value"))
+
+
+def in_parts(array: str) -> Column:
+    """An array in parts of ``PART`` elements. Appending to an array copies it, so long ones are put together part by part."""
+    n = F.size(array)
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n, F.lit(PART)), lambda i: F.slice(array, i, PART)))
 
 
 def walked(kind: str) -> Column:
-    """The spans of one kind from its matches and what lies between them."""
+    """The spans of one kind: where each part of the matches begins, and from there each match."""
+    parts, empty = F.col(f"parts_{kind}"), F.expr(f"cast(array() as {SPANS})")
+
+    def begin(state: Column, part: Column) -> Column:
+        size = F.aggregate(part, F.lit(0), lambda n, x: n + F.length(x["between"]) + F.length(x["whole"]))
+        return F.struct((state["at"] + size).alias("at"), F.concat(state["found"], F.array(state["at"])).alias("found"))
 
     def step(state: Column, x: Column) -> Column:
         start = state["at"] + F.length(x["between"])
@@ -69,10 +87,9 @@ def walked(kind: str) -> Column:
         one = F.struct(start.alias("start"), F.lit(RANKS[kind]).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["found"], F.array(one)).alias("found"))
 
-    whole, empty = F.col(f"whole_{kind}"), F.expr(f"cast(array() as {SPANS})")
-    zipped = F.arrays_zip(F.slice(f"between_{kind}", F.lit(1), F.size(whole)).alias("between"), whole.alias("whole"), F.col(f"value_{kind}").alias("value"))
-    found = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda s: s["found"])
-    return F.when(F.size(whole) > 0, found).otherwise(empty)
+    begins = F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("found")), begin, lambda s: s["found"])
+    spans = F.zip_with(parts, begins, lambda part, at: F.aggregate(part, F.struct(at.alias("at"), empty.alias("found")), step, lambda s: s["found"]))
+    return F.coalesce(F.flatten(spans), empty)
 
 
 def with_base(rows: DataFrame, text: str) -> DataFrame:
@@ -136,12 +153,19 @@ def scan(docs: DataFrame, model: list[float] | None, text_col: str = "text", thr
         return found.select(*unpacked("kept", keep), "base", F.slice("base", 1, 0).alias("added"))
     ratios = F.split(F.lit(",".join(f"{x:.4f}" for x in model)), ",").cast("array<double>")
 
-    def random(s: Column) -> Column:
+    def random(s: Column, near: Column) -> Column:
         total = F.aggregate(pairs(s["value"]), F.lit(0.0), lambda t, p: t + F.get(ratios, p))
-        outside = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
+        outside = ~F.exists(near, lambda b: (b["start"] < s["end"]) & (b["end"] > s["start"]))
         return outside & (total > threshold * (F.length(s["value"]) - 1))
 
-    return matched(found, "text", ("markov",)).select(*unpacked("kept", keep), "base", F.filter("markov", random).alias("added"))
+    def beside(part: Column) -> Column:
+        """A part of the tokens with the base spans that it may touch."""
+        low, high = F.get(part, F.lit(0))["start"], F.element_at(part, -1)["end"]
+        return F.struct(part.alias("tokens"), F.filter("base", lambda b: (b["start"] < high) & (b["end"] > low)).alias("near"))
+
+    tokens = matched(found, "text", ("markov",)).withColumn("parts", in_parts("markov"))
+    added = F.flatten(F.transform(F.transform("parts", beside), lambda p: F.filter(p["tokens"], lambda s: random(s, p["near"]))))
+    return tokens.select(*unpacked("kept", keep), "base", F.coalesce(added, F.slice("base", 1, 0)).alias("added"))
 
 
 def of_kind(kind: str) -> Callable[[Column], Column]:

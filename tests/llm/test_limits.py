@@ -321,3 +321,20 @@ def test_all_repeated_passages_by_brute_force(spark):
         got[seek(r.other_id)] = seek(r.doc_id)
     same = lambda f: {frozenset(i for i, _ in rows if f(i) == k) for k in {f(i) for i, _ in rows}}
     assert same(find) == same(seek)
+
+
+def test_a_text_with_very_many_secrets(spark):
+    """200,000 tokens in one text: parts of matches are put together, not one list that grows by each."""
+    rng = random.Random(1)
+    words = ["%032x" % rng.getrandbits(128) if i % 2 else "Word%d_x%s" % (i, "".join(rng.choice("ABCdefGHIjkl0123") for _ in range(20))) for i in range(200_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, None), (3, "none")], "doc_id long, text string")
+    begun = time.perf_counter()
+    found = {r["doc_id"]: r for r in secret_scan.scan(df, [0.1] * secret_scan.CLASSES**2, threshold=0.01).collect()}
+    assert time.perf_counter() - begun < 30
+    starts, at = [], 0
+    for w in words:
+        starts.append(at)
+        at += len(w) + 1
+    assert [(s["start"], s["end"]) for s in found[1]["base"]] == [(s, s + 32) for s, w in zip(starts, words) if len(w) == 32 and w[0] != "W"]
+    assert [s["start"] for s in found[1]["added"]] == [s for s, w in zip(starts, words) if w[0] == "W"]
+    assert found[2]["base"] == found[3]["base"] == found[2]["added"] == []
