@@ -81,13 +81,6 @@ class SqliteReader(DataSourceReader):
         self.paths, self.table, self.columns, self.shown = options["path"].split(","), identifier(table), columns, shown
         self.size, self.where = int(options.get("rows_per_partition", ROWS)), Condition()
 
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for test in filters:
-            name = test.attribute[0] if len(getattr(test, "attribute", ())) == 1 else None
-            column = self.columns.get(name) if name else None
-            if column is None or not self.where.take(column, test):
-                yield test
-
     def _open(self, path: str) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{path}?mode=ro", uri=True)
 
@@ -121,8 +114,23 @@ class SqliteReader(DataSourceReader):
                 yield tuple(partition.path if c is None else next(own) for c in self.columns.values())
 
 
+class PushingReader(SqliteReader):
+    """Hands comparisons of single columns on to SQLite; Spark refuses it unless push-down is enabled."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        for test in filters:
+            name = test.attribute[0] if len(getattr(test, "attribute", ())) == 1 else None
+            column = self.columns.get(name) if name else None
+            if column is None or not self.where.take(column, test):
+                yield test
+
+
+def reader_for(options: dict[str, str]) -> type[SqliteReader]:
+    return PushingReader if options.get("pushdown", "false") == "true" else SqliteReader
+
+
 class KeyValueStore(DataSource):
-    """Options: path (comma-separated files), table, prefix (one key range), after (only rows beyond an id), rows_per_partition."""
+    """Options: path (comma-separated files), table, prefix (one key range), after (only rows beyond an id), rows_per_partition, pushdown."""
 
     @classmethod
     def name(cls) -> str:
@@ -133,7 +141,7 @@ class KeyValueStore(DataSource):
 
     def reader(self, schema) -> SqliteReader:
         options = dict(self.options)
-        found = SqliteReader(options, options.get("table", "kv"), {"file": None, "row_id": "rowid", "key": "key", "value": "value"}, {"value": "CAST(value AS TEXT)"})
+        found = reader_for(options)(options, options.get("table", "kv"), {"file": None, "row_id": "rowid", "key": "key", "value": "value"}, {"value": "CAST(value AS TEXT)"})
         if prefix := options.get("prefix"):
             found.where.add("key >= ? AND key < ?", prefix, prefix_end(prefix))
         if after := int(options.get("after", "0")):
@@ -142,7 +150,7 @@ class KeyValueStore(DataSource):
 
 
 class SqliteTable(DataSource):
-    """Columns of a table, those of the given schema; options: path (comma-separated files), table, rows_per_partition. Text is read as text, whatever it is stored as."""
+    """Columns of a table, those of the given schema; options: path (comma-separated files), table, rows_per_partition, pushdown. Text is read as text, whatever it is stored as."""
 
     @classmethod
     def name(cls) -> str:
@@ -155,4 +163,4 @@ class SqliteTable(DataSource):
         options = dict(self.options)
         columns = {f.name: identifier(f.name) for f in schema}
         shown = {f.name: f"CAST({identifier(f.name)} AS TEXT)" for f in schema if f.dataType.simpleString() == "string"}
-        return SqliteReader(options, options["table"], columns, shown)
+        return reader_for(options)(options, options["table"], columns, shown)

@@ -26,7 +26,7 @@ def register(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, path: str, name: str, columns: str) -> DataFrame:
-    return spark.read.format("sqlite_table").schema(columns).option("path", path).option("table", name).load()
+    return spark.read.format("sqlite_table").schema(columns).option("pushdown", "true").option("path", path).option("table", name).load()
 
 
 def millis(column: Column) -> Column:
@@ -36,7 +36,7 @@ def millis(column: Column) -> Column:
 
 def bubble_sessions(spark: SparkSession, path: str, since: str, name: str = "cursorDiskKV") -> DataFrame:
     """SRC-1: sessions with a message after ``since`` (ISO, as the store writes it): session_id, last_at."""
-    rows = spark.read.format("sqlite_kv").option("path", path).option("table", name).load()
+    rows = spark.read.format("sqlite_kv").option("pushdown", "true").option("path", path).option("table", name).load()
     own = rows.where((F.col("key") >= BUBBLE) & (F.col("key") < BUBBLE[:-1] + ";"))
     timed = own.select(F.substring("key", len(BUBBLE) + 1, 36).alias("session_id"), F.get_json_object("value", "$.createdAt").alias("at")).where(F.col("at") > since)
     return timed.groupBy("session_id").agg(F.max("at").alias("last_at"))
@@ -44,7 +44,7 @@ def bubble_sessions(spark: SparkSession, path: str, since: str, name: str = "cur
 
 def bubbles_after(spark: SparkSession, path: str, row_id: int, name: str = "cursorDiskKV") -> DataFrame:
     """SRC-1: messages that were written after a row id: row_id, session_id, created_at."""
-    rows = spark.read.format("sqlite_kv").option("path", path).option("table", name).load()
+    rows = spark.read.format("sqlite_kv").option("pushdown", "true").option("path", path).option("table", name).load()
     fresh = rows.where((F.col("row_id") > row_id) & F.col("key").startswith(BUBBLE))
     return fresh.select("row_id", F.substring("key", len(BUBBLE) + 1, 36).alias("session_id"), F.get_json_object("value", "$.createdAt").alias("created_at"))
 

@@ -30,7 +30,7 @@ def bubbles(tmp_path):
 
 
 def reader(path, size):
-    return keyvalue.KeyValueStore({"path": path, "table": "cursorDiskKV", "rows_per_partition": str(size)}).reader(None)
+    return keyvalue.KeyValueStore({"path": path, "table": "cursorDiskKV", "rows_per_partition": str(size), "pushdown": "true"}).reader(None)
 
 
 def test_comparisons_reach_sqlite(bubbles):
@@ -55,7 +55,7 @@ def test_a_key_range_uses_the_index(bubbles):
 
 def test_spark_pushes_and_splits(spark, bubbles):
     tools.register(spark)
-    rows = spark.read.format("sqlite_kv").option("path", bubbles).option("table", "cursorDiskKV").option("rows_per_partition", 10).load()
+    rows = spark.read.format("sqlite_kv").option("pushdown", "true").option("path", bubbles).option("table", "cursorDiskKV").option("rows_per_partition", 10).load()
     assert rows.rdd.getNumPartitions() == 5 and rows.count() == 43
     some = rows.where((F.col("row_id") > 35) & F.col("key").startswith("bubbleId:"))
     assert sorted(r["row_id"] for r in some.collect()) == [36, 37, 38, 39, 40, 41]
