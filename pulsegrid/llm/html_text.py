@@ -7,8 +7,8 @@ with markers and indents, and table cells in aligned columns. Cells wider than `
 between words, but for those of a table's last column, so that the columns right of them stay aligned.
 
 Cases: null or empty pages give an empty text; a comment that is not closed ends with the page; what looks
-like a tag but has no ``>`` after it is text; a tag whose quotes are not closed within 200 quoted values ends at its
-first ``>``; nesting of any depth is handled without recursion, and the time grows with the length of a page, malformed
+like a tag but has no ``>`` after it is text; a tag with a quote that is not closed ends at its
+first ``>``, one with any number of quoted values at the first that is in none; nesting of any depth is handled without recursion, and the time grows with the length of a page, malformed
 ones too; repeated pages give equal texts; extra columns are carried whatever their names, but a column named as the
 result is replaced by it; an empty table gives an empty result.
 """
@@ -16,6 +16,7 @@ result is replaced by it; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from html import unescape
 
@@ -49,11 +50,38 @@ P_SCOPE = frozenset("button td th table caption li ul ol dl dd".split())
 CELL_SCOPE = frozenset(["td", "th", "caption"])
 TABLE_TAGS = frozenset("table thead tbody tfoot tr td th caption".split())
 
-TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+(?=>)|[^>]*+)>|<[!?/][^>]*+>""", re.S)
+TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'){0,400}+(?=>)|([^>]*+))>|<[!?/][^>]*+>""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s"'>]++))?""")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
 WIDEST = 60
+SPECIAL = re.compile("[>\"']")
+
+
+class Quotes:
+    """Where tags of very many quoted values end, in time linear in the page.
+
+    A scan that does not find the end notes the quotes it opened; a later one that comes to open one of them would go the
+    same way, and stops there. So each quote is opened once by scans that fail, and what others read is consumed.
+    """
+
+    def __init__(self, html: str):
+        self.html, self.places, self.failed = html, [m.start() for m in SPECIAL.finditer(html)], set()
+
+    def end(self, at: int) -> int | None:
+        """The first ``>`` from ``at`` on that is in no quotes; None if a quote does not end before."""
+        opened, i = [], bisect_left(self.places, at)
+        while i < len(self.places):
+            place = self.places[i]
+            if self.html[place] == ">":
+                return place
+            opened.append(place)
+            close = -1 if place in self.failed else self.html.find(self.html[place], place + 1)
+            if close < 0:
+                break
+            i = bisect_right(self.places, close)
+        self.failed.update(opened)
+        return None
 
 
 class Lines:
@@ -312,6 +340,7 @@ class Page:
 def render(html: str) -> str:
     """The visible text of a page."""
     page, at, n = Page(), 0, len(html)
+    quotes = None
     last, lowered = html.rfind(">") + 1, None  # nothing after ``last`` can be a tag
     while at < n:
         m = TOKEN.search(html, at, last) if at < last else None
@@ -331,7 +360,12 @@ def render(html: str) -> str:
             if m[1]:
                 page.end(tag)
                 continue
-            page.start(tag, m[3])
+            attributes = m[3]
+            if m[4] and SPECIAL.search(m[4]):  # more quoted values than the pattern takes, or a quote that does not end
+                quotes = quotes or Quotes(html)
+                if (end := quotes.end(m.start(3))) is not None:
+                    attributes, at = html[m.start(3) : end], end + 1
+            page.start(tag, attributes)
             if tag in RAW:
                 lowered = lowered or html.lower()
                 close = lowered.find("</" + tag, at) if len(lowered) == n else html.find("</" + m[2], at)

@@ -338,3 +338,38 @@ def test_a_text_with_very_many_secrets(spark):
     assert [(s["start"], s["end"]) for s in found[1]["base"]] == [(s, s + 32) for s, w in zip(starts, words) if len(w) == 32 and w[0] != "W"]
     assert [s["start"] for s in found[1]["added"]] == [s for s, w in zip(starts, words) if w[0] == "W"]
     assert found[2]["base"] == found[3]["base"] == found[2]["added"] == []
+
+
+def test_tags_of_very_many_quoted_values():
+    """However many there are, what is in quotes ends no tag; pages made to be scanned again and again take no longer."""
+    for n in (1, 199, 200, 250, 5_000):
+        values = " ".join(f"a{i}={q}x>{i}{q}" for i, q in zip(range(n), "'\"" * n))
+        assert html_text.render(f"<p {values}>seen <b {values}>too</b></p>") == "seen too", n
+        assert html_text.render(f"<p {values} b='open>seen</p>") == html_text.render(f"<p {values.split('>')[0]}>" + values.split(">", 1)[1] + " b='open>seen</p>"), n
+    begun = time.perf_counter()
+    for piece in ("<a b=\"x' ", "<a 'x\" ", "<a b=\"c\" d='e ", "<a ", "<a b='>\" "):
+        for tail in ("", ">", "'>", "\">", "\"'>"):
+            html_text.render(piece * 20_000 + tail)
+    assert time.perf_counter() - begun < 60
+
+
+def test_end_of_a_tag_by_brute_force():
+    """``Quotes.end`` against a walk over the characters, asked for every place of one page in any order."""
+    rng = random.Random(4)
+    for _ in range(300):
+        page = "".join(rng.choice("<a \"'>") for _ in range(rng.randint(0, 60)))
+
+        def plain(at):
+            quote = None
+            for i in range(at, len(page)):
+                if quote is None and page[i] == ">":
+                    return i
+                if quote is None and page[i] in "\"'":
+                    quote = page[i]
+                elif page[i] == quote:
+                    quote = None
+            return None
+
+        quotes, places = html_text.Quotes(page), list(range(len(page) + 1))
+        rng.shuffle(places)
+        assert [quotes.end(at) for at in places] == [plain(at) for at in places]
