@@ -9,8 +9,9 @@ from pulsegrid.shared import stage
 from pulsegrid.streaming import live
 
 from .bindings import Lake
-from .recursions import ALERTS, CLAIMED, MARKS, due_sql, throttled_sql
+from .recursions import ALERTS, CLAIMED, MARKS, SENT, due_sql, throttled_sql
 from .registry import Registry
+from .streams import reported
 
 query = Registry()
 
@@ -33,6 +34,14 @@ def _end(name: str, kind: str):
     return value.cast(kind).alias(name)
 
 
+@query("str_16_stream", SENT)
+def str_16_stream(t: Lake) -> DataFrame:
+    """The same as a stream whose state forgets a session a quarter of an hour after it was sent."""
+    rows = reported(StreamLake(t.spark, t.folder).activity)
+    found = live.to_end(live.live(rows, "client", "signal_time", [F.col("id"), F.col("print"), F.col("idle")], live.Unchanged()), "sent")
+    return found.where("id >= 0").select(F.col("key").alias("client"), "id")
+
+
 @query("str_17_stream", CLAIMED)
 def str_17_stream(t: Lake) -> DataFrame:
     """Requests that claim their nonce, as a stream whose state forgets a nonce after ten minutes."""

@@ -33,3 +33,13 @@ def due_sql(rows: str, key: str, at: str, quiet: int = 15, most: int = 60) -> st
 CLAIMED = f"{passing('SELECT id, agent_id || chr(0) || (id % 3) AS claim, start_time FROM work WHERE abs(epoch(end_time - start_time)) <= 300', 'claim', 'start_time', 600)} SELECT a.id FROM passed JOIN a USING (claim, place)"
 ALERTS = "SELECT id, user_code || '|' || event_type AS alert, signal_time FROM activity"
 MARKS = "SELECT id, CAST(signal_time AS DATE) AS work_date, signal_time, CASE WHEN event_type <> 'signup' THEN user_code END AS user_code FROM activity"
+
+
+REPORTS = "SELECT id, 'c' || (id % 5) AS client, signal_time, event_type IN ('view', 'click', 'error') AS idle, CASE WHEN event_type = 'purchase' THEN 2 WHEN event_type = 'error' THEN 1 ELSE 0 END + CASE WHEN event_type IN ('view', 'click', 'error') THEN 10 ELSE 0 END AS print FROM activity"
+SENT = f"""WITH RECURSIVE a AS (SELECT *, row_number() OVER (PARTITION BY client ORDER BY signal_time, id) AS place FROM ({REPORTS})),
+    runs AS (SELECT *, coalesce(print <> lag(print) OVER (PARTITION BY client ORDER BY place), true) AS fresh FROM a),
+    ends AS (SELECT *, min(place) FILTER (fresh) OVER (PARTITION BY client ORDER BY place ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_run, lead(place) OVER (PARTITION BY client ORDER BY place) AS next_row FROM runs),
+    firsts AS (SELECT client, signal_time, min(place) AS place FROM a GROUP BY ALL),
+    following AS MATERIALIZED (SELECT e.client, e.place, CASE WHEN e.idle THEN least(e.next_run, f.place) ELSE e.next_row END AS next FROM ends e ASOF LEFT JOIN firsts f ON e.client = f.client AND e.signal_time + INTERVAL 900 SECOND <= f.signal_time),
+    sent AS (SELECT client, place FROM a WHERE place = 1 UNION ALL SELECT f.client, f.next FROM sent s JOIN following f ON f.client = s.client AND f.place = s.place WHERE f.next IS NOT NULL)
+    SELECT a.client, a.id FROM sent JOIN a USING (client, place)"""

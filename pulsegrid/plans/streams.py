@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from pulsegrid.operators import filters
 from pulsegrid.shared import own_folder, stage
-from pulsegrid.streaming import ingest, sinks, states
+from pulsegrid.streaming import ingest, live, sinks, states
 
 from .bindings import Lake
-from .recursions import CLAIMED, throttled_sql
+from .recursions import CLAIMED, SENT, throttled_sql
 from .registry import Registry
 
 query = Registry()
@@ -133,9 +133,18 @@ def str_13(t: Lake) -> DataFrame:
     return found.select("agent_id", F.col("started").cast("timestamp_ntz").alias("started"), F.col("last_ping").cast("timestamp_ntz").alias("last_ping"), "pings")
 
 
-@query("str_16", f"WITH {SNAP}, {LAGGED} SELECT seq FROM lagged WHERE ps IS NULL OR NOT (ps = status AND pt = tokens AND pm = messages AND captured_at < pc + INTERVAL 15 MINUTE)")
+def reported(activity: DataFrame) -> DataFrame:
+    """Snapshots of five clients: id, client, signal_time, print and whether the session is idle."""
+    idle = F.col("event_type").isin("view", "click", "error")
+    print_ = F.when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "error", 1).otherwise(0) + F.when(idle, 10).otherwise(0)
+    return activity.select("id", F.concat(F.lit("c"), F.col("id") % 5).alias("client"), "signal_time", print_.cast("long").alias("print"), idle.alias("idle"))
+
+
+@query("str_16", SENT)
 def str_16(t: Lake) -> DataFrame:
-    return states.changed_only(snapshots(t.source("events"))).select("seq")
+    """Snapshots that are sent: not those of idle sessions that look as the last one sent within a quarter of an hour."""
+    found = live.folded(reported(t.activity), "client", "signal_time", [F.col("id"), F.col("print"), F.col("idle")], live.Unchanged())
+    return found.select(F.col("key").alias("client"), "id")
 
 
 @query("str_17", CLAIMED)

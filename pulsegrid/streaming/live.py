@@ -1,4 +1,4 @@
-"""Ordered folds by key that run over a table or live over a stream, with the same result (STR-10, 17, 18, 20).
+"""Ordered folds by key that run over a table or live over a stream, with the same result (STR-10, 16, 17, 18, 20).
 
 A fold says what a row does to its key's state and when the state acts by itself. Over a table each key passes
 as a sorted stream. Live, a row waits in the state store until the watermark has passed it, so that it does not matter
@@ -112,6 +112,23 @@ class Debounce(Fold):
         return [(self.due(state), state[2], user) for user in ([None] if state[3] else sorted(state[4]))]
 
 
+@dataclass
+class Unchanged(Fold):
+    """STR-16: a snapshot of an idle session that looks as the last one sent is held back, for ``resync`` seconds after that one."""
+
+    resync: int = 900
+    state, row, result = "print long, sent long", "id long, print long, idle boolean", "at long, id long"
+
+    def step(self, state: tuple | None, at: int, row: tuple) -> tuple[tuple | None, list[tuple]]:
+        number, print_, idle = row
+        if state is not None and idle and state[0] == print_:
+            return state, []
+        return (print_, at), [(at, number)]
+
+    def due(self, state: tuple) -> int:
+        return state[1] + self.resync * SECOND
+
+
 def shaped(rows: DataFrame, key: str, at: str, payload: list[Column]) -> DataFrame:
     return rows.select(F.col(key).cast("string").alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at"), *payload)
 

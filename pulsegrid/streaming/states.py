@@ -111,15 +111,6 @@ def throttled(alerts: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
     return ordered.mapInPandas(run, f"{key} {kinds[key]}, {at} {kinds[at]}, id {kinds['id']}, suppressed bigint")
 
 
-def changed_only(snapshots: DataFrame, resync_minutes: int = 15) -> DataFrame:
-    """STR-16: snapshots that differ from the session's one before, or come ``resync_minutes`` after it."""
-    by = W.partitionBy("session").orderBy("captured_at", "seq")
-    print_ = F.xxhash64("status", "tokens", "messages")
-    rows = snapshots.withColumns({"_p": F.lag(print_).over(by), "_t": F.lag("captured_at").over(by), "_h": print_})
-    same = (F.col("_p") == F.col("_h")) & (F.col("captured_at") < F.col("_t") + F.make_dt_interval(mins=F.lit(resync_minutes)))
-    return rows.where(~F.coalesce(same, F.lit(False))).drop("_p", "_t", "_h")
-
-
 #: What a tool's name says about the activity.
 TOOL_STATES = {"Read": "reading", "Write": "writing", "Edit": "writing", "NotebookEdit": "writing", "Bash": "running", "Shell": "running", "Glob": "searching", "Grep": "searching", "WebFetch": "browsing", "WebSearch": "browsing", "Agent": "spawning"}
 

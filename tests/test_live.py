@@ -16,6 +16,7 @@ FOLDS = {
     "claims": (live.Claims(600), ["id"]),
     "throttle": (live.Throttle(300, 1_000), ["id"]),
     "debounce": (live.Debounce(), [USER]),
+    "unchanged": (live.Unchanged(200), ["id", "id % 3 AS print", "id % 4 <> 0 AS idle"]),
 }
 
 
@@ -43,6 +44,12 @@ def plain(rows, name):
                 forgotten = last is not None and at >= last + timedelta(seconds=1_000)
                 found.append((key, at, i, 0 if forgotten else held))
                 last, held = at, 0
+        elif name == "unchanged":
+            sent = None
+            for at, i in own:
+                if sent is None or i % 4 == 0 or i % 3 != sent[1] or at >= sent[0] + timedelta(seconds=200):
+                    found.append((key, at, i))
+                    sent = (at, i % 3)
         else:
             marks = []
             for at, i in [*own, (datetime.max, None)]:
