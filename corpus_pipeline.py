@@ -2,9 +2,9 @@
 
 Every stage takes (spark, docs, sf_dir); its result is written as Parquet and read again before the next
 one begins, so each stage first deletes the tables that the stage before it staged on its way. Nobody else's are touched.
-All but the last return the columns of ``documents``. A removed row is found by its id and the digest of its text,
+All but the last return the columns of ``documents``, and no stage reads others, so extra columns of any name are left out. A removed row is found by its id and the digest of its text,
 so rows that repeat an id are each judged; rows with a null id are only removed by what their own
-text says.
+text says. Very long texts are handled as each operator says; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def tidy(function: Stage) -> Stage:
         drop(spark, staged_before)
         staged_before.clear()
         with tracking() as made:
-            found = function(spark, docs, sf_dir)
+            found = function(spark, docs.select(COLUMNS), sf_dir)
         staged_before.extend(made)
         return found
 
