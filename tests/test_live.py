@@ -120,3 +120,24 @@ def test_a_full_build_is_not_made_smaller(spark):
     rows = [(1, "d", START), (7, "d", START + timedelta(seconds=5)), (2, "d", START + timedelta(seconds=6)), (3, "d", START + timedelta(seconds=90))]
     found = live.folded(spark.createDataFrame(rows, SCHEMA), "k", "at", columns([USER]), live.Debounce())
     assert sorted((r["at"], r["marks"], r["user"]) for r in found.collect()) == [(START + timedelta(seconds=21), 3, None), (START + timedelta(seconds=105), 1, "u0")]
+
+
+@pytest.mark.parametrize("name", ["unchanged", "debounce"])
+def test_a_key_with_very_many_rows_is_few_entries_of_state(spark, name, tmp_path):
+    """Files in order of time, so that each watermark passes a part of what waits; a row is no entry of its own."""
+    fold, payload = FOLDS[name]
+    rng = random.Random(3)
+    rows = sorted(((i, "k", START + timedelta(milliseconds=rng.randrange(3_000_000))) for i in range(6_000)), key=lambda row: row[2])
+    for number, part in enumerate([rows[:2_000], rows[2_000:4_000], rows[4_000:], [(-1, "end", START + timedelta(days=3))]]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(tmp_path / f"new{number}"))
+        (tmp_path / "in").mkdir(exist_ok=True)
+        for file in (tmp_path / f"new{number}").glob("*.parquet"):
+            shutil.move(file, tmp_path / "in" / f"{number}.parquet")
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = live.live(stream, "k", "at", columns(payload), fold, late="5 minutes")
+    job = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    job.awaitTermination()
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in map(dict, job.recentProgress) if p["stateOperators"]]
+    found = spark.read.parquet(str(tmp_path / "out")).where("key <> 'end'")
+    assert sorted(map(tuple, found.collect()), key=repr) == plain(rows, name)
+    assert 10 < max(held) < 500
