@@ -78,3 +78,24 @@ def test_totals(spark):
     assert {r["root"]: (r["tokens"], r["started"], r["ended"], r["sessions"]) for r in out.collect()} == {
         1: (100, START + timedelta(hours=1), START + timedelta(hours=8), 4), **{i: (10 * i, START + timedelta(hours=i), START + timedelta(hours=2 * i), 1) for i in (5, 6, 7)}
     }
+
+
+def test_a_tree_is_dealt_out_over_many_tasks(spark):
+    """Two trees and rows without a session in seven ranges: the same places as in one."""
+    rows = [(i, None if i % 50 == 0 else 1 + i % 40, i // 40, "tool" if i % 3 == 0 else "user") for i in range(2_000)]
+    pairs = [(c, c // 2 if c % 2 == 0 else max(2, c - 1) // 2 * 2 - 1, c) for c in range(3, 41)]
+
+    def places(session):
+        found = sequences.spliced_forest(session.createDataFrame(rows, "id long, session_id long, seq long, role string"), session.createDataFrame(pairs, "child long, parent long, rank long"), ["seq", "id"], F.col("role") == "tool")
+        assert "_part" in next(x for x in found._jdf.queryExecution().analyzed().toString().splitlines() if "Window" in x and "_path" in x)
+        return sorted((tuple(r) for r in found.select("id", "session_id", "root", "place").collect()), key=repr)
+
+    one, many = spark.newSession(), spark.newSession()
+    one.conf.set("spark.sql.shuffle.partitions", "1")
+    many.conf.set("spark.sql.shuffle.partitions", "7")
+    many.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    found = places(many)
+    assert found == places(one)
+    for root in {r[2] for r in found}:
+        own = sorted(r[3] for r in found if r[2] == root)
+        assert own == [*range(1, len(own) + 1)]
