@@ -47,7 +47,8 @@ def with_signals(pairs: DataFrame, events: DataFrame, window: int) -> DataFrame:
     """Pairs of commit and session (id, s_id, commit_time, ...) with last_signal and signals, the session's events in the window before the commit.
 
     Each pair puts two marks among the session's events, where its window begins and ends; what is between them is told by
-    running counts. So a session is sorted once and has as many rows as events and marks, however many commits meet how many events.
+    running counts. So a session is sorted once and has as many rows as events and marks, however many commits meet how many events;
+    the marks of a pair meet where their session is, so they are not dealt out again.
     """
     begin = micros(F.col("commit_time")) - window * 60_000_000
     pair = F.struct(*pairs.columns)
@@ -56,7 +57,7 @@ def with_signals(pairs: DataFrame, events: DataFrame, window: int) -> DataFrame:
     every = marks.unionByName(rows, allowMissingColumns=True)
     upto = W.partitionBy("s_id").orderBy("at", "kind").rowsBetween(W.unboundedPreceding, 0)
     told = every.withColumns({"n": F.count("e_time").over(upto), "last": F.last("e_time", True).over(upto)}).where("kind <> 1")
-    found = told.groupBy("pair").agg((F.max("n") - F.min("n")).alias("signals"), F.max(F.when(F.col("kind") == 2, F.col("last"))).alias("last"))
+    found = told.groupBy("s_id", "pair").agg((F.max("n") - F.min("n")).alias("signals"), F.max(F.when(F.col("kind") == 2, F.col("last"))).alias("last"))
     return found.select("pair.*", "signals", F.when(F.col("signals") > 0, F.col("last")).alias("last_signal"))
 
 

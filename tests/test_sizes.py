@@ -31,3 +31,14 @@ def test_finer_settings_stay(spark, monkeypatch):
         other.conf.set(name, value)
     Lake(other, SF).source("lineitem")
     assert [other.conf.get(name) for name in (shared.PARTITIONS, shared.SPLITS, shared.LEAST)] == ["5000", "1m", "2m"]
+
+
+def test_marks_of_a_pair_are_dealt_out_once(spark):
+    """The window over a session's events and the pairs of it share one exchange."""
+    from pulsegrid.operators import attribution
+
+    pairs = spark.sql("select 1L id, 2L s_id, timestamp_ntz'2026-01-01 10:00:00' commit_time, 'm' s_model")
+    events = spark.sql("select 2L session_id, timestamp_ntz'2026-01-01 09:50:00' event_time")
+    found = attribution.with_signals(pairs, events, 30)
+    assert "hashpartitioning(pair" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [(r["signals"], r["last_signal"].minute) for r in found.collect()] == [(1, 50)]
